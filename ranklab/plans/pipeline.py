@@ -1,0 +1,43 @@
+"""Composed layers over the driver tables (results fixture -> silver -> gold)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ranklab.operators.gold import build_gold
+from ranklab.operators.silver import with_event_index
+from ranklab.sources.fixture import event_results, qualifying
+
+SILVER_COLUMNS = ("Year", "Circuit", "FullName", "TeamName", "Position", "GridPosition",
+                  "Points", "RaceIndex")
+
+
+def silver_from_tables(spark: SparkSession, sf_dir: str, skew_safe: bool = True) -> DataFrame:
+    """Typed results with RaceIndex (CLN6/JON1) straight from the tables."""
+    return with_event_index(event_results(spark, sf_dir, skew_safe)).select(*SILVER_COLUMNS)
+
+
+def gold_from_tables(spark: SparkSession, sf_dir: str, skew_safe: bool = True,
+                     with_qualifying: bool = True) -> DataFrame:
+    """Gold features; the grid comes from the qualifying sessions (CLN7)."""
+    res = event_results(spark, sf_dir, skew_safe, with_quali_grid=with_qualifying)
+    silver = with_event_index(res)
+    quali = qualifying(res) if with_qualifying else None
+    return build_gold(silver.drop("_qgrid", "EntrantKey"), quali, skew_safe=skew_safe)
+
+
+GOLD_COLUMNS = (
+    "Year", "Circuit", "FullName", "TeamName", "RaceIndex", "Position", "ClassifiedPosition",
+    "GridPosition", "Points", "AvgFinishLast3", "AvgFinishLast5", "AvgFinishLast10",
+    "AvgGridLast5", "DNFRateLast10", "TeamPointsLast5", "TeamForm", "CircuitAvgFinish",
+    "CircuitWins", "CumPoints", "ChampPos", "IsWinner", "IsTop3", "IsTop10",
+)
+
+
+def gold_table(spark: SparkSession, sf_dir: str, skew_safe: bool = True) -> DataFrame:
+    return gold_from_tables(spark, sf_dir, skew_safe).select(*GOLD_COLUMNS)
+
+
+def typed(df: DataFrame, **types: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast(t) for c, t in types.items()})
