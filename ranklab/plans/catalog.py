@@ -8,6 +8,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ranklab.operators import standings as ST
 from ranklab.plans import oracle as O
@@ -223,3 +224,178 @@ GROUP BY 1, 2"""), "JON7", "SET3")
 def q_h2h(spark, sf):
     silver = silver_from_tables(spark, sf)
     return ST.head_to_head(silver, ST.rival_pairs(ST.historical_stats(silver)))
+
+
+# --- schedule ------------------------------------------------------------------
+
+from ranklab.operators import ledger as LG  # noqa: E402
+from ranklab.operators import schedule as SC  # noqa: E402
+from ranklab.plans.pipeline import gold_from_tables  # noqa: E402
+from ranklab.sources.tables import read_table  # noqa: E402
+
+AS_OF = SC.DEFAULT_AS_OF
+SCH = O.SCHEDULE
+
+
+def _schedule(spark, sf):
+    return SC.standardize_schedule(SC.raw_schedule(spark, sf))
+
+
+@register("schedule_status", O.with_(SCH, f"""SELECT *, CASE WHEN event_date < {O.AS_OF}
+  THEN 'completed' ELSE 'upcoming' END AS status FROM sched"""), "SCH1", "SCH2", "CLN9")
+def q_schedule_status(spark, sf):
+    return SC.with_status(_schedule(spark, sf), AS_OF)
+
+
+@register("upcoming_events", O.with_(SCH, f"SELECT * FROM sched WHERE event_date >= {O.AS_OF}"), "SCH3")
+def q_upcoming(spark, sf):
+    return SC.upcoming(_schedule(spark, sf), AS_OF)
+
+
+@register("next_event", O.with_(SCH, f"""SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY "Year" ORDER BY round_number) AS rn
+  FROM sched WHERE event_date >= {O.AS_OF}) t WHERE rn = 1"""), "SCH4")
+def q_next(spark, sf):
+    return SC.next_event(_schedule(spark, sf), AS_OF)
+
+
+@register("last_completed_event", O.with_(SCH, f"""SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY "Year" ORDER BY round_number DESC) AS rn
+  FROM sched WHERE event_date < {O.AS_OF}) t WHERE rn = 1"""), "SCH5")
+def q_last(spark, sf):
+    return SC.last_completed(_schedule(spark, sf), AS_OF)
+
+
+@register("lock_deadlines", O.with_(SCH, f"""SELECT *, coalesce({O.AS_OF} >= lock_deadline, false) AS is_locked
+FROM deadlines"""), "SCH6", "SCH7")
+def q_deadlines(spark, sf):
+    return SC.lock_state(SC.lock_deadlines(_schedule(spark, sf)), AS_OF)
+
+
+@register("find_event", O.with_(SCH, """SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY "Year" ORDER BY round_number) AS rn
+  FROM sched WHERE contains(lower(race_name), 'brand#1')) t WHERE rn = 1"""), "CLN16")
+def q_find_event(spark, sf):
+    return SC.find_event(_schedule(spark, sf), "Brand#1")
+
+
+@register("season_progress", O.with_(SCH, f"""SELECT "Year", count_if(event_date < {O.AS_OF}) AS completed,
+  count_if(event_date >= {O.AS_OF}) AS remaining FROM sched GROUP BY 1"""), "AGG23")
+def q_progress(spark, sf):
+    return SC.season_progress(_schedule(spark, sf), AS_OF)
+
+
+# --- predictions, scoring, ledger -------------------------------------------------
+
+GS = O.GOLD + "," + O.SCHEDULE + "," + O.STRATEGY
+
+
+def _scored(spark, sf):
+    gold = gold_from_tables(spark, sf)
+    silver = gold.select("Year", "Circuit", "FullName", F.col("Position").cast("int").alias("Position"))
+    ledger = LG.strategy_ledger(gold, SC.lock_deadlines(_schedule(spark, sf)))
+    return LG.score_ledger(ledger, silver, AS_OF)
+
+
+
+
+@register("strategy_predictions", O.with_(GS, "SELECT * FROM preds"), "WIN14", "SRT2", "FCT3")
+def q_strategy(spark, sf):
+    return LG.strategy_predictions(gold_from_tables(spark, sf))
+
+
+@register("prediction_payloads", O.with_(GS, """SELECT user_id, "Year", "Circuit",
+  list(struct_pack(pos := pos, driver := driver, team := team, prob := prob) ORDER BY pos) AS top10,
+  map_from_entries(list(struct_pack(k := driver, v := prob) ORDER BY driver)) AS win_probs
+FROM preds GROUP BY 1, 2, 3"""), "OPS6")
+def q_payloads(spark, sf):
+    return LG.payloads(LG.strategy_predictions(gold_from_tables(spark, sf)))
+
+
+@register("scored_predictions", O.with_(GS, """SELECT s.user_id, s.year, s.race_name, d.round_number,
+  s.winner_correct, s.podium_hits, s.top10_hits, s.position_mae, s.spearman_rho, s.status
+FROM scored_text s JOIN deadlines d ON d."Year" = s.year AND d.race_name = s.race_name"""),
+          "OPS3", "EVL4", "JON8", "TXT3", "TXT4", "SET3")
+def q_scored(spark, sf):
+    return LG.status_label(_scored(spark, sf)).select(
+        "user_id", "year", "race_name", "round_number", "winner_correct", "podium_hits",
+        "top10_hits", "position_mae", "spearman_rho", "status")
+
+
+STRAT_USERS_SQL = "(SELECT * FROM (VALUES (1, 'by_grid'), (2, 'by_form'), (3, 'by_champ')) u(id, username))"
+
+
+@register("leaderboard", O.with_(GS, f"""SELECT *, CASE WHEN rank = 1 THEN '🥇' WHEN rank = 2 THEN '🥈'
+  WHEN rank = 3 THEN '🥉' ELSE CAST(rank AS VARCHAR) END AS medal FROM (
+  SELECT *, CAST(row_number() OVER (ORDER BY avg_podium_hits DESC, username) AS INTEGER) AS rank FROM (
+    SELECT u.username, count(*) AS races_scored,
+      CAST(sum(coalesce(CAST(winner_correct AS INTEGER), 0)) AS BIGINT) AS winners_correct,
+      avg(coalesce(podium_hits, 0)) AS avg_podium_hits, avg(coalesce(top10_hits, 0)) AS avg_top10_hits,
+      avg(position_mae) AS avg_position_mae, avg(spearman_rho) AS avg_spearman
+    FROM scored s JOIN {STRAT_USERS_SQL} u ON s.user_id = u.id
+    WHERE s.winner_correct IS NOT NULL GROUP BY 1) a) r"""), "AGG20", "TXT5", "JON5")
+def q_leaderboard(spark, sf):
+    return LG.leaderboard(_scored(spark, sf), LG.strategy_users(spark))
+
+
+@register("personal_summary", O.with_(GS, """SELECT user_id,
+  CAST(sum(CAST(winner_correct AS INTEGER)) AS BIGINT) AS winners_correct, count(*) AS scored,
+  avg(podium_hits) AS avg_podium_hits, avg(spearman_rho) AS avg_spearman
+FROM scored WHERE winner_correct IS NOT NULL GROUP BY 1"""), "AGG21")
+def q_personal(spark, sf):
+    return LG.personal_summary(_scored(spark, sf))
+
+
+SUB = O.SUBMISSIONS
+
+
+def _subs(spark, sf):
+    return LG.submissions(read_table(spark, sf, "events", "event_id", "ts", "user_id", "event_type",
+                                     "value", "props"))
+
+
+@register("effective_predictions", O.with_(SUB, "SELECT * FROM effective"), "OPS2")
+def q_effective(spark, sf):
+    return LG.effective_predictions(_subs(spark, sf))
+
+
+MERGE_CTES = SUB + """,
+locks AS (SELECT user_id, day, min(ts) AS locked_at FROM subs WHERE event_type = 'purchase' GROUP BY 1, 2),
+dr AS (SELECT s.*, l.locked_at, (l.locked_at IS NOT NULL AND s.ts >= l.locked_at) AS rej
+       FROM subs s LEFT JOIN locks l ON s.user_id = l.user_id AND s.day = l.day
+       WHERE s.event_type = 'click')"""
+
+
+@register("submission_merge", O.with_(MERGE_CTES, """SELECT user_id, day, event_id, ts, value,
+  CASE WHEN rej THEN 'rejected' ELSE 'accepted' END AS status, CASE WHEN rej THEN 'locked' END AS reason,
+  (row_number() OVER (PARTITION BY user_id, day ORDER BY CASE WHEN rej THEN 1 ELSE 0 END, ts DESC, event_id DESC) = 1)
+    AND NOT rej AS is_stored, locked_at
+FROM dr"""), "OPS1")
+def q_merge(spark, sf):
+    return LG.merge_submissions(_subs(spark, sf))
+
+
+@register("admin_listing", O.with_(SUB, """SELECT e.user_id, c.c_name AS username, e.day, e.event_id, e.ts,
+  e.value, e.k, e.lock_deadline FROM effective e JOIN customer c ON e.user_id = c.c_custkey"""),
+          "OPS5", "JON5")
+def q_admin(spark, sf):
+    users = LG.users_from_customers(read_table(spark, sf, "customer", "c_custkey", "c_name",
+                                               "c_mktsegment", "c_acctbal"))
+    return LG.admin_listing(LG.effective_predictions(_subs(spark, sf)), users)
+
+
+@register("locked_count", O.with_(SUB, """SELECT count(*) AS locked_predictions FROM (
+  SELECT DISTINCT user_id, day FROM subs WHERE event_type = 'purchase') t"""), "AGG22")
+def q_locked(spark, sf):
+    return LG.locked_count(_subs(spark, sf))
+
+
+@register("user_history", O.with_(GS, """SELECT s.user_id, s.race_name, s.year, d.round_number,
+  d.lock_deadline - INTERVAL 1 HOUR AS predicted_at, true AS is_locked,
+  '🔒 Locked — awaiting race result' AS status
+FROM (SELECT DISTINCT user_id, "Year" AS year, "Circuit" AS race_name FROM preds) s
+JOIN deadlines d ON d."Year" = s.year AND d.race_name = s.race_name"""), "OPS4", "TXT4")
+def q_history(spark, sf):
+    gold = gold_from_tables(spark, sf)
+    ledger = LG.strategy_ledger(gold, SC.lock_deadlines(_schedule(spark, sf)))
+    return LG.user_history(ledger).drop("top10_json")

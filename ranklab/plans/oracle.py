@@ -101,3 +101,69 @@ FROM gold"""
 
 def with_(ctes: str, body: str) -> str:
     return f"WITH {ctes.strip()}\n{body}"
+
+AS_OF = "TIMESTAMP '1998-06-01 00:00:00'"
+
+SCHEDULE = """
+raw_sched AS (
+  SELECT yr AS "Year",
+         CAST(row_number() OVER (PARTITION BY yr ORDER BY ed, circuit) AS INTEGER) AS rn,
+         circuit, ed, country, lower(circuit) AS loc,
+         CASE WHEN dayofweek(ed) IN (0, 6) THEN 'sprint_qualifying' ELSE 'conventional' END AS fmt
+  FROM (SELECT CAST(year(l_shipdate) AS INTEGER) AS yr, p_brand AS circuit, max(l_shipdate) AS ed,
+               min(split_part(p_type, ' ', 1)) AS country
+        FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2) e),
+sched AS (
+  SELECT "Year", rn AS round_number, circuit AS race_name, country, loc AS location,
+         ed AS event_date, coalesce(contains(lower(fmt), 'sprint'), false) AS is_sprint
+  FROM raw_sched WHERE coalesce(lower(fmt) <> 'testing', true)),
+deadlines AS (
+  SELECT *, coalesce(fp1_start_utc, event_date - INTERVAL 2 DAY) AS lock_deadline
+  FROM (SELECT *, CASE WHEN is_sprint THEN event_date - INTERVAL 2 DAY + INTERVAL '11 hours 30 minutes' END
+                  AS fp1_start_utc FROM sched) s)"""
+
+STRATEGY = """
+strat AS (
+  SELECT 1 AS user_id, "Year", "Circuit", "FullName" AS driver, "TeamName" AS team, "GridPosition" AS k FROM gold
+  UNION ALL
+  SELECT 2, "Year", "Circuit", "FullName", "TeamName", coalesce("AvgFinishLast5", CAST(99 AS DOUBLE)) FROM gold
+  UNION ALL
+  SELECT 3, "Year", "Circuit", "FullName", "TeamName", "ChampPos" FROM gold),
+strat_p AS (
+  SELECT *, round_even(score / sum(score) OVER (PARTITION BY user_id, "Year", "Circuit"), 4) AS prob,
+         CAST(row_number() OVER (PARTITION BY user_id, "Year", "Circuit" ORDER BY k, driver) AS INTEGER) AS pos
+  FROM (SELECT *, CAST(1 AS DOUBLE) / greatest(k, CAST(1 AS DOUBLE)) AS score FROM strat) s),
+preds AS (SELECT user_id, "Year", "Circuit", pos, driver, team, prob FROM strat_p WHERE pos <= 10),
+act AS (SELECT "Year" AS year, "Circuit" AS race_name, "Position" AS ap, "FullName" AS driver
+        FROM silver WHERE "Position" <= 20),
+pj AS (
+  SELECT p.user_id, p."Year" AS year, p."Circuit" AS race_name, p.pos AS pp, a.ap
+  FROM preds p LEFT JOIN act a ON a.year = p."Year" AND a.race_name = p."Circuit" AND a.driver = p.driver),
+scored AS (
+  SELECT user_id, year, race_name,
+    count(*) FILTER (WHERE pp = 1 AND ap = 1) > 0 AS winner_correct,
+    CAST(count(*) FILTER (WHERE pp <= 3 AND ap <= 3) AS INTEGER) AS podium_hits,
+    CAST(count(*) FILTER (WHERE pp <= 10 AND ap <= 10) AS INTEGER) AS top10_hits,
+    round_even(coalesce(avg(abs(pp - ap)), CAST(0 AS DOUBLE)), 3) AS position_mae,
+    CASE WHEN count(ap) >= 2 THEN round_even(greatest(CAST(-1 AS DOUBLE), least(CAST(1 AS DOUBLE),
+      1 - CAST(6 * sum((pp - ap) * (pp - ap)) AS DOUBLE)
+          / CAST(count(ap) * (count(ap) * count(ap) - 1) AS DOUBLE))), 4) END AS spearman_rho
+  FROM pj GROUP BY 1, 2, 3),
+scored_text AS (
+  SELECT *, CASE WHEN winner_correct IS NULL THEN 'Not yet scored.' ELSE
+    'Winner ' || CASE WHEN winner_correct THEN '✅' ELSE '❌' END ||
+    ' | Podium: ' || podium_hits || '/3 | Top-10: ' || top10_hits ||
+    '/10 | Pos MAE: ' || printf('%.1f', round_even(position_mae, 1)) ||
+    ' | Spearman ρ: ' || CASE WHEN spearman_rho IS NULL THEN 'n/a'
+                             ELSE printf('%.3f', round_even(spearman_rho, 3)) END END AS status
+  FROM scored)"""
+
+SUBMISSIONS = """
+subs AS (
+  SELECT event_id, user_id, CAST(ts AS DATE) AS day, ts, event_type, value,
+         CAST(json_extract(props, '$.k') AS INTEGER) AS k
+  FROM events WHERE event_type IN ('click', 'purchase')),
+effective AS (
+  SELECT * EXCLUDE (rn), CAST(day AS TIMESTAMP) + INTERVAL 12 HOUR AS lock_deadline FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY ts DESC, event_id DESC) AS rn
+    FROM subs WHERE ts < CAST(day AS TIMESTAMP) + INTERVAL 12 HOUR) t WHERE rn = 1)"""
