@@ -399,3 +399,58 @@ def q_history(spark, sf):
     gold = gold_from_tables(spark, sf)
     ledger = LG.strategy_ledger(gold, SC.lock_deadlines(_schedule(spark, sf)))
     return LG.user_history(ledger).drop("top10_json")
+
+
+# --- forecasting -------------------------------------------------------------------
+
+from ranklab.operators import forecast as FC  # noqa: E402
+
+
+def _forecast_inputs(spark, sf):
+    gold = gold_from_tables(spark, sf)
+    sched = _schedule(spark, sf)
+    hist = FC.history_before(gold, sched, AS_OF)
+    targets = FC.target_events(SC.next_event(sched, AS_OF))
+    return hist, targets
+
+
+FEATURE_COLS = ('"Year", "Circuit", "FullName", "TeamName", "AvgFinishLast3", "AvgFinishLast5", '
+                '"AvgFinishLast10", "AvgGridLast5", "DNFRateLast10", "TeamPointsLast5", "TeamForm", '
+                '"ChampPos", "CircuitAvgFinish", "CircuitWins", "GridPosition"')
+
+
+@register("forecast_features", O.with_(O.forecast_ctes() + O.FEATURES, f"SELECT {FEATURE_COLS} FROM features"),
+          "FCT1", "AGG16", "AGG17", "WIN16", "WIN17", "CLN15", "JON6", "CLN11")
+def q_features(spark, sf):
+    hist, targets = _forecast_inputs(spark, sf)
+    return FC.feature_rows(hist, targets)
+
+
+@register("two_stage_forecast", O.with_(O.forecast_ctes() + O.FEATURES + O.TWO_STAGE, "SELECT * FROM forecast"),
+          "FCT2", "FCT3", "WIN12", "WIN14", "TXT1")
+def q_forecast(spark, sf):
+    hist, targets = _forecast_inputs(spark, sf)
+    return FC.two_stage_forecast(FC.feature_rows(hist, targets))
+
+
+@register("forecast_podium", O.with_(O.forecast_ctes() + O.FEATURES + O.TWO_STAGE,
+          'SELECT * FROM forecast WHERE "PredictedFinish" <= 3'), "SRT2")
+def q_podium(spark, sf):
+    hist, targets = _forecast_inputs(spark, sf)
+    return FC.podium(FC.two_stage_forecast(FC.feature_rows(hist, targets)))
+
+
+@register("entrant_profile", O.with_(O.forecast_ctes(target_year=False) + O.LEGACY,
+          """SELECT "Year", "Circuit", "FullName", "TeamName", avg_finish_overall, avg_quali_pos,
+  avg_finish_circuit, team_form, team_form_p75, track_delta, track_specialist FROM profile2"""),
+          "AGG15", "AGG24", "JON4", "WIN18")
+def q_profile(spark, sf):
+    hist, targets = _forecast_inputs(spark, sf)
+    return FC.entrant_profile(hist, targets)
+
+
+@register("legacy_forecast", O.with_(O.forecast_ctes(target_year=False) + O.LEGACY + O.LEGACY_FORECAST,
+          "SELECT * FROM legacy"), "FCT4", "WIN15", "TXT2")
+def q_legacy(spark, sf):
+    hist, targets = _forecast_inputs(spark, sf)
+    return FC.legacy_forecast(FC.entrant_profile(hist, targets))

@@ -167,3 +167,164 @@ effective AS (
   SELECT * EXCLUDE (rn), CAST(day AS TIMESTAMP) + INTERVAL 12 HOUR AS lock_deadline FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY ts DESC, event_id DESC) AS rn
     FROM subs WHERE ts < CAST(day AS TIMESTAMP) + INTERVAL 12 HOUR) t WHERE rn = 1)"""
+
+FORECAST = """
+hist AS (
+  SELECT g.* FROM gold g WHERE EXISTS (
+    SELECT 1 FROM sched s WHERE s."Year" = g."Year" AND s.race_name = g."Circuit" AND s.event_date < {as_of})),
+targets AS (
+  SELECT "Year", race_name AS "Circuit" FROM (
+    SELECT *, row_number() OVER (PARTITION BY "Year" ORDER BY round_number) AS rn
+    FROM sched WHERE event_date >= {as_of}) t WHERE rn = 1),
+seasons AS (
+  SELECT "Year", nc, lag("Year") OVER (ORDER BY "Year") AS prev
+  FROM (SELECT "Year", count(DISTINCT "Circuit") AS nc FROM hist GROUP BY 1) s),
+tsel AS (
+  SELECT t."Year", t."Circuit", coalesce({sel_expr}, (SELECT max("Year") FROM seasons)) AS sel
+  FROM targets t LEFT JOIN seasons s ON s."Year" = t."Year"),
+tseason AS (
+  SELECT t."Year", t."Circuit", t.sel AS season FROM tsel t
+  UNION
+  SELECT t."Year", t."Circuit", x.prev FROM tsel t JOIN seasons x ON x."Year" = t.sel
+  WHERE x.nc < 3 AND x.prev IS NOT NULL),
+active AS (
+  SELECT DISTINCT ts."Year", ts."Circuit", h."FullName"
+  FROM tseason ts JOIN hist h ON h."Year" = ts.season WHERE h."FullName" IS NOT NULL),
+circ AS (
+  SELECT t."Year", t."Circuit", h."FullName",
+         sum(h."Position") / count(h."Position") AS circ_avg,
+         count(*) FILTER (WHERE h."Position" = 1) AS circ_wins
+  FROM targets t JOIN hist h
+    ON contains(lower(h."Circuit"), lower(split_part(trim(t."Circuit"), ' ', 1)))
+  GROUP BY 1, 2, 3)"""
+
+FEATURES = """,
+lastv AS (
+  SELECT "FullName", arg_max("TeamName", "RaceIndex") AS "TeamName", avg("Position") AS overall,
+    arg_max("AvgFinishLast3", "RaceIndex") FILTER (WHERE "AvgFinishLast3" IS NOT NULL) AS l3,
+    arg_max("AvgFinishLast5", "RaceIndex") FILTER (WHERE "AvgFinishLast5" IS NOT NULL) AS l5,
+    arg_max("AvgFinishLast10", "RaceIndex") FILTER (WHERE "AvgFinishLast10" IS NOT NULL) AS l10,
+    arg_max("AvgGridLast5", "RaceIndex") FILTER (WHERE "AvgGridLast5" IS NOT NULL) AS lg5,
+    arg_max("DNFRateLast10", "RaceIndex") FILTER (WHERE "DNFRateLast10" IS NOT NULL) AS ldnf,
+    arg_max("TeamPointsLast5", "RaceIndex") FILTER (WHERE "TeamPointsLast5" IS NOT NULL) AS ltp,
+    arg_max("TeamForm", "RaceIndex") FILTER (WHERE "TeamForm" IS NOT NULL) AS ltf,
+    arg_max("ChampPos", "RaceIndex") FILTER (WHERE "ChampPos" IS NOT NULL) AS lcp
+  FROM hist GROUP BY 1),
+features AS (
+  SELECT a."Year", a."Circuit", a."FullName", l."TeamName",
+    coalesce(l3, CAST(10 AS DOUBLE)) AS "AvgFinishLast3", coalesce(l5, CAST(10 AS DOUBLE)) AS "AvgFinishLast5",
+    coalesce(l10, CAST(10 AS DOUBLE)) AS "AvgFinishLast10", coalesce(lg5, CAST(10 AS DOUBLE)) AS "AvgGridLast5",
+    coalesce(ldnf, CAST(0.05 AS DOUBLE)) AS "DNFRateLast10", coalesce(ltp, CAST(0 AS DOUBLE)) AS "TeamPointsLast5",
+    coalesce(ltf, CAST(0 AS DOUBLE)) AS "TeamForm", coalesce(lcp, CAST(10 AS DOUBLE)) AS "ChampPos",
+    coalesce(c.circ_avg, l.overall) AS "CircuitAvgFinish",
+    CAST(coalesce(c.circ_wins, 0) AS DOUBLE) AS "CircuitWins",
+    coalesce(lg5, CAST(10 AS DOUBLE)) AS "GridPosition"
+  FROM active a JOIN lastv l ON a."FullName" = l."FullName"
+  LEFT JOIN circ c ON c."Year" = a."Year" AND c."Circuit" = a."Circuit" AND c."FullName" = a."FullName")"""
+
+TWO_STAGE = """,
+s1 AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY "Year", "Circuit"
+           ORDER BY CAST(1 AS DOUBLE) / greatest("AvgGridLast5", CAST(1 AS DOUBLE)) DESC, "FullName") AS INTEGER)
+         AS "PredictedGrid"
+  FROM features),
+s2 AS (
+  SELECT *, CAST(1 AS DOUBLE) / (CAST("PredictedGrid" AS DOUBLE) + greatest("AvgFinishLast5", CAST(1 AS DOUBLE))) AS w,
+         CAST(3 AS DOUBLE) / (CAST("PredictedGrid" AS DOUBLE) + greatest("CircuitAvgFinish", CAST(1 AS DOUBLE))
+                              + CAST(1 AS DOUBLE)) AS t3
+  FROM s1),
+s3 AS (
+  SELECT *, CAST(0.6 AS DOUBLE) * w + CAST(0.4 AS DOUBLE) * t3 AS comb FROM s2),
+s4 AS (
+  SELECT *, sum(comb) OVER (PARTITION BY "Year", "Circuit") AS tc,
+         sum(w) OVER (PARTITION BY "Year", "Circuit") AS tw,
+         sum(t3) OVER (PARTITION BY "Year", "Circuit") AS tt
+  FROM s3),
+fc AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY "Year", "Circuit"
+           ORDER BY CASE WHEN tc > 0 THEN comb / tc ELSE comb END DESC, "FullName") AS INTEGER) AS "PredictedFinish"
+  FROM s4),
+forecast AS (
+  SELECT "Year", "Circuit", "PredictedFinish" AS "PredictedRank", "FullName", "TeamName", "PredictedGrid",
+    "PredictedFinish",
+    round_even(CASE WHEN tw = 0 THEN NULL ELSE w / tw END * 100, 1) AS "WinProbability",
+    round_even(CASE WHEN tt = 0 THEN NULL ELSE t3 / tt END * 100, 1) AS "PodiumProbability",
+    "CircuitAvgFinish", "AvgFinishLast5", "AvgGridLast5", "DNFRateLast10", "ChampPos",
+    coalesce(nullif(concat_ws(' · ',
+      CASE WHEN "PredictedGrid" <= 3 THEN '🏁 Front-row starter'
+           WHEN "PredictedGrid" <= 6 THEN '🔵 Strong qualifier' END,
+      CASE WHEN "CircuitAvgFinish" < "AvgFinishLast5" - 2 THEN '🏟️ Track specialist' END,
+      CASE WHEN "DNFRateLast10" < 0.05 THEN '🔧 Reliable finisher'
+           WHEN "DNFRateLast10" > 0.25 THEN '⚠️ DNF risk' END,
+      CASE WHEN "ChampPos" <= 3 THEN '🏆 Championship leader'
+           WHEN "ChampPos" <= 6 THEN '📈 Title contender' END,
+      CASE WHEN "TeamForm" > 50 THEN '⚡ Team momentum' END), ''), '📊 Historical data') AS "Reasons"
+  FROM fc)"""
+
+LEGACY = """,
+h2 AS (SELECT * FROM hist WHERE "FullName" IN (SELECT "FullName" FROM active)),
+overall AS (
+  SELECT "FullName", avg("Position") AS avg_finish_overall,
+         arg_max("TeamName", "RaceIndex") FILTER (WHERE "TeamName" IS NOT NULL) AS "TeamName",
+         avg("GridPosition") AS avg_quali_pos
+  FROM h2 GROUP BY 1),
+circ2 AS (
+  SELECT t."Year", t."Circuit", h."FullName", sum(h."Position") / count(h."Position") AS circ_avg
+  FROM targets t JOIN h2 h ON contains(lower(h."Circuit"), lower(split_part(trim(t."Circuit"), ' ', 1)))
+  GROUP BY 1, 2, 3),
+tform AS (
+  SELECT "TeamName", CAST(coalesce(sum("Points"), 0) AS DOUBLE) AS team_form FROM (
+    SELECT *, row_number() OVER (PARTITION BY "TeamName" ORDER BY "Year" DESC, "Circuit" DESC, "FullName" DESC) AS rn
+    FROM h2 WHERE "TeamName" IS NOT NULL) x WHERE rn <= 5 GROUP BY 1),
+prof0 AS (
+  SELECT a."Year", a."Circuit", a."FullName", o."TeamName", o.avg_finish_overall, o.avg_quali_pos,
+         c.circ_avg, tf.team_form
+  FROM active a LEFT JOIN overall o ON o."FullName" = a."FullName"
+  LEFT JOIN circ2 c ON c."Year" = a."Year" AND c."Circuit" = a."Circuit" AND c."FullName" = a."FullName"
+  LEFT JOIN tform tf ON tf."TeamName" = o."TeamName"),
+pct AS (
+  SELECT "Year", "Circuit", quantile_cont(team_form, 0.5) AS med, quantile_cont(team_form, 0.75) AS p75
+  FROM prof0 GROUP BY 1, 2),
+profile AS (
+  SELECT p."Year", p."Circuit", p."FullName", p."TeamName",
+    coalesce(p.avg_finish_overall, CAST(12 AS DOUBLE)) AS avg_finish_overall,
+    coalesce(p.avg_quali_pos, CAST(12 AS DOUBLE)) AS avg_quali_pos,
+    coalesce(p.circ_avg, coalesce(p.avg_finish_overall, CAST(12 AS DOUBLE))) AS avg_finish_circuit,
+    coalesce(p.team_form, q.med) AS team_form, q.p75 AS team_form_p75
+  FROM prof0 p LEFT JOIN pct q ON q."Year" = p."Year" AND q."Circuit" = p."Circuit"),
+profile2 AS (
+  SELECT *, avg_finish_overall - avg_finish_circuit AS track_delta,
+         avg_finish_overall - avg_finish_circuit > 2.0 AS track_specialist FROM profile)"""
+
+LEGACY_FORECAST = """,
+l1 AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY "Year", "Circuit"
+      ORDER BY CAST(1 AS DOUBLE) / greatest(avg_quali_pos, CAST(1 AS DOUBLE)) DESC, "FullName") AS INTEGER) AS "PredictedGrid"
+  FROM profile2),
+l2 AS (
+  SELECT *, CAST(1 AS DOUBLE) / (CAST("PredictedGrid" AS DOUBLE) + greatest(avg_finish_overall, CAST(1 AS DOUBLE))) AS base,
+         max(avg_finish_circuit) OVER (PARTITION BY "Year", "Circuit") AS mx,
+         min(avg_finish_circuit) OVER (PARTITION BY "Year", "Circuit") AS mn
+  FROM l1),
+l3 AS (
+  SELECT *, base * (CAST(1 AS DOUBLE) + CAST(0.3 AS DOUBLE) * ((mx - avg_finish_circuit)
+                / greatest(mx - mn, CAST(1 AS DOUBLE)) - CAST(0.5 AS DOUBLE))) AS wp FROM l2),
+l4 AS (
+  SELECT *, CASE WHEN sum(wp) OVER (PARTITION BY "Year", "Circuit") > 0
+                 THEN wp / sum(wp) OVER (PARTITION BY "Year", "Circuit") ELSE wp END AS winp FROM l3),
+legacy AS (
+  SELECT "Year", "Circuit", "FullName", "TeamName", "PredictedGrid",
+    CAST(row_number() OVER (PARTITION BY "Year", "Circuit" ORDER BY winp DESC, "FullName") AS INTEGER) AS "PredictedFinish",
+    round_even(winp, 6) AS "WinProbability", avg_finish_circuit, avg_finish_overall, team_form,
+    coalesce(nullif(concat_ws(' · ',
+      CASE WHEN track_specialist THEN '📍 Track Specialist' END,
+      CASE WHEN "PredictedGrid" <= 3 THEN '🎯 Pole Contender' END,
+      CASE WHEN avg_finish_circuit <= 5 THEN '🔥 Circuit Ace' END,
+      CASE WHEN team_form >= team_form_p75 THEN '🚀 Team Momentum' END,
+      CASE WHEN avg_finish_overall <= 6 THEN '💪 Season Form' END), ''), '📈 Consistent Pace') AS "Reasons"
+  FROM l4)"""
+
+
+def forecast_ctes(as_of: str = AS_OF, target_year: bool = True) -> str:
+    sel = 's."Year"' if target_year else "CAST(NULL AS INTEGER)"
+    return GOLD + "," + SCHEDULE + "," + FORECAST.format(as_of=as_of, sel_expr=sel)
