@@ -104,6 +104,15 @@ def top_k_within(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[Or
     return res if out else res.drop(col)
 
 
+def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row DataFrame (a global aggregate) to
+    every row: an equi-join on a constant key with the single row broadcast,
+    which is bounded by construction."""
+    one = F.lit(1).alias("_one")
+    return (df.select("*", one).join(F.broadcast(one_row.select("*", one)), "_one")
+              .drop("_one"))
+
+
 def group_total(df: DataFrame, group_cols: Sequence[str], value: str | Column,
                 out: str, how: str = "sum") -> DataFrame:
     """Attach a per-group aggregate to every row via aggregate + join.
@@ -116,10 +125,7 @@ def group_total(df: DataFrame, group_cols: Sequence[str], value: str | Column,
     fn = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count, "avg": F.avg}[how]
     agg = df.groupBy(*group_cols).agg(fn(_expr(value)).alias(out))
     if not group_cols:
-        # a global aggregate is exactly one row: broadcasting it is bounded
-        one = F.lit(1).alias("_one")
-        return (df.select("*", one).join(F.broadcast(agg.select("*", one)), "_one")
-                  .drop("_one"))
+        return with_scalars(df, agg)
     renamed = agg.select(*[F.col(g).alias(f"_g_{g}") for g in group_cols], out)
     cond = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group_cols]
     return df.join(renamed, on=cond, how="left").drop(*[f"_g_{g}" for g in group_cols])

@@ -454,3 +454,52 @@ def q_profile(spark, sf):
 def q_legacy(spark, sf):
     hist, targets = _forecast_inputs(spark, sf)
     return FC.legacy_forecast(FC.entrant_profile(hist, targets))
+
+
+# --- training and evaluation -----------------------------------------------------------
+
+from ranklab.operators import ml as ML  # noqa: E402
+
+
+@register("training_split", O.with_(O.GOLD + O.ML_TASKS, """SELECT c.model, c.target, c.n_rows, c.positive_rate,
+  c.cutoff, count(*) FILTER (WHERE t."RaceIndex" <= c.cutoff) AS n_train,
+  count(*) FILTER (WHERE t."RaceIndex" > c.cutoff) AS n_test,
+  greatest(CAST(1 AS DOUBLE), count(*) FILTER (WHERE t."RaceIndex" <= c.cutoff AND t.y = 0)
+    / CAST(greatest(count(*) FILTER (WHERE t."RaceIndex" <= c.cutoff AND t.y = 1), 1) AS DOUBLE)) AS scale_pos_weight
+FROM cuts c JOIN task_rows t ON t.model = c.model GROUP BY 1, 2, 3, 4, 5"""),
+          "MLT1", "MLT2", "CLN12", "CLN13", "CLN17", "Q5")
+def q_split(spark, sf):
+    return ML.split_summary(gold_from_tables(spark, sf))
+
+
+@register("score_metrics", O.with_(O.GOLD + O.ML_TASKS, """SELECT model, count(*) AS n_test,
+  round_even(avg(CASE WHEN (p > 0.5) = (y = 1) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 4) AS accuracy,
+  round_even(coalesce(count(*) FILTER (WHERE p > 0.5 AND y = 1)
+    / CAST(nullif(count(*) FILTER (WHERE p > 0.5), 0) AS DOUBLE), CAST(0 AS DOUBLE)), 4) AS precision,
+  round_even((sum(CAST(r AS DOUBLE) + (CAST(c AS DOUBLE) - 1) / 2) FILTER (WHERE y = 1)
+    - CAST(count(*) FILTER (WHERE y = 1) AS DOUBLE) * (count(*) FILTER (WHERE y = 1) + 1) / 2)
+    / (CAST(count(*) FILTER (WHERE y = 1) AS DOUBLE) * count(*) FILTER (WHERE y = 0)), 4) AS roc_auc,
+  round_even(avg((p - y) * (p - y)), 4) AS brier
+FROM ranked GROUP BY 1"""), "EVL1", "EVL2", "EVL3")
+def q_score_metrics(spark, sf):
+    return ML.score_metrics(gold_from_tables(spark, sf),
+                            1.0 / F.greatest(F.col("AvgGridLast5"), F.lit(1.0)))
+
+
+@register("gbt_training", None, "MLT3", "MLT4", "MLT5", "EVL1", "EVL2", "EVL3", "EVL5", "EVL6", "SNK5")
+def q_gbt(spark, sf):
+    """Three boosted-tree tasks with the reference hyper-parameters; models
+    are saved and reloaded, the run is appended to the run log and the log
+    is returned newest first. Rows-only check (model-dependent values)."""
+    import uuid
+    gold = gold_from_tables(spark, sf).persist()
+    models, metrics, feats, sec = ML.timed_training(gold)
+    root = f"{spark.sparkContext.getCheckpointDir()}/models-{uuid.uuid4().hex}"
+    ML.save_models(models, root)
+    reloaded, _ = ML.load_model(root, "top3_model")
+    assert reloaded is not None
+    row = ML.run_log_row(spark, AS_OF, "batch", "all", 0, feats, metrics, sec)
+    row = row.withColumn("gold_row_count", F.lit(gold.count()).cast("long"))
+    ML.append_run_log(row, f"{root}/run_log")
+    history = ML.run_history(spark, f"{root}/run_log").select("run_at", "training_sec", "winner_auc")
+    return ML.with_scalars(metrics, history.limit(1))

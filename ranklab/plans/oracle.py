@@ -328,3 +328,32 @@ legacy AS (
 def forecast_ctes(as_of: str = AS_OF, target_year: bool = True) -> str:
     sel = 's."Year"' if target_year else "CAST(NULL AS INTEGER)"
     return GOLD + "," + SCHEDULE + "," + FORECAST.format(as_of=as_of, sel_expr=sel)
+
+ML_TASKS = """,
+task_rows AS (
+  SELECT 'race_winner_model' AS model, 'IsWinner' AS target, "RaceIndex", "IsWinner" AS y,
+         "AvgGridLast5" AS g5 FROM gold
+  WHERE "GridPosition" IS NOT NULL AND "AvgFinishLast5" IS NOT NULL AND "AvgFinishLast3" IS NOT NULL
+    AND "AvgGridLast5" IS NOT NULL AND "TeamForm" IS NOT NULL AND "DNFRateLast10" IS NOT NULL
+    AND "CircuitAvgFinish" IS NOT NULL AND "CircuitWins" IS NOT NULL AND "ChampPos" IS NOT NULL
+  UNION ALL
+  SELECT 'pole_position_model', 'IsPole', "RaceIndex", CASE WHEN "GridPosition" = 1 THEN 1 ELSE 0 END, "AvgGridLast5"
+  FROM gold
+  WHERE "AvgFinishLast5" IS NOT NULL AND "AvgFinishLast3" IS NOT NULL
+    AND "AvgGridLast5" IS NOT NULL AND "TeamForm" IS NOT NULL AND "DNFRateLast10" IS NOT NULL
+    AND "CircuitAvgFinish" IS NOT NULL AND "CircuitWins" IS NOT NULL AND "ChampPos" IS NOT NULL
+  UNION ALL
+  SELECT 'top3_model', 'IsTop3', "RaceIndex", "IsTop3", "AvgGridLast5" FROM gold
+  WHERE "GridPosition" IS NOT NULL AND "AvgFinishLast5" IS NOT NULL AND "AvgFinishLast3" IS NOT NULL
+    AND "AvgGridLast5" IS NOT NULL AND "TeamForm" IS NOT NULL AND "DNFRateLast10" IS NOT NULL
+    AND "CircuitAvgFinish" IS NOT NULL AND "CircuitWins" IS NOT NULL AND "ChampPos" IS NOT NULL),
+cuts AS (
+  SELECT model, target, count(*) AS n_rows, avg(CAST(y AS DOUBLE)) AS positive_rate,
+         quantile_cont("RaceIndex", 0.85) AS cutoff
+  FROM task_rows GROUP BY 1, 2),
+test_rows AS (
+  SELECT t.model, t.y, CAST(1 AS DOUBLE) / greatest(t.g5, CAST(1 AS DOUBLE)) AS p
+  FROM task_rows t JOIN cuts c ON c.model = t.model WHERE t."RaceIndex" > c.cutoff),
+ranked AS (
+  SELECT model, y, p, rank() OVER (PARTITION BY model ORDER BY p) AS r,
+         count(*) OVER (PARTITION BY model, p) AS c FROM test_rows)"""
