@@ -129,3 +129,26 @@ def group_total(df: DataFrame, group_cols: Sequence[str], value: str | Column,
     renamed = agg.select(*[F.col(g).alias(f"_g_{g}") for g in group_cols], out)
     cond = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group_cols]
     return df.join(renamed, on=cond, how="left").drop(*[f"_g_{g}" for g in group_cols])
+
+
+def rolling_rows(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[OrderKey],
+                 value: str, k: int, out: str, how: str = "sum") -> DataFrame:
+    """Aggregate of ``value`` over the ``k`` rows before each row of its
+    group (frame ROWS BETWEEN k PRECEDING AND 1 PRECEDING), for groups that
+    may be huge.
+
+    Each row gets its position ``seq`` in the group (skew-safe row_number),
+    then sends its value to the ``k`` following positions (an explode of
+    1..k), and the contributions are aggregated per (group, seq) and joined
+    back. Every step is keyed by (group, seq), so a hot group spreads over
+    all tasks; the cost is k copies of (group, seq, value).
+    """
+    fn = {"sum": F.sum, "avg": F.avg, "count": F.count, "max": F.max, "min": F.min}[how]
+    seqd = rank_within(df, group_cols, order_by, out="_seq", method="row_number", skew_safe=True)
+    sent = (seqd.select(*[F.col(g).alias(f"_r_{g}") for g in group_cols], "_seq",
+                        F.col(value).alias("_v"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_d"))
+            .select(*[f"_r_{g}" for g in group_cols], (F.col("_seq") + F.col("_d")).alias("_to"), "_v"))
+    agg = sent.groupBy(*[f"_r_{g}" for g in group_cols], "_to").agg(fn("_v").alias(out))
+    cond = [F.col("_seq") == F.col("_to")] + [F.col(g).eqNullSafe(F.col(f"_r_{g}")) for g in group_cols]
+    return (seqd.join(agg, cond, "left")
+                .drop("_to", *[f"_r_{g}" for g in group_cols], "_seq"))

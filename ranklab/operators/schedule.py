@@ -47,15 +47,22 @@ def standardize_schedule(raw: DataFrame) -> DataFrame:
     return df.select(*[c for c in SCHEDULE_COLUMNS if c in df.columns])
 
 
-def schedule_from_json_records(spark, path: str, year: int) -> DataFrame:
-    """SRC11: meeting records (JSON lines) -> standard schedule; the record
-    ordinal stands in for a missing meeting key."""
-    recs = spark.read.json(path).withColumn("_ord", F.monotonically_increasing_id())
-    w = Window.orderBy("_ord")
-    cols = set(recs.columns)
-    pick = lambda c: F.col(c) if c in cols else F.lit(None).cast("string")
+MEETING_SCHEMA = ("meeting_key long, meeting_official_name string, meeting_name string, "
+                  "country_name string, location string, date_start string")
+
+
+def schedule_from_json_records(spark, path: str, year: int | None = None) -> DataFrame:
+    """SRC11: meeting records (JSON lines) -> standard schedule. Absent keys
+    get defaults; a missing meeting key falls back to the record's ordinal
+    within its season (file order). ``year`` None = the start date's year."""
+    recs = (spark.read.schema(MEETING_SCHEMA).json(path)
+            .withColumn("_ord", F.monotonically_increasing_id()))
+    yr = F.lit(year) if year is not None else F.year(F.to_timestamp("date_start"))
+    recs = recs.withColumn("Year", yr.cast("int"))
+    w = Window.partitionBy("Year").orderBy("_ord")  # one season's meetings per group
+    pick = F.col
     return recs.select(
-        F.lit(year).alias("Year"),
+        "Year",
         F.coalesce(pick("meeting_key").cast("long"), F.row_number().over(w).cast("long")).alias("round_number"),
         F.coalesce(pick("meeting_official_name"), pick("meeting_name"), F.lit("")).alias("race_name"),
         F.coalesce(pick("country_name"), F.lit("")).alias("country"),
@@ -64,6 +71,14 @@ def schedule_from_json_records(spark, path: str, year: int) -> DataFrame:
         F.lit(False).alias("is_sprint"))
 
 
+def meeting_records(sched: DataFrame) -> DataFrame:
+    """The schedule as provider meeting records (SNK4 input)."""
+    return sched.select(F.col("round_number").cast("long").alias("meeting_key"),
+                        F.col("race_name").alias("meeting_official_name"),
+                        F.col("country").alias("country_name"), "location",
+                        F.date_format("event_date", "yyyy-MM-dd'T'HH:mm:ss").alias("date_start"))
+
+
 def with_status(sched: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
     """SCH2: 'completed' when the event date is before ``as_of``."""
     return sched.withColumn("status", F.when(F.col("event_date") < F.to_timestamp(F.lit(as_of)),

@@ -503,3 +503,129 @@ def q_gbt(spark, sf):
     ML.append_run_log(row, f"{root}/run_log")
     history = ML.run_history(spark, f"{root}/run_log").select("run_at", "training_sec", "winner_auc")
     return ML.with_scalars(metrics, history.limit(1))
+
+
+# --- bronze files, sinks and streaming -------------------------------------------------
+
+from ranklab.operators.gold import build_gold, compat_features  # noqa: E402
+from ranklab.operators.silver import clean_silver  # noqa: E402
+from ranklab.operators.standings import heuristic_pick, season_standings  # noqa: E402
+from ranklab.sources import sinks as SK  # noqa: E402
+from ranklab.sources.bronze import scan_bronze  # noqa: E402
+from ranklab.sources.fixture import bronze_results, event_results, qualifying  # noqa: E402
+from ranklab.streaming.ingest import ingest, read_silver  # noqa: E402
+
+SILVER_SQL = O.with_(S, 'SELECT "Year", "Circuit", "FullName", "TeamName", "Position", "GridPosition", '
+                        '"Points", "RaceIndex" FROM silver')
+
+
+def _typed_silver(df):
+    return df.select("Year", "Circuit", "FullName", "TeamName", F.col("Position").cast("int").alias("Position"),
+                     F.col("GridPosition").cast("int").alias("GridPosition"),
+                     F.col("Points").cast("int").alias("Points"), "RaceIndex")
+
+
+def _bronze_root(spark, sf, with_quali=False):
+    root = SK.scratch_path(spark, "bronze")
+    res = event_results(spark, sf, with_quali_grid=with_quali)
+    SK.write_bronze(bronze_results(res), root)
+    if with_quali:
+        q = (qualifying(res).select("FullName", F.col("GridPosition").cast("string").alias("GridPosition"),
+                                    "Session",
+                                    F.concat_ws("_", F.col("Year").cast("string"), F.translate("Circuit", " ", "_"),
+                                                F.lit("qualifying.csv")).alias("Source")))
+        # one task writes each event file, rows in session order: "last wins" is well defined
+        (q.repartition("Source").sortWithinPartitions("Source", "Session").write.mode("append")
+         .option("header", "true").partitionBy("Source").csv(root))
+    return root
+
+
+@register("bronze_roundtrip", SILVER_SQL, "SNK1", "SRC1", "SRC4", "SRC6", "SRC7", "SET1", "CLN1", "CLN2",
+          "CLN4", "CLN5", "CLN8")
+def q_bronze(spark, sf):
+    root = _bronze_root(spark, sf)
+    return _typed_silver(clean_silver(scan_bronze(spark, root)))
+
+
+@register("gold_from_bronze", O.with_(O.GOLD, O.GOLD_SELECT), "SRC2", "JON2", "CLN7", "Q9")
+def q_gold_bronze(spark, sf):
+    from ranklab.plans.pipeline import GOLD_COLUMNS
+    root = _bronze_root(spark, sf, with_quali=True)
+    silver = clean_silver(scan_bronze(spark, root))
+    quali = scan_bronze(spark, root, "qualifying", required=False)
+    quali = quali.withColumn("_order", F.struct(F.col("Source"), F.col("_row")))
+    # later file, later row wins among duplicate qualifying keys
+    gold = build_gold(silver, quali.withColumn("Session", F.col("_order")))
+    return gold.select(*GOLD_COLUMNS)
+
+
+@register("stream_ingest", SILVER_SQL, "STR1", "SNK2", "SRC8")
+def q_stream(spark, sf):
+    root = SK.scratch_path(spark, "bronze")
+    silver_path, ck = SK.scratch_path(spark, "silver"), SK.scratch_path(spark, "stream-ck")
+    b = bronze_results(event_results(spark, sf)).withColumn(
+        "_y", F.regexp_extract("Source", r"^(\d+)_", 1).cast("int"))
+    first_year = b.agg(F.min("_y")).first()[0]
+    SK.write_bronze(b.filter(F.col("_y") <= first_year + 2).drop("_y"), root)
+    ingest(spark, root, silver_path, ck)                       # files present now
+    SK.write_bronze(b.filter(F.col("_y") > first_year + 2).drop("_y"), root, mode="append")
+    ingest(spark, root, silver_path, ck)                       # only the new files
+    ingest(spark, root, silver_path, ck)                       # nothing new: no-op
+    return _typed_silver(read_silver(spark, silver_path))
+
+
+@register("compat_features", O.with_(S, """SELECT "Year", "Circuit", "FullName", "TeamName",
+  "Position" AS "ClassifiedPosition", CAST(coalesce("GridPosition", 22) AS INTEGER) AS "GridPosition",
+  CAST("Points" AS DOUBLE) AS "Points",
+  avg("Position") OVER (PARTITION BY "FullName" ORDER BY "Year", "Circuit" ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)
+    AS "AvgFinishLast5",
+  sum(CAST("Points" AS DOUBLE)) OVER (PARTITION BY "TeamName" ORDER BY "Year", "Circuit", "FullName"
+    ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS "TeamForm"
+FROM silver"""), "WIN9", "WIN10", "CLN3", "Q7")
+def q_compat(spark, sf):
+    raw = bronze_results(event_results(spark, sf)).withColumns({
+        "Year": F.regexp_extract("Source", r"^(\d+)_", 1).cast("int"),
+        "Circuit": F.translate(F.regexp_extract("Source", r"^\d+_(.*)_results\.csv$", 1), "_", " ")})
+    return compat_features(raw).select("Year", "Circuit", "FullName", "TeamName", "ClassifiedPosition",
+                                       "GridPosition", "Points", "AvgFinishLast5", "TeamForm")
+
+
+@register("gold_versioned_count", O.with_(O.GOLD, 'SELECT count(*) AS "Rows" FROM gold'), "SNK3", "SRC8", "SRC10")
+def q_versioned(spark, sf):
+    root = SK.scratch_path(spark, "gold")
+    SK.write_version(gold_table(spark, sf), root)
+    latest = SK.latest_version(spark, root)
+    n = spark.read.parquet(latest).count()  # parquet count: footers only
+    return spark.createDataFrame([(n,)], '"Rows" long'.replace('"', ""))
+
+
+@register("schedule_json_roundtrip", O.with_(SCH, "SELECT * FROM sched"), "SNK4", "SRC11")
+def q_json(spark, sf):
+    path = SK.scratch_path(spark, "meetings")
+    sched = _schedule(spark, sf)
+    SK.write_json_records(SC.meeting_records(sched), path)
+    back = SC.schedule_from_json_records(spark, path)
+    # provider records carry no format: the sprint flag comes from the raw schedule
+    flags = sched.select("Year", "round_number", "is_sprint")
+    return (back.drop("is_sprint").join(flags, ["Year", "round_number"])
+            .select(*[c for c in SC.SCHEDULE_COLUMNS]))
+
+
+@register("prediction_text", O.with_(S + ",\n" + STANDINGS_SQL + "," + SCH, f"""SELECT e."Year", n.race_name,
+  printf('# %d %s GP Prediction\n\n- Pole Setter: %s\n- Race Winner: %s\n- Winning Constructor: %s\n',
+         e."Year", upper(left(n.race_name, 1)) || lower(substr(n.race_name, 2)), e."FullName", e."FullName",
+         t."TeamName") AS text
+FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "Year" ORDER BY "Points" DESC, "FullName") AS rn
+                     FROM standings) x WHERE rn = 1) e
+JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "Year" ORDER BY "TeamPoints" DESC, "TeamName") AS rn
+                     FROM (SELECT "Year", "TeamName", CAST(coalesce(sum("Points"), 0) AS BIGINT) AS "TeamPoints"
+                           FROM standings GROUP BY 1, 2) s) y WHERE rn = 1) t ON e."Year" = t."Year"
+JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "Year" ORDER BY round_number) AS rn
+                     FROM sched WHERE event_date >= {O.AS_OF}) z WHERE rn = 1) n ON n."Year" = e."Year\""""),
+          "SNK6")
+def q_text(spark, sf):
+    picks = heuristic_pick(season_standings(silver_from_tables(spark, sf)))
+    text = SK.prediction_text(picks, SC.next_event(_schedule(spark, sf), AS_OF))
+    path = SK.scratch_path(spark, "predictions-md")
+    SK.write_text(text, path)
+    return text
