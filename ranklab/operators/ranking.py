@@ -68,9 +68,11 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[Ord
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *[F.col(g).asc_nulls_last() for g in group], *sort)
-                .withColumn("_slice", F.spark_partition_id())
+    keys = [*[F.col(g).asc_nulls_last() for g in group], *sort]
+    # without an explicit count AQE sizes the range partitions from the data
+    # (coalescing neighbours keeps the ranges ordered)
+    ranged = (df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys))
+    ranged = (ranged.withColumn("_slice", F.spark_partition_id())
                 .checkpoint(eager=True))
 
     local_w = Window.partitionBy(*group, "_slice").orderBy(*sort)

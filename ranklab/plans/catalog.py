@@ -493,13 +493,12 @@ def q_gbt(spark, sf):
     is returned newest first. Rows-only check (model-dependent values)."""
     import uuid
     gold = gold_from_tables(spark, sf).persist()
-    models, metrics, feats, sec = ML.timed_training(gold)
+    models, metrics, feats, sec = ML.fitted(gold, sf)
     root = f"{spark.sparkContext.getCheckpointDir()}/models-{uuid.uuid4().hex}"
     ML.save_models(models, root)
     reloaded, _ = ML.load_model(root, "top3_model")
     assert reloaded is not None
-    row = ML.run_log_row(spark, AS_OF, "batch", "all", 0, feats, metrics, sec)
-    row = row.withColumn("gold_row_count", F.lit(gold.count()).cast("long"))
+    row = ML.run_log_row(spark, AS_OF, "batch", "all", 0, gold.count(), feats, metrics, sec)
     ML.append_run_log(row, f"{root}/run_log")
     history = ML.run_history(spark, f"{root}/run_log").select("run_at", "training_sec", "winner_auc")
     return ML.with_scalars(metrics, history.limit(1))
@@ -629,3 +628,25 @@ def q_text(spark, sf):
     path = SK.scratch_path(spark, "predictions-md")
     SK.write_text(text, path)
     return text
+
+
+@register("ml_forecast", None, "MLT4", "CLN10", "CLN11", "FCT2", "FCT4")
+def q_ml_forecast(spark, sf):
+    """Both forecasts with the fitted boosted trees as scorers: stage 1 the
+    pole model, stage 2 the winner and podium models; the legacy forecast maps
+    the models' feature names onto its profile columns. Rows-only check."""
+    gold = gold_from_tables(spark, sf)
+    models, _, _, _ = ML.fitted(gold, sf)
+    hist, targets = _forecast_inputs(spark, sf)
+    fc = FC.two_stage_forecast(FC.feature_rows(hist, targets),
+                               pole=ML.ml_scorer(models["pole_position_model"]),
+                               winner=ML.ml_scorer(models["race_winner_model"]),
+                               top3=ML.ml_scorer(models["top3_model"]))
+    legacy = FC.legacy_forecast(FC.entrant_profile(hist, targets),
+                                qual=ML.legacy_ml_scorer(models["pole_position_model"]),
+                                race=ML.legacy_ml_scorer(models["race_winner_model"]))
+    return (fc.select("Year", "Circuit", "FullName", "PredictedGrid", "PredictedFinish", "WinProbability")
+            .join(legacy.select("Year", "Circuit", "FullName",
+                                F.col("PredictedFinish").alias("LegacyFinish"),
+                                F.col("WinProbability").alias("LegacyWinShare")),
+                  ["Year", "Circuit", "FullName"], "left"))
