@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklab.functions.columns import half_even
@@ -118,7 +118,9 @@ def users_from_customers(customers: DataFrame) -> DataFrame:
 
 
 def strategy_users(spark) -> DataFrame:
-    return spark.createDataFrame(list(STRATEGY_USERS), "id int, username string")
+    """The strategy users as an inline table (JVM-side, no Python rows)."""
+    values = ", ".join(f"({i}, '{n}')" for i, n in STRATEGY_USERS)
+    return spark.sql(f"SELECT CAST(id AS INT) AS id, username FROM VALUES {values} AS t(id, username)")
 
 
 def leaderboard(scored: DataFrame, users: DataFrame, skew_safe: bool = True) -> DataFrame:
@@ -179,11 +181,11 @@ def deadline_of(day_col: str = "day") -> F.Column:
 
 def effective_predictions(subs: DataFrame) -> DataFrame:
     """OPS2: per key the latest submission strictly before the deadline
-    (ties by larger event_id). Keys are (user, day): small groups."""
+    (ties by larger event_id). A keep-last aggregation (map-side combine),
+    so one user-day with a flood of submissions stays cheap."""
+    from ranklab.operators.silver import keep_last
     ok = subs.filter(F.col("ts") < deadline_of())
-    w = Window.partitionBy("user_id", "day").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    return (ok.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-            .withColumn("lock_deadline", deadline_of()))
+    return keep_last(ok, ["user_id", "day"], ["ts", "event_id"]).withColumn("lock_deadline", deadline_of())
 
 
 def merge_submissions(subs: DataFrame) -> DataFrame:
@@ -194,11 +196,13 @@ def merge_submissions(subs: DataFrame) -> DataFrame:
              .agg(F.min("ts").alias("locked_at")))
     drafts = subs.filter(F.col("event_type") == "click").join(locks, ["user_id", "day"], "left")
     rejected = F.col("locked_at").isNotNull() & (F.col("ts") >= F.col("locked_at"))
-    w = Window.partitionBy("user_id", "day").orderBy(
-        F.when(rejected, 1).otherwise(0), F.col("ts").desc(), F.col("event_id").desc())
-    return (drafts.withColumn("status", F.when(rejected, "rejected").otherwise("accepted"))
-            .withColumn("reason", F.when(rejected, "locked"))
-            .withColumn("is_stored", (F.row_number().over(w) == 1) & ~rejected)
+    decided = (drafts.withColumn("status", F.when(rejected, "rejected").otherwise("accepted"))
+               .withColumn("reason", F.when(rejected, "locked")))
+    # the stored draft per key: the last accepted one (aggregate, then join)
+    stored = (decided.filter(F.col("status") == "accepted").groupBy("user_id", "day")
+              .agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("_stored")))
+    return (decided.join(stored, ["user_id", "day"], "left")
+            .withColumn("is_stored", F.coalesce(F.col("event_id") == F.col("_stored"), F.lit(False)))
             .select("user_id", "day", "event_id", "ts", "value", "status", "reason", "is_stored",
                     "locked_at"))
 

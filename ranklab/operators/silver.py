@@ -31,16 +31,21 @@ def normalize_names(df: DataFrame, col: str = "FullName",
                     aliases: Mapping[str, str] | DataFrame | None = None) -> DataFrame:
     """CLN1: null/NA -> 'Unknown', trim, then an exact alias lookup.
 
-    The lookup is a left join. A dict alias map has a known row count, so it is
-    broadcast when under ``MAX_ALIAS_ROWS``; an alias DataFrame is joined
-    without a hint and AQE decides from its runtime size.
+    A dict alias map (bounded by ``MAX_ALIAS_ROWS``) becomes a literal map
+    column - a JVM-side lookup, no join and no Python. An alias DataFrame is
+    a left join without a hint; AQE broadcasts it when its runtime size is
+    under the threshold.
     """
     aliases = DEFAULT_NAME_ALIASES if aliases is None else aliases
-    spark = df.sparkSession
-    amap = alias_frame(spark, aliases)
-    if not isinstance(aliases, DataFrame) and len(aliases) <= MAX_ALIAS_ROWS:
-        amap = F.broadcast(amap)
     cleaned = df.withColumn(col, clean_name(col))
+    if not isinstance(aliases, DataFrame):
+        if len(aliases) > MAX_ALIAS_ROWS:
+            raise ValueError(f"alias dict over {MAX_ALIAS_ROWS} entries: pass a DataFrame")
+        if not aliases:
+            return cleaned
+        lookup = F.create_map(*[F.lit(x) for kv in sorted(aliases.items()) for x in kv])
+        return cleaned.withColumn(col, F.coalesce(F.element_at(lookup, F.col(col)), F.col(col)))
+    amap = alias_frame(df.sparkSession, aliases)
     return (cleaned.join(amap, cleaned[col] == amap["_alias"], "left")
                    .withColumn(col, F.coalesce(F.col("_canonical"), F.col(col)))
                    .drop("_alias", "_canonical"))
@@ -69,9 +74,15 @@ def guarded_positions(df: DataFrame, cols: Sequence[str] = ("ClassifiedPosition"
 
 def keep_last(df: DataFrame, keys: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
     """SRC5/SET4/Q9: one row per key, the last one in ``order_cols`` order.
-    Groups are per (event, entrant) and therefore small."""
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order_cols])
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+
+    An aggregation, not a window: ``max_by(row, order)`` is combined map-side,
+    so a key with a huge number of copies is reduced to one row per map task
+    before the shuffle instead of landing whole in one task.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    order = F.struct(*[F.col(c) for c in order_cols]) if order_cols else F.lit(0)
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last"))
+    return last.select(*keys, "_last.*").select(*df.columns)
 
 
 def event_index(df: DataFrame, keys: Sequence[str] = EVENT, out: str = "RaceIndex") -> DataFrame:
