@@ -123,7 +123,7 @@ def strategy_users(spark) -> DataFrame:
     return spark.sql(f"SELECT CAST(id AS INT) AS id, username FROM VALUES {values} AS t(id, username)")
 
 
-def leaderboard(scored: DataFrame, users: DataFrame, skew_safe: bool = True) -> DataFrame:
+def leaderboard(scored: DataFrame, users: DataFrame, skew_safe: bool | None = None) -> DataFrame:
     """AGG20/JON5/TXT5: per user over scored predictions; null hits count as
     0, null MAE/rho are skipped; ranked by mean podium hits (ties by name)."""
     s = scored.filter(F.col("scored_at").isNotNull())

@@ -8,6 +8,8 @@ entrant of that event, so at scale a handful of events own almost all rows and
 
 * ``skew_safe=False`` - one ``Window`` (fine when groups are small, e.g. per
   entrant or per user);
+* ``skew_safe=None`` (default) - measure the largest group and use the
+  window when it is under ``WINDOW_GROUP_ROWS``, the sliced plan otherwise;
 * ``skew_safe=True`` - the group is cut into ordered *slices* by a range
   partitioning on (group, sort keys). Equal sort keys always land in the same
   slice, so a rank computed inside a slice plus the number of rows of the same
@@ -32,6 +34,40 @@ from ranklab.session import ensure_checkpoint_dir
 
 OrderKey = tuple[str | Column, bool]  # (expression, descending)
 
+# Groups up to this many rows are ranked/windowed in one task; larger groups
+# take the sliced plans. Override with the Spark conf ``ranklab.windowGroupRows``.
+WINDOW_GROUP_ROWS = 1_000_000
+
+
+def window_group_limit(spark) -> int:
+    return int(spark.conf.get("ranklab.windowGroupRows", str(WINDOW_GROUP_ROWS)))
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` once as a reliable checkpoint (the cluster's shared
+    ``spark.checkpoint.dir``) and continue from the written data: later
+    reads - a size check, several branches - do not recompute the lineage,
+    and executor loss cannot force it either."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
+    """Row count of the largest group: one aggregation (partial, map-side)
+    whose result - a single number - is the size check."""
+    if not group_cols:
+        return df.count()
+    r = df.groupBy(*group_cols).count().agg(F.max("count")).first()[0]
+    return int(r or 0)
+
+
+def needs_slicing(df: DataFrame, group_cols: Sequence[str], skew_safe: bool | None) -> bool:
+    """``skew_safe`` True/False forces a plan; None decides by the size of
+    the largest group (measured, not guessed)."""
+    if skew_safe is not None:
+        return skew_safe
+    return largest_group(df, group_cols) > window_group_limit(df.sparkSession)
+
 _RANKERS = {
     "rank": F.rank,
     "row_number": F.row_number,
@@ -52,17 +88,21 @@ def _sort_exprs(order_by: Sequence[OrderKey]) -> list[Column]:
 
 
 def rank_within(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[OrderKey],
-                out: str = "rank", method: str = "rank", skew_safe: bool = True,
+                out: str = "rank", method: str = "rank", skew_safe: bool | None = None,
                 slices: int | None = None) -> DataFrame:
     """Add ``out`` = rank/row_number/dense_rank of each row inside its group.
 
     ``group_cols`` may be empty (one global ranking). The result type is int,
-    like Spark's ranking functions.
+    like Spark's ranking functions. ``skew_safe=None`` measures the largest
+    group first (``needs_slicing``); the input should be materialized (silver,
+    a checkpoint) since the check reads it once more.
     """
     ranker = _RANKERS[method]
     sort = _sort_exprs(order_by)
     group = list(group_cols)
-    if not skew_safe:
+    if skew_safe is None:
+        df = materialize(df)  # measured and ranked from the same written data
+    if not needs_slicing(df, group, skew_safe):
         w = Window.partitionBy(*group).orderBy(*sort) if group else Window.orderBy(*sort)
         return df.withColumn(out, ranker().over(w))
 
@@ -134,7 +174,8 @@ def group_total(df: DataFrame, group_cols: Sequence[str], value: str | Column,
 
 
 def rolling_rows(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[OrderKey],
-                 value: str, k: int, out: str, how: str = "sum") -> DataFrame:
+                 value: str, k: int, out: str, how: str = "sum",
+                 skew_safe: bool | None = None) -> DataFrame:
     """Aggregate of ``value`` over the ``k`` rows before each row of its
     group (frame ROWS BETWEEN k PRECEDING AND 1 PRECEDING), for groups that
     may be huge.
@@ -146,6 +187,11 @@ def rolling_rows(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[Or
     all tasks; the cost is k copies of (group, seq, value).
     """
     fn = {"sum": F.sum, "avg": F.avg, "count": F.count, "max": F.max, "min": F.min}[how]
+    if skew_safe is None:
+        df = materialize(df)
+    if not needs_slicing(df, group_cols, skew_safe):
+        w = (Window.partitionBy(*group_cols) if group_cols else Window).orderBy(*_sort_exprs(order_by))
+        return df.withColumn(out, fn(value).over(w.rowsBetween(-k, -1)))
     seqd = rank_within(df, group_cols, order_by, out="_seq", method="row_number", skew_safe=True)
     sent = (seqd.select(*[F.col(g).alias(f"_r_{g}") for g in group_cols], "_seq",
                         F.col(value).alias("_v"), F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_d"))
@@ -154,3 +200,60 @@ def rolling_rows(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[Or
     cond = [F.col("_seq") == F.col("_to")] + [F.col(g).eqNullSafe(F.col(f"_r_{g}")) for g in group_cols]
     return (seqd.join(agg, cond, "left")
                 .drop("_to", *[f"_r_{g}" for g in group_cols], "_seq"))
+
+
+def _slices(df: DataFrame, group: Sequence[str], sort: Sequence[Column],
+            slices: int | None = None) -> DataFrame:
+    """Range-partition on (group, sort keys), tag each row with its slice id
+    and freeze that with a reliable checkpoint."""
+    ensure_checkpoint_dir(df.sparkSession)
+    keys = [*[F.col(g).asc_nulls_last() for g in group], *sort]
+    ranged = df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys)
+    return ranged.withColumn("_slice", F.spark_partition_id()).checkpoint(eager=True)
+
+
+def running_within(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[OrderKey],
+                   sums: dict[str, str | Column], seq: str | None = None,
+                   include_current: bool = False, slices: int | None = None) -> DataFrame:
+    """Skew-safe running totals per group in ``order_by`` order.
+
+    Adds, for each ``name -> value`` in ``sums``, ``name`` = sum of the value
+    over the earlier rows of the group (``include_current`` adds the row
+    itself; nulls count as 0) and ``name + '_n'`` = how many of those values
+    were non-null; with ``seq`` also the 1-based row number. One slicing pass
+    serves all of them: a window inside each (group, slice) plus the totals of
+    the group's earlier slices.
+    """
+    group = list(group_cols)
+    sort = _sort_exprs(order_by)
+    ranged = _slices(df, group, sort, slices)
+    upper = 0 if include_current else -1
+    lw = Window.partitionBy(*group, "_slice").orderBy(*sort)
+    frame = lw.rowsBetween(Window.unboundedPreceding, upper)
+    cols = {}
+    for name, v in sums.items():
+        e = _expr(v)
+        cols[f"_l_{name}"] = F.coalesce(F.sum(F.coalesce(e, F.lit(0))).over(frame), F.lit(0))
+        cols[f"_l_{name}_n"] = F.count(e).over(frame)
+    if seq:
+        cols["_l_seq"] = F.row_number().over(lw)
+    local = ranged.withColumns(cols)
+    totals = ranged.groupBy(*group, "_slice").agg(
+        F.count(F.lit(1)).alias("_t_rows"),
+        *[F.coalesce(F.sum(F.coalesce(_expr(v), F.lit(0))), F.lit(0)).alias(f"_t_{n}") for n, v in sums.items()],
+        *[F.count(_expr(v)).alias(f"_t_{n}_n") for n, v in sums.items()])
+    prior = (Window.partitionBy(*group) if group else Window).orderBy("_slice").rowsBetween(
+        Window.unboundedPreceding, -1)
+    tcols = ["_t_rows", *[f"_t_{n}" for n in sums], *[f"_t_{n}_n" for n in sums]]
+    offsets = totals.select(*[F.col(g).alias(f"_o_{g}") for g in group], F.col("_slice").alias("_o_slice"),
+                            *[F.coalesce(F.sum(c).over(prior), F.lit(0)).alias(f"_o{c}") for c in tcols])
+    cond = [F.col("_slice") == F.col("_o_slice")] + [F.col(g).eqNullSafe(F.col(f"_o_{g}")) for g in group]
+    j = local.join(offsets, cond, "inner")
+    out = {}
+    for n in sums:
+        out[n] = F.col(f"_l_{n}") + F.col(f"_o_t_{n}")
+        out[f"{n}_n"] = (F.col(f"_l_{n}_n") + F.col(f"_o_t_{n}_n")).cast("long")
+    if seq:
+        out[seq] = (F.col("_l_seq") + F.col("_o_t_rows")).cast("int")
+    drop = [c for c in j.columns if c.startswith("_l_") or c.startswith("_o")] + ["_slice"]
+    return j.withColumns(out).drop(*drop)

@@ -40,7 +40,7 @@ def entrant_form(results: DataFrame, keys: Sequence[str] = ("FullName", "TeamNam
                  _points().alias("points")))
 
 
-def season_standings(results: DataFrame, skew_safe: bool = True) -> DataFrame:
+def season_standings(results: DataFrame, skew_safe: bool | None = None) -> DataFrame:
     """AGG2 (+AGG4, WIN12, WIN13): per (Year, entrant) points, last non-null
     team by event order, wins, podiums, races; championship position (ties
     broken by name) and gap to the season leader."""
@@ -57,7 +57,7 @@ def season_standings(results: DataFrame, skew_safe: bool = True) -> DataFrame:
     return lead.withColumn("Gap", (F.col("_lead") - F.col("Points")).cast("long")).drop("_lead")
 
 
-def team_standings(results: DataFrame, skew_safe: bool = True) -> DataFrame:
+def team_standings(results: DataFrame, skew_safe: bool | None = None) -> DataFrame:
     """AGG3: team points per season, position and gap."""
     agg = (results.filter(F.col("TeamName").isNotNull())
            .groupBy("Year", "TeamName").agg(_points().alias("Points")))
@@ -113,7 +113,7 @@ def points_split(results: DataFrame) -> DataFrame:
 
 
 def historical_stats(results: DataFrame, threshold: int = DNF_POSITION,
-                     skew_safe: bool = True) -> DataFrame:
+                     skew_safe: bool | None = None) -> DataFrame:
     """AGG11: per season *and* all-time in one pass (GROUPING SETS).
     ``Scope`` is the season as text, or 'All Time'."""
     agg = (results.groupingSets([["Year", "FullName"], ["FullName"]], "Year", "FullName")
@@ -155,7 +155,7 @@ def distinct_counts(results: DataFrame) -> DataFrame:
                        F.count_distinct("Year", "Circuit").alias("Events"))
 
 
-def heuristic_pick(standings: DataFrame, skew_safe: bool = True) -> DataFrame:
+def heuristic_pick(standings: DataFrame, skew_safe: bool | None = None) -> DataFrame:
     """AGG19/FCT5: per season, the top entrant by points is both pole setter
     and winner; the top team by summed entrant points wins the constructors'
     pick. Ties go to the smaller name."""

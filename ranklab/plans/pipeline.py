@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklab.operators.gold import build_gold
+from ranklab.operators.ranking import materialize
 from ranklab.operators.silver import with_event_index
 from ranklab.sources.fixture import event_results, qualifying
 
@@ -13,18 +14,19 @@ SILVER_COLUMNS = ("Year", "Circuit", "FullName", "TeamName", "Position", "GridPo
                   "Points", "RaceIndex")
 
 
-def silver_from_tables(spark: SparkSession, sf_dir: str, skew_safe: bool = True) -> DataFrame:
+def silver_from_tables(spark: SparkSession, sf_dir: str, skew_safe: bool | None = None) -> DataFrame:
     """Typed results with RaceIndex (CLN6/JON1) straight from the tables."""
     return with_event_index(event_results(spark, sf_dir, skew_safe)).select(*SILVER_COLUMNS)
 
 
-def gold_from_tables(spark: SparkSession, sf_dir: str, skew_safe: bool = True,
+def gold_from_tables(spark: SparkSession, sf_dir: str, skew_safe: bool | None = None,
                      with_qualifying: bool = True) -> DataFrame:
     """Gold features; the grid comes from the qualifying sessions (CLN7)."""
     res = event_results(spark, sf_dir, skew_safe, with_quali_grid=with_qualifying)
     silver = with_event_index(res)
     quali = qualifying(res) if with_qualifying else None
-    return build_gold(silver.drop("_qgrid", "EntrantKey"), quali, skew_safe=skew_safe)
+    # gold is a layer: written once, read by every consumer branch
+    return materialize(build_gold(silver.drop("_qgrid", "EntrantKey"), quali, skew_safe=skew_safe))
 
 
 GOLD_COLUMNS = (
@@ -35,7 +37,7 @@ GOLD_COLUMNS = (
 )
 
 
-def gold_table(spark: SparkSession, sf_dir: str, skew_safe: bool = True) -> DataFrame:
+def gold_table(spark: SparkSession, sf_dir: str, skew_safe: bool | None = None) -> DataFrame:
     return gold_from_tables(spark, sf_dir, skew_safe).select(*GOLD_COLUMNS)
 
 

@@ -40,7 +40,7 @@ def event_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.sum(F.col("l_quantity").cast("bigint")).alias("qty")))
 
 
-def event_results(spark: SparkSession, sf_dir: str, skew_safe: bool = True,
+def event_results(spark: SparkSession, sf_dir: str, skew_safe: bool | None = None,
                   with_quali_grid: bool = False) -> DataFrame:
     """Typed results: Year, Circuit, FullName, TeamName, Position, GridPosition
     (nullable), Points, EntrantKey; plus ``_qgrid`` (the unmasked quantity
@@ -52,6 +52,9 @@ def event_results(spark: SparkSession, sf_dir: str, skew_safe: bool = True,
             .join(nat, F.col("s_nationkey") == F.col("n_nationkey"))
             .select("Year", "Circuit", "EntrantKey", F.col("s_name").alias("FullName"),
                     F.col("n_name").alias("TeamName"), "rev", "qty"))
+    # materialized once (a reliable checkpoint): the size check and both
+    # per-event orderings read it instead of re-running the lineitem join
+    base = base.checkpoint(eager=True)
     ev = ["Year", "Circuit"]
     ranked = rank_within(base, ev, [("rev", True), ("EntrantKey", False)], out="Position",
                          method="row_number", skew_safe=skew_safe)

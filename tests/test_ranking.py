@@ -36,7 +36,7 @@ def test_global_rank(spark):
 
 def test_rolling_rows_matches_window(spark):
     df = _data(spark).withColumn("v", F.col("s").cast("double"))
-    got = rolling_rows(df, ["g"], [("id", False)], "v", 5, "roll")
+    got = rolling_rows(df, ["g"], [("id", False)], "v", 5, "roll", skew_safe=True)
     w = Window.partitionBy("g").orderBy("id").rowsBetween(-5, -1)
     exp = df.withColumn("roll", F.sum("v").over(w))
     assert sorted(got.select("id", "roll").collect()) == sorted(exp.select("id", "roll").collect())
