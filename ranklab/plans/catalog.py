@@ -650,3 +650,32 @@ def q_ml_forecast(spark, sf):
                                 F.col("PredictedFinish").alias("LegacyFinish"),
                                 F.col("WinProbability").alias("LegacyWinShare")),
                   ["Year", "Circuit", "FullName"], "left"))
+
+
+CURRENT_SEASON = int(AS_OF[:4])
+
+
+@register("bronze_season_scan", O.with_(S, f"""SELECT "Year", "Circuit", "FullName", "TeamName",
+  "Position", "GridPosition", "Points" FROM silver WHERE "Year" = {CURRENT_SEASON}"""), "SRC3")
+def q_season_scan(spark, sf):
+    """The current season's files only (season of ``as_of``): the listing is
+    globbed by season before any file is opened."""
+    root = _bronze_root(spark, sf)
+    raw = scan_bronze(spark, root, years=[CURRENT_SEASON])
+    s = clean_silver(raw)
+    return s.select("Year", "Circuit", "FullName", "TeamName", F.col("Position").cast("int").alias("Position"),
+                    F.col("GridPosition").cast("int").alias("GridPosition"),
+                    F.col("Points").cast("int").alias("Points"))
+
+
+@register("bronze_dedup_scan", O.with_(S, """SELECT "Year", "Circuit", "FullName", "TeamName", "Position"
+FROM silver"""), "SRC5", "SET4", "CLN1")
+def q_dedup_scan(spark, sf):
+    """Alias-normalised names, then one row per (Year, Circuit, FullName):
+    the last in (file, row) order (a map-side keep-last aggregation)."""
+    from ranklab.operators.silver import keep_last, normalize_names
+    root = _bronze_root(spark, sf)
+    raw = normalize_names(scan_bronze(spark, root, min_bytes=0), "FullName")
+    last = keep_last(raw, ["Year", "Circuit", "FullName"], ["Source", "_row"])
+    return last.select("Year", "Circuit", "FullName", "TeamName",
+                       F.col("Position").cast("int").alias("Position"))

@@ -46,6 +46,21 @@ def _header_names(line: str) -> list[str]:
     return out
 
 
+def season_paths(spark: SparkSession, root: str, years: list[int], kind: str = "results") -> list[str]:
+    """SRC3 pruning: only the files of the given seasons, found by globbing
+    file names (flat layout) and ``Source=`` folders (written layout) - the
+    hand-made partition pruning of the reference, done on the listing."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    ys = ",".join(str(y) for y in sorted(set(years)))
+    out = []
+    for pat in (f"{root}/{{{ys}}}_*_{kind}.csv", f"{root}/Source={{{ys}}}_*_{kind}.csv"):
+        p = jvm.org.apache.hadoop.fs.Path(pat)
+        found = p.getFileSystem(conf).globStatus(p)
+        out += [st.getPath().toString() for st in (found or [])]
+    return sorted(out)
+
+
 def discover(spark: SparkSession, root: str | list[str], kind: str = "results",
              min_bytes: int = 200) -> list[tuple[str, list[str]]]:
     """(header line, [file paths]) for every distinct header among the
@@ -80,6 +95,8 @@ def scan_bronze(spark: SparkSession, root: str | list[str], kind: str = "results
     of ``kind``; all data columns are strings. Adds Year (int), Circuit
     (underscores -> spaces), Source (file name) and ``_row`` (a per-file row
     ordinal for keep-last dedupes)."""
+    if years is not None and isinstance(root, str):
+        root = season_paths(spark, root, years, kind) or root
     groups = discover(spark, root, kind, min_bytes)
     if not groups:
         if required:
