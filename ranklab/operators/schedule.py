@@ -63,7 +63,7 @@ def schedule_from_json_records(spark, path: str, year: int | None = None) -> Dat
     pick = F.col
     return recs.select(
         "Year",
-        F.coalesce(pick("meeting_key").cast("long"), F.row_number().over(w).cast("long")).alias("round_number"),
+        F.coalesce(pick("meeting_key"), F.row_number().over(w)).cast("int").alias("round_number"),
         F.coalesce(pick("meeting_official_name"), pick("meeting_name"), F.lit("")).alias("race_name"),
         F.coalesce(pick("country_name"), F.lit("")).alias("country"),
         F.coalesce(pick("location"), F.lit("")).alias("location"),

@@ -55,8 +55,8 @@ def q_gold(spark, sf):
 # --- standings and analytics -------------------------------------------------
 
 @register("entrant_form", O.with_(S, """SELECT "FullName", "TeamName",
-  count("Position") AS starts, count_if("Position" = 1) AS wins,
-  count_if("Position" <= 3) AS podiums, CAST(coalesce(sum("Points"), 0) AS BIGINT) AS points
+  count("Position") AS starts, count(*) FILTER (WHERE "Position" = 1) AS wins,
+  count(*) FILTER (WHERE "Position" <= 3) AS podiums, CAST(coalesce(sum("Points"), 0) AS BIGINT) AS points
 FROM silver GROUP BY 1, 2"""), "AGG1")
 def q_entrant_form(spark, sf):
     return ST.entrant_form(silver_from_tables(spark, sf))
@@ -67,7 +67,7 @@ STANDINGS_SQL = """standings AS (
          CAST(max("Points") OVER (PARTITION BY "Year") - "Points" AS BIGINT) AS "Gap"
   FROM (SELECT "Year", "FullName", CAST(coalesce(sum("Points"), 0) AS BIGINT) AS "Points",
           arg_max("TeamName", "RaceIndex") FILTER (WHERE "TeamName" IS NOT NULL) AS "TeamName",
-          count_if("Position" = 1) AS "Wins", count_if("Position" <= 3) AS "Podiums",
+          count(*) FILTER (WHERE "Position" = 1) AS "Wins", count(*) FILTER (WHERE "Position" <= 3) AS "Podiums",
           count("Position") AS "Races"
         FROM silver GROUP BY 1, 2) a)"""
 
@@ -88,15 +88,15 @@ def q_team_standings(spark, sf):
 
 
 @register("dnf_tally", O.with_(S, """SELECT *, round_even(CAST("DNFs" * 100 AS DOUBLE) / "Races", 1) AS "DNFRate"
-FROM (SELECT "Year", "FullName", count("Position") AS "Races", count_if("Position" > 20) AS "DNFs"
+FROM (SELECT "Year", "FullName", count("Position") AS "Races", count(*) FILTER (WHERE "Position" > 20) AS "DNFs"
       FROM silver GROUP BY 1, 2) t"""), "AGG5")
 def q_dnf_tally(spark, sf):
     return ST.dnf_tally(silver_from_tables(spark, sf))
 
 
 @register("career_summary", O.with_(S, """SELECT "FullName", count(*) AS "Races",
-  count_if("Position" = 1) AS "Wins", count_if("Position" <= 3) AS "Podiums",
-  count_if("Position" > 20) AS "DNFs", avg("Position") AS "AvgFinish", avg("GridPosition") AS "AvgGrid"
+  count(*) FILTER (WHERE "Position" = 1) AS "Wins", count(*) FILTER (WHERE "Position" <= 3) AS "Podiums",
+  count(*) FILTER (WHERE "Position" > 20) AS "DNFs", avg("Position") AS "AvgFinish", avg("GridPosition") AS "AvgGrid"
 FROM silver GROUP BY 1"""), "AGG6")
 def q_career(spark, sf):
     return ST.career_summary(silver_from_tables(spark, sf))
@@ -121,8 +121,8 @@ def q_grid_delta(spark, sf):
 
 
 @register("team_entrants", O.with_(S, """SELECT "Year", "TeamName", "FullName",
-  CAST(coalesce(sum("Points"), 0) AS BIGINT) AS "Points", count_if("Position" = 1) AS "Wins",
-  count_if("Position" <= 3) AS "Podiums", count("Position") AS "Races"
+  CAST(coalesce(sum("Points"), 0) AS BIGINT) AS "Points", count(*) FILTER (WHERE "Position" = 1) AS "Wins",
+  count(*) FILTER (WHERE "Position" <= 3) AS "Podiums", count("Position") AS "Races"
 FROM silver GROUP BY 1, 2, 3"""), "AGG9")
 def q_team_entrants(spark, sf):
     return ST.team_entrants(silver_from_tables(spark, sf))
@@ -136,9 +136,9 @@ def q_points_split(spark, sf):
 
 HIST_SQL = """hist AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY "Scope" ORDER BY "Points" DESC, "FullName") AS INTEGER) AS "Rank"
-  FROM (SELECT "FullName", count("Position") AS "Races", count_if("Position" = 1) AS "Wins",
-          count_if("Position" <= 3) AS "Podiums", CAST(coalesce(sum("Points"), 0) AS BIGINT) AS "Points",
-          round_even(avg("Position"), 2) AS "AvgFinish", count_if("Position" > 20) AS "DNFs",
+  FROM (SELECT "FullName", count("Position") AS "Races", count(*) FILTER (WHERE "Position" = 1) AS "Wins",
+          count(*) FILTER (WHERE "Position" <= 3) AS "Podiums", CAST(coalesce(sum("Points"), 0) AS BIGINT) AS "Points",
+          round_even(avg("Position"), 2) AS "AvgFinish", count(*) FILTER (WHERE "Position" > 20) AS "DNFs",
           CASE WHEN grouping("Year") = 1 THEN 'All Time' ELSE CAST("Year" AS VARCHAR) END AS "Scope"
         FROM silver GROUP BY GROUPING SETS (("Year", "FullName"), ("FullName"))) g)"""
 
@@ -213,11 +213,11 @@ def q_progression(spark, sf):
 pairs AS (SELECT a."FullName" AS "DriverA", b."FullName" AS "DriverB"
           FROM hist a JOIN hist b ON a."Scope" = 'All Time' AND b."Scope" = 'All Time' AND b."Rank" = a."Rank" + 1)""",
   """SELECT p."DriverA", p."DriverB", count(*) AS "RacesTogether",
-  count_if(a."Position" = 1) AS "WinsA", count_if(b."Position" = 1) AS "WinsB",
-  count_if(a."Position" <= 3) AS "PodiumsA", count_if(b."Position" <= 3) AS "PodiumsB",
+  count(*) FILTER (WHERE a."Position" = 1) AS "WinsA", count(*) FILTER (WHERE b."Position" = 1) AS "WinsB",
+  count(*) FILTER (WHERE a."Position" <= 3) AS "PodiumsA", count(*) FILTER (WHERE b."Position" <= 3) AS "PodiumsB",
   round_even(avg(a."Position"), 2) AS "AvgFinishA", round_even(avg(b."Position"), 2) AS "AvgFinishB",
   round_even(avg(a."GridPosition"), 2) AS "AvgGridA", round_even(avg(b."GridPosition"), 2) AS "AvgGridB",
-  count_if(a."Position" > 20) AS "DNFsA", count_if(b."Position" > 20) AS "DNFsB"
+  count(*) FILTER (WHERE a."Position" > 20) AS "DNFsA", count(*) FILTER (WHERE b."Position" > 20) AS "DNFsB"
 FROM pairs p JOIN silver a ON a."FullName" = p."DriverA"
      JOIN silver b ON b."FullName" = p."DriverB" AND a."Year" = b."Year" AND a."Circuit" = b."Circuit"
 GROUP BY 1, 2"""), "JON7", "SET3")
@@ -279,8 +279,8 @@ def q_find_event(spark, sf):
     return SC.find_event(_schedule(spark, sf), "Brand#1")
 
 
-@register("season_progress", O.with_(SCH, f"""SELECT "Year", count_if(event_date < {O.AS_OF}) AS completed,
-  count_if(event_date >= {O.AS_OF}) AS remaining FROM sched GROUP BY 1"""), "AGG23")
+@register("season_progress", O.with_(SCH, f"""SELECT "Year", count(*) FILTER (WHERE event_date < {O.AS_OF}) AS completed,
+  count(*) FILTER (WHERE event_date >= {O.AS_OF}) AS remaining FROM sched GROUP BY 1"""), "AGG23")
 def q_progress(spark, sf):
     return SC.season_progress(_schedule(spark, sf), AS_OF)
 
