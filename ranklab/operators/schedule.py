@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ranklab.operators.silver import rename
 from ranklab.sources.tables import read_table
 
 DEFAULT_AS_OF = "1998-06-01 00:00:00"
@@ -38,9 +39,8 @@ def standardize_schedule(raw: DataFrame) -> DataFrame:
     """SCH1: provider columns -> standard names, sprint flag, UTC timestamps,
     testing sessions dropped."""
     df = raw.filter(F.coalesce(F.lower(F.col("EventFormat")) != "testing", F.lit(True)))
-    df = df.withColumnsRenamed({"OfficialEventName": "race_name", "EventDate": "event_date",
-                                "Country": "country", "Location": "location",
-                                "RoundNumber": "round_number"})
+    df = rename(df, {"OfficialEventName": "race_name", "EventDate": "event_date",
+                     "Country": "country", "Location": "location", "RoundNumber": "round_number"})
     sprint = (F.coalesce(F.lower(F.col("EventFormat")).contains("sprint"), F.lit(False))
               if "EventFormat" in raw.columns else F.lit(False))
     df = df.withColumn("is_sprint", sprint).withColumn("event_date", F.to_timestamp("event_date"))
@@ -144,6 +144,14 @@ def find_event(sched: DataFrame, name_part: str) -> DataFrame:
             .select("Year", "e.*"))
 
 
+def event_names(results: DataFrame, sched: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
+    """SET2: names known from results united with the upcoming schedule's,
+    distinct and sorted."""
+    known = results.select(F.col("Circuit").alias("race_name"))
+    coming = upcoming(sched, as_of).select("race_name")
+    return known.union(coming).distinct().orderBy("race_name")
+
+
 def season_progress(sched: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
     """AGG23: completed and remaining events per season."""
     t = F.to_timestamp(F.lit(as_of))

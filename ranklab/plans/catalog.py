@@ -679,3 +679,10 @@ def q_dedup_scan(spark, sf):
     last = keep_last(raw, ["Year", "Circuit", "FullName"], ["Source", "_row"])
     return last.select("Year", "Circuit", "FullName", "TeamName",
                        F.col("Position").cast("int").alias("Position"))
+
+
+@register("event_name_union", O.with_(S + "," + SCH, f"""SELECT DISTINCT race_name FROM (
+  SELECT "Circuit" AS race_name FROM silver
+  UNION SELECT race_name FROM sched WHERE event_date >= {O.AS_OF}) u"""), "SET2")
+def q_event_names(spark, sf):
+    return SC.event_names(silver_from_tables(spark, sf), _schedule(spark, sf), AS_OF)
