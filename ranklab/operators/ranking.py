@@ -94,14 +94,13 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[Ord
 
     ``group_cols`` may be empty (one global ranking). The result type is int,
     like Spark's ranking functions. ``skew_safe=None`` measures the largest
-    group first (``needs_slicing``); the input should be materialized (silver,
-    a checkpoint) since the check reads it once more.
+    group first (``needs_slicing``), which reads the input once more: callers
+    with several rankings over one grouping measure once and pass the answer,
+    and keep the input close to a written layer (silver, gold, feature rows).
     """
     ranker = _RANKERS[method]
     sort = _sort_exprs(order_by)
     group = list(group_cols)
-    if skew_safe is None:
-        df = materialize(df)  # measured and ranked from the same written data
     if not needs_slicing(df, group, skew_safe):
         w = Window.partitionBy(*group).orderBy(*sort) if group else Window.orderBy(*sort)
         return df.withColumn(out, ranker().over(w))
@@ -187,8 +186,6 @@ def rolling_rows(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[Or
     all tasks; the cost is k copies of (group, seq, value).
     """
     fn = {"sum": F.sum, "avg": F.avg, "count": F.count, "max": F.max, "min": F.min}[how]
-    if skew_safe is None:
-        df = materialize(df)
     if not needs_slicing(df, group_cols, skew_safe):
         w = (Window.partitionBy(*group_cols) if group_cols else Window).orderBy(*_sort_exprs(order_by))
         return df.withColumn(out, fn(value).over(w.rowsBetween(-k, -1)))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklab.functions.columns import points_for
-from ranklab.operators.ranking import rank_within
+from ranklab.operators.ranking import needs_slicing, rank_within
 from ranklab.sources.tables import read_table
 
 # --- fixed values -----------------------------------------------------------
@@ -56,10 +56,11 @@ def event_results(spark: SparkSession, sf_dir: str, skew_safe: bool | None = Non
     # per-event orderings read it instead of re-running the lineitem join
     base = base.checkpoint(eager=True)
     ev = ["Year", "Circuit"]
+    sliced = needs_slicing(base, ev, skew_safe)  # both orderings are per event: measure once
     ranked = rank_within(base, ev, [("rev", True), ("EntrantKey", False)], out="Position",
-                         method="row_number", skew_safe=skew_safe)
+                         method="row_number", skew_safe=sliced)
     ranked = rank_within(ranked, ev, [("qty", True), ("EntrantKey", False)], out="_grid",
-                         method="row_number", skew_safe=skew_safe)
+                         method="row_number", skew_safe=sliced)
     missing = (F.col("EntrantKey") % MISSING_GRID_MOD) == MISSING_GRID_REM
     extra = [F.col("_grid").cast("int").alias("_qgrid")] if with_quali_grid else []
     return ranked.select(
