@@ -5,7 +5,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ranklab.operators.ranking import group_total, rank_within, rolling_rows, top_k_within
+from ranklab.operators.ranking import group_total, rank_within, rolling_rows, running_within, top_k_within
 
 
 def _data(spark, n=3000, seed=7):
@@ -50,3 +50,28 @@ def test_group_total_and_top_k(spark):
     assert sorted(tot.select("id", "t").collect()) == sorted(exp.select("id", "t").collect())
     top = top_k_within(df, ["g"], [("s", True), ("id", False)], 3, out="k")
     assert top.groupBy("g").count().agg(F.max("count")).first()[0] == 3
+
+
+def test_running_within_matches_window(spark):
+    df = _data(spark).withColumn("v", F.when(F.col("s") % 7 == 0, None).otherwise(F.col("s")))
+    got = running_within(df, ["g"], [("id", False)], {"tot": "v"}, seq="seq", slices=6)
+    w = Window.partitionBy("g").orderBy("id")
+    prior = w.rowsBetween(Window.unboundedPreceding, -1)
+    exp = df.select("id", F.coalesce(F.sum("v").over(prior), F.lit(0)).alias("tot"),
+                    F.count("v").over(prior).alias("tot_n"), F.row_number().over(w).alias("seq"))
+    a = sorted(got.select("id", F.col("tot").cast("long"), "tot_n", "seq").collect())
+    b = sorted(exp.select("id", F.col("tot").cast("long"), "tot_n", "seq").collect())
+    assert a == b
+
+
+def test_entrant_features_sliced_equals_window(spark):
+    from ranklab.operators.gold import entrant_features, entrant_features_sliced
+    from ranklab.plans.pipeline import silver_from_tables
+    from conftest import SF0001
+    silver = silver_from_tables(spark, SF0001).withColumn(
+        "GridPosition", F.coalesce(F.col("GridPosition").cast("double"), F.lit(10.0)))
+    cols = ["FullName", "RaceIndex", "AvgFinishLast3", "AvgFinishLast5", "AvgFinishLast10",
+            "AvgGridLast5", "DNFRateLast10", "CumPoints"]
+    a = sorted(entrant_features_sliced(silver).select(*cols).collect())
+    b = sorted(entrant_features(silver).select(*cols).collect())
+    assert a == b
