@@ -75,9 +75,13 @@ def strategy_ledger(gold: DataFrame, deadlines: DataFrame) -> DataFrame:
 
 
 def actual_orders(silver: DataFrame, cap: int = 20) -> DataFrame:
-    """OPS3 actual order: finish ascending, first ``cap``. (Year, Circuit, ap, driver)."""
-    return silver.filter(F.col("Position") <= cap).select(
-        *EVENT, F.col("Position").alias("ap"), F.col("FullName").alias("driver"))
+    """OPS3 actual order: rows with a finish sorted ascending, the first
+    ``cap`` rows; the rank is the place in that list (finishes may have gaps
+    where rows were dropped). A per-event top-k: partial WindowGroupLimit.
+    (Year, Circuit, ap, driver)."""
+    done = silver.filter(F.col("Position").isNotNull())
+    top = top_k_within(done, EVENT, [("Position", False), ("FullName", False)], cap, out="ap")
+    return top.select(*EVENT, "ap", F.col("FullName").alias("driver"))
 
 
 def score_ledger(ledger: DataFrame, silver: DataFrame, as_of: str) -> DataFrame:

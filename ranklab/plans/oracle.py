@@ -134,8 +134,10 @@ strat_p AS (
          CAST(row_number() OVER (PARTITION BY user_id, "Year", "Circuit" ORDER BY k, driver) AS INTEGER) AS pos
   FROM (SELECT *, CAST(1 AS DOUBLE) / greatest(k, CAST(1 AS DOUBLE)) AS score FROM strat) s),
 preds AS (SELECT user_id, "Year", "Circuit", pos, driver, team, prob FROM strat_p WHERE pos <= 10),
-act AS (SELECT "Year" AS year, "Circuit" AS race_name, "Position" AS ap, "FullName" AS driver
-        FROM silver WHERE "Position" <= 20),
+act AS (SELECT * FROM (
+          SELECT "Year" AS year, "Circuit" AS race_name, "FullName" AS driver,
+                 row_number() OVER (PARTITION BY "Year", "Circuit" ORDER BY "Position", "FullName") AS ap
+          FROM silver WHERE "Position" IS NOT NULL) a WHERE ap <= 20),
 pj AS (
   SELECT p.user_id, p."Year" AS year, p."Circuit" AS race_name, p.pos AS pp, a.ap
   FROM preds p LEFT JOIN act a ON a.year = p."Year" AND a.race_name = p."Circuit" AND a.driver = p.driver),

@@ -103,3 +103,11 @@ def test_shares_zero_sum_and_single(spark):
     out = two_stage_forecast(feats, winner=column_scorer(F.lit(0.0))).collect()[0]
     assert out.WinProbability is None and out.PodiumProbability == 100.0
     assert out.PredictedFinish == 1 and out.PredictedGrid == 1
+
+
+def test_actual_order_is_list_place(spark):
+    silver = spark.createDataFrame(
+        [(2024, "A", "W", 7), (2024, "A", "X", 1), (2024, "A", "Y", 4), (2024, "A", "Z", 2),
+         (2024, "A", "N", None)], "Year int, Circuit string, FullName string, Position int")
+    got = {r.driver: r.ap for r in LG.actual_orders(silver).collect()}
+    assert got == {"X": 1, "Z": 2, "Y": 3, "W": 4}
