@@ -104,6 +104,16 @@ def with_event_index(df: DataFrame, keys: Sequence[str] = EVENT, out: str = "Rac
     return df.join(idx, list(keys), "left")
 
 
+def typed_bronze(raw: DataFrame, aliases: Mapping[str, str] | DataFrame | None = None,
+                 normalize: bool = False) -> DataFrame:
+    """Bronze rows with numbers coerced but *no* rows dropped - the input the
+    season / entrant / team analytics use, so an entrant's points from a
+    race without a classified finish still count. Adds the event index (the
+    event order for "last team")."""
+    df = normalize_names(raw, "FullName", aliases) if normalize else raw
+    return with_event_index(coerce_numeric(df))
+
+
 def clean_silver(raw: DataFrame, aliases: Mapping[str, str] | DataFrame | None = None) -> DataFrame:
     """CLN1-CLN6 in one pass: names, numbers, classified-position fallback,
     drop rows without a finish, integer finish, event index."""

@@ -79,3 +79,16 @@ def test_streaming_ingest_incremental(spark):
     n3 = ingest(spark, root, silver, ck)
     assert n1 > 0 and n2 > 0 and n3 == 0
     assert read_silver(spark, silver).count() == b.count()
+
+
+def test_standings_on_typed_bronze_keep_unclassified_points(spark, tmpdir_path):
+    from ranklab.operators.silver import typed_bronze
+    from ranklab.operators.standings import season_standings
+    d = tmpdir_path
+    rows = "".join(f"E{i},T,{i},{i},{max(0, 11 - i)}\n" for i in range(1, 14))
+    _write(os.path.join(d, "2024_Bahrain_results.csv"),
+           "FullName,TeamName,Position,GridPosition,Points\n" + rows + "Late,T,R,20,3\n")
+    raw = scan_bronze(spark, d)
+    st = {r.FullName: r for r in season_standings(typed_bronze(raw)).collect()}
+    assert st["Late"].Points == 3 and st["Late"].Races == 0    # points kept, no classified race
+    assert "Late" not in {r.FullName for r in clean_silver(raw).collect()}
