@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ranklab.operators import standings as ST
 from ranklab.plans import oracle as O
-from ranklab.plans.pipeline import SILVER_COLUMNS, gold_table, silver_from_tables
+from ranklab.plans.layers import SILVER_COLUMNS, gold_table, silver_from_tables
 
 
 @dataclass(frozen=True)
@@ -230,7 +230,7 @@ def q_h2h(spark, sf):
 
 from ranklab.operators import ledger as LG  # noqa: E402
 from ranklab.operators import schedule as SC  # noqa: E402
-from ranklab.plans.pipeline import gold_from_tables  # noqa: E402
+from ranklab.plans.layers import gold_from_tables  # noqa: E402
 from ranklab.sources.tables import read_table  # noqa: E402
 
 AS_OF = SC.DEFAULT_AS_OF
@@ -548,7 +548,7 @@ def q_bronze(spark, sf):
 
 @register("gold_from_bronze", O.with_(O.GOLD, O.GOLD_SELECT), "SRC2", "JON2", "CLN7", "Q9")
 def q_gold_bronze(spark, sf):
-    from ranklab.plans.pipeline import GOLD_COLUMNS
+    from ranklab.plans.layers import GOLD_COLUMNS
     root = _bronze_root(spark, sf, with_quali=True)
     silver = clean_silver(scan_bronze(spark, root))
     quali = scan_bronze(spark, root, "qualifying", required=False)

@@ -3,7 +3,7 @@ families, partial WindowGroupLimit for top-k."""
 
 from ranklab.operators.gold import circuit_features, entrant_features
 from ranklab.operators.standings import circuit_winners
-from ranklab.plans.pipeline import silver_from_tables
+from ranklab.plans.layers import silver_from_tables
 from ranklab.sources.tables import read_table
 
 from conftest import SF0001

@@ -66,7 +66,7 @@ def test_running_within_matches_window(spark):
 
 def test_entrant_features_sliced_equals_window(spark):
     from ranklab.operators.gold import entrant_features, entrant_features_sliced
-    from ranklab.plans.pipeline import silver_from_tables
+    from ranklab.plans.layers import silver_from_tables
     from conftest import SF0001
     silver = silver_from_tables(spark, SF0001).withColumn(
         "GridPosition", F.coalesce(F.col("GridPosition").cast("double"), F.lit(10.0)))
