@@ -52,6 +52,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``df`` only after checking its size (a count that stops at
+    ``max_rows + 1``); larger inputs stay ordinary join sides. Meant for
+    small dimension-like tables (targets, per-season keys) that are already
+    materialized or cheap to recompute."""
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
+
+
 def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
     """Row count of the largest group: one aggregation (partial, map-side)
     whose result - a single number - is the size check."""

@@ -97,10 +97,13 @@ def event_index(df: DataFrame, keys: Sequence[str] = EVENT, out: str = "RaceInde
 
 
 def with_event_index(df: DataFrame, keys: Sequence[str] = EVENT, out: str = "RaceIndex") -> DataFrame:
-    """JON1: left join the event index back onto the rows. No broadcast hint:
-    the index has one row per event and AQE broadcasts it when its runtime
-    size is under the threshold."""
-    idx = event_index(df, keys, out)
+    """JON1: left join the event index back onto the rows. Event keys are the
+    hottest keys of the model (an event holds every entrant), so the index -
+    one row per event, written once - is broadcast after a size check
+    instead of hash-joined; beyond the limit it stays a join side (AQE's skew
+    handling splits hot partitions)."""
+    from ranklab.operators.ranking import broadcast_if_small, materialize
+    idx = broadcast_if_small(materialize(event_index(df, keys, out)))
     return df.join(idx, list(keys), "left")
 
 
