@@ -33,8 +33,7 @@ def normalize_names(df: DataFrame, col: str = "FullName",
 
     A dict alias map (bounded by ``MAX_ALIAS_ROWS``) becomes a literal map
     column - a JVM-side lookup, no join and no Python. An alias DataFrame is
-    a left join without a hint; AQE broadcasts it when its runtime size is
-    under the threshold.
+    a left join, broadcast after a size check.
     """
     aliases = DEFAULT_NAME_ALIASES if aliases is None else aliases
     cleaned = df.withColumn(col, clean_name(col))
@@ -45,7 +44,8 @@ def normalize_names(df: DataFrame, col: str = "FullName",
             return cleaned
         lookup = F.create_map(*[F.lit(x) for kv in sorted(aliases.items()) for x in kv])
         return cleaned.withColumn(col, F.coalesce(F.element_at(lookup, F.col(col)), F.col(col)))
-    amap = alias_frame(df.sparkSession, aliases)
+    from ranklab.operators.ranking import broadcast_if_small
+    amap = broadcast_if_small(alias_frame(df.sparkSession, aliases))
     return (cleaned.join(amap, cleaned[col] == amap["_alias"], "left")
                    .withColumn(col, F.coalesce(F.col("_canonical"), F.col(col)))
                    .drop("_alias", "_canonical"))

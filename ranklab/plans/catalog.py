@@ -686,3 +686,29 @@ def q_dedup_scan(spark, sf):
   UNION SELECT race_name FROM sched WHERE event_date >= {O.AS_OF}) u"""), "SET2")
 def q_event_names(spark, sf):
     return SC.event_names(silver_from_tables(spark, sf), _schedule(spark, sf), AS_OF)
+
+
+# --- fixed values -----------------------------------------------------------------
+# Team-name aliases given as literal rows: some nations written in title case.
+TEAM_ALIAS_ROWS = [("NATION_0", "Nation 0"), ("NATION_1", "Nation 1"), ("NATION_2", "Nation 2"),
+                   ("NATION_3", "Nation 3"), ("NATION_4", "Nation 4")]
+# -----------------------------------------------------------------------------------
+
+
+@register("team_standings_aliased", O.with_(S, """SELECT *,
+  CAST(row_number() OVER (PARTITION BY "Year" ORDER BY "Points" DESC, "TeamName") AS INTEGER) AS "Standing",
+  CAST(max("Points") OVER (PARTITION BY "Year") - "Points" AS BIGINT) AS "Gap"
+FROM (SELECT "Year", coalesce(a.canonical, trim("TeamName")) AS "TeamName",
+             CAST(coalesce(sum("Points"), 0) AS BIGINT) AS "Points"
+      FROM silver LEFT JOIN (VALUES ('NATION_0', 'Nation 0'), ('NATION_1', 'Nation 1'),
+           ('NATION_2', 'Nation 2'), ('NATION_3', 'Nation 3'), ('NATION_4', 'Nation 4')) a(alias, canonical)
+        ON trim("TeamName") = a.alias
+      GROUP BY 1, 2) t"""), "SRC9", "CLN1")
+def q_team_aliased(spark, sf):
+    """SRC9/CLN1: an alias table built from literal rows (``createDataFrame``
+    with a declared schema), joined onto the results' team names before the
+    team standings."""
+    from ranklab.operators.silver import normalize_names
+    aliases = spark.createDataFrame(TEAM_ALIAS_ROWS, "alias string, canonical string")
+    silver = normalize_names(silver_from_tables(spark, sf), "TeamName", aliases)
+    return ST.team_standings(silver)
