@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranklab.functions.columns import DNF_POSITION, half_even, safe_div
+from ranklab.functions.columns import DNF_POSITION, half_even, is_dnf, safe_div
 from ranklab.operators.ranking import group_total, rank_within, top_k_within
 
 
@@ -71,7 +71,7 @@ def dnf_tally(results: DataFrame, threshold: int = DNF_POSITION) -> DataFrame:
     """AGG5: races, DNFs and DNF rate in percent (1 dp, half-even)."""
     agg = (results.groupBy("Year", "FullName")
            .agg(F.count("Position").alias("Races"),
-                F.count_if(F.col("Position") > threshold).alias("DNFs")))
+                F.count_if(is_dnf("Position", threshold)).alias("DNFs")))
     return agg.withColumn("DNFRate", half_even(safe_div(F.col("DNFs") * 100, F.col("Races")), 1))
 
 
@@ -82,7 +82,7 @@ def career_summary(results: DataFrame, threshold: int = DNF_POSITION) -> DataFra
             .agg(F.count(F.lit(1)).alias("Races"),
                  F.count_if(_win()).alias("Wins"),
                  F.count_if(_podium()).alias("Podiums"),
-                 F.count_if(F.col("Position") > threshold).alias("DNFs"),
+                 F.count_if(is_dnf("Position", threshold)).alias("DNFs"),
                  F.avg("Position").alias("AvgFinish"),
                  F.avg("GridPosition").alias("AvgGrid")))
 
@@ -120,7 +120,7 @@ def historical_stats(results: DataFrame, threshold: int = DNF_POSITION,
            .agg(F.count("Position").alias("Races"), F.count_if(_win()).alias("Wins"),
                 F.count_if(_podium()).alias("Podiums"), _points().alias("Points"),
                 half_even(F.avg("Position"), 2).alias("AvgFinish"),
-                F.count_if(F.col("Position") > threshold).alias("DNFs"),
+                F.count_if(is_dnf("Position", threshold)).alias("DNFs"),
                 F.grouping("Year").alias("_all")))
     agg = agg.withColumn("Scope", F.when(F.col("_all") == 1, F.lit("All Time"))
                          .otherwise(F.col("Year").cast("string"))).drop("_all", "Year")

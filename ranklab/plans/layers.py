@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ranklab.operators.gold import build_gold
 from ranklab.operators.ranking import materialize
@@ -40,6 +39,3 @@ GOLD_COLUMNS = (
 def gold_table(spark: SparkSession, sf_dir: str, skew_safe: bool | None = None) -> DataFrame:
     return gold_from_tables(spark, sf_dir, skew_safe).select(*GOLD_COLUMNS)
 
-
-def typed(df: DataFrame, **types: str) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast(t) for c, t in types.items()})
