@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklab.functions.columns import DNF_POSITION, half_even, is_dnf, safe_div
-from ranklab.operators.ranking import group_total, rank_within, top_k_within
+from ranklab.operators.ranking import group_total, materialize, rank_within, top_k_within
 
 
 
@@ -51,6 +51,9 @@ def season_standings(results: DataFrame, skew_safe: bool | None = None) -> DataF
                 F.count_if(_win()).alias("Wins"),
                 F.count_if(_podium()).alias("Podiums"),
                 F.count("Position").alias("Races")))
+    # the standings table (entrants x seasons) is written once: the size
+    # check, the ranking and the leader's total all read it
+    agg = materialize(agg)
     ranked = rank_within(agg, ["Year"], [("Points", True), ("FullName", False)],
                          out="Standing", method="row_number", skew_safe=skew_safe)
     lead = group_total(ranked, ["Year"], "Points", "_lead", how="max")
@@ -61,6 +64,7 @@ def team_standings(results: DataFrame, skew_safe: bool | None = None) -> DataFra
     """AGG3: team points per season, position and gap."""
     agg = (results.filter(F.col("TeamName").isNotNull())
            .groupBy("Year", "TeamName").agg(_points().alias("Points")))
+    agg = materialize(agg)
     ranked = rank_within(agg, ["Year"], [("Points", True), ("TeamName", False)],
                          out="Standing", method="row_number", skew_safe=skew_safe)
     lead = group_total(ranked, ["Year"], "Points", "_lead", how="max")
@@ -124,6 +128,7 @@ def historical_stats(results: DataFrame, threshold: int = DNF_POSITION,
                 F.grouping("Year").alias("_all")))
     agg = agg.withColumn("Scope", F.when(F.col("_all") == 1, F.lit("All Time"))
                          .otherwise(F.col("Year").cast("string"))).drop("_all", "Year")
+    agg = materialize(agg)  # read by the size check and the ranking
     return rank_within(agg, ["Scope"], [("Points", True), ("FullName", False)],
                        out="Rank", method="row_number", skew_safe=skew_safe)
 
