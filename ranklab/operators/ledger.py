@@ -173,7 +173,10 @@ def submissions(events: DataFrame) -> DataFrame:
     """Prediction submissions keyed (user_id, day): clicks are drafts, a
     purchase locks. The prediction value sits in ``value``, extra fields in
     the JSON ``props``."""
+    # one timestamp type for all ledger times (the table may store ts without
+    # a zone; the session is UTC, so the values do not change)
     return (events.filter(F.col("event_type").isin("click", "purchase"))
+            .withColumn("ts", F.col("ts").cast("timestamp"))
             .select("event_id", "user_id", F.to_date("ts").alias("day"), "ts", "event_type", "value",
                     F.from_json("props", "k int")["k"].alias("k")))
 
