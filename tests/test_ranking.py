@@ -75,3 +75,23 @@ def test_entrant_features_sliced_equals_window(spark):
     a = sorted(entrant_features_sliced(silver).select(*cols).collect())
     b = sorted(entrant_features(silver).select(*cols).collect())
     assert a == b
+
+
+def test_broadcast_if_small_checks_size(spark):
+    from ranklab.operators.ranking import broadcast_if_small
+    small = spark.range(10)
+    big = spark.range(50)
+    joined_small = spark.range(1000).join(broadcast_if_small(small, max_rows=20), "id")
+    joined_big = spark.range(1000).join(broadcast_if_small(big, max_rows=20), "id")
+    assert "ResolvedHint (strategy=broadcast)" in joined_small._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint (strategy=broadcast)" not in joined_big._jdf.queryExecution().analyzed().toString()
+    assert joined_small.count() == 10 and joined_big.count() == 50
+
+
+def test_versioned_writes_read_latest(spark):
+    from ranklab.sources.sinks import latest_version, scratch_path, write_version
+    root = scratch_path(spark, "versions")
+    write_version(spark.range(3), root)
+    p2 = write_version(spark.range(5), root)
+    assert latest_version(spark, root) in (p2, "file:" + p2) or latest_version(spark, root).endswith(p2.split("/")[-1])
+    assert spark.read.parquet(latest_version(spark, root)).count() == 5
