@@ -48,8 +48,8 @@ Q = 18
 BUCKET_BYTES, PART_BYTES = 6, 6
 #: Buckets with more parts than this are dealt by single windows.
 LARGE_BUCKET = 1000
-ROWS_PER_PARTITION = 4000
-_SCAN_BYTES, _CHUNK_BYTES = 24 << 20, 1 << 18
+ROWS_PER_PARTITION = 2500
+_SCAN_BYTES, _CHUNK_BYTES = 10 << 20, 1 << 18
 
 _BLOBS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 _MARKS = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("spans", pa.binary()), ("asks", pa.binary())])
@@ -129,7 +129,7 @@ def _split(width: int):
         large = (parts > LARGE_BUCKET)[of_gram]
         first, rel, more, key = (x[order] for x in (first, rel, more, key))
         for at, kind in ((gone, "span"), (asked, "ask")):
-            for block in np.array_split(at, max(1, len(at) // 200_000)):
+            for block in np.array_split(at, max(1, len(at) // 50_000)):
                 if len(block):
                     if kind == "span":
                         what = np.stack((first[block], first[block] + more[block] + width), 1).astype("<u4")
@@ -265,7 +265,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blobs = long.mapInArrow(_scan(width, q, parts), "bucket int, blob binary")
     marks = stored(blobs.repartition(parts, "bucket").mapInArrow(_split(width), "doc long, key long, spans binary, asks binary"))
     asks = marks.where("asks is not null").groupBy("doc", "key").agg(F.collect_list("asks").alias("asks"))
-    asked = long.dropDuplicates(["doc", "key"]).join(asks, ["doc", "key"])
+    asked = long.join(asks, ["doc", "key"])  # equal rows ask alike, which changes no minimum
     spread = asked.select("doc", "key", "text", "asks").mapInArrow(_spread(width, q, parts), "bucket int, blob binary")
     exact = spread.repartition(parts, "bucket").mapInArrow(_resolve(width), "doc long, key long, spans binary, asks binary")
     spans = (marks.where("spans is not null").unionByName(exact).groupBy("doc", "key")
