@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .byte_anchors import Substrings, anchors, mix
 from .common import (byte_column, from_low_bytes, low_bytes, pack, partitions_for, record_batch, regrouped, runs,
-                     ship, stored, text_key, unpack)
+                     ship, stored, unpack)
 
 WIDTH = 50
 Q = 18
@@ -49,7 +49,7 @@ BUCKET_BYTES, PART_BYTES = 6, 6
 #: Buckets with more parts than this are dealt by single windows.
 LARGE_BUCKET = 1000
 ROWS_PER_PARTITION = 2500
-_SCAN_BYTES, _CHUNK_BYTES = 10 << 20, 1 << 18
+_SCAN_BYTES, _CHUNK_BYTES = 8 << 20, 1 << 18
 
 _BLOBS = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 _MARKS = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("spans", pa.binary()), ("asks", pa.binary())])
@@ -186,19 +186,36 @@ def _fingerprints(buf: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarr
     return out
 
 
-def refine(buf: np.ndarray, at: np.ndarray, ends: np.ndarray, width: int) -> np.ndarray:
+def refine(buf: np.ndarray, at: np.ndarray, width: int, q: int = 7) -> np.ndarray:
     """Bucket of the ``width`` bytes at each ``at`` (equal buckets: equal bytes).
-    ``ends`` are the ends of the strings in ``buf`` that hold these positions."""
-    ids, size = buf.astype(np.int64), 1
-    while size < width:
+    ``q``-gram buckets come from the bytes themselves; sorting on the pair of a
+    bucket and the bucket ``step`` bytes later refines them to twice the depth."""
+    size = min(q, width)
+    ids = np.zeros(len(buf) - size + 1, np.int64)
+    for j in range(size):
+        ids = (ids << 8) | buf[j:j + len(ids)]
+    if size == width:
+        return np.unique(ids[at], return_inverse=True)[1]
+    while True:
+        ids = np.unique(ids, return_inverse=True)[1]
         step = min(size, width - size)
         n = len(ids) - step
         pair = ids[:n] * (int(ids.max()) + 1) + ids[step:]
-        if size + step == width:
-            return np.unique(pair[at], return_inverse=True)[1]
-        ids = pair if int(pair.max()) < 1 << 30 else np.unique(pair, return_inverse=True)[1]
         size += step
-    return ids[at]
+        if size == width:
+            return np.unique(pair[at], return_inverse=True)[1]
+        ids = pair
+
+
+def _shared(window: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which windows have a fingerprint that several documents have."""
+    order = np.argsort(window, kind="stable")
+    window, doc = window[order], doc[order]
+    new = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
+    several = np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new)
+    out = np.empty(len(window), bool)
+    out[order] = np.repeat(several, np.diff(np.append(new, len(window))))
+    return out
 
 
 def _resolve(width: int):
@@ -213,11 +230,22 @@ def _resolve(width: int):
             return
         doc, key, lead, more, buf = map(np.concatenate, zip(*columns))
         del columns
-        n = more.astype(np.int64) + 1
-        ends = np.cumsum(n + width - 1)
-        entry = np.repeat(np.arange(len(n)), n)
-        step = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
-        bucket = refine(buf, (ends - (n + width - 1))[entry] + step, ends, width)
+
+        def windows(more):
+            n = more.astype(np.int64) + 1
+            entry = np.repeat(np.arange(len(n)), n)
+            step = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
+            size = n + width - 1
+            return entry, step, (np.cumsum(size) - size)[entry] + step, size
+
+        # strings without a window that another document may have need no sorting
+        entry, step, at, size = windows(more)
+        useful = np.bincount(entry, _shared(Substrings(buf)(at, at + width), doc[entry]), minlength=len(more)) > 0
+        if not useful.any():
+            return
+        buf, doc, key, lead, more = buf[np.repeat(useful, size)], doc[useful], key[useful], lead[useful], more[useful]
+        entry, step, at, _ = windows(more)
+        bucket = refine(buf, at, width)
         smallest = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(smallest, bucket, doc[entry])
         gone = np.flatnonzero(smallest[bucket] < doc[entry])
@@ -257,19 +285,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     end byte of each removed run, in turn) of every row."""
     spark = docs.sparkSession
     ship(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = base.count()
-    parts = partitions_for(rows, ROWS_PER_PARTITION, 4)
-    keyed = base.select(F.col("doc_id").alias("doc"), text_key().alias("key"), "text")
-    long = keyed.where(F.col("doc").isNotNull() & (F.octet_length("text") >= width))
+    doc, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
+    # (doc, key) tells different rows apart and is never null, so both joins below share one shuffle of the texts
+    base = docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(0)).alias("doc"), F.xxhash64(doc.isNull(), text).alias("key"), text.alias("text"))
+    parts = partitions_for(base.count(), ROWS_PER_PARTITION, 4)
+    texts = base.repartition(parts, "doc", "key")
+    long = base.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width)).select("doc", "key", "text")
     blobs = long.mapInArrow(_scan(width, q, parts), "bucket int, blob binary")
     marks = stored(blobs.repartition(parts, "bucket").mapInArrow(_split(width), "doc long, key long, spans binary, asks binary"))
     asks = marks.where("asks is not null").groupBy("doc", "key").agg(F.collect_list("asks").alias("asks"))
-    asked = long.join(asks, ["doc", "key"])  # equal rows ask alike, which changes no minimum
-    spread = asked.select("doc", "key", "text", "asks").mapInArrow(_spread(width, q, parts), "bucket int, blob binary")
+    asked = texts.join(asks, ["doc", "key"])  # equal rows ask alike, which changes no minimum
+    spread = asked.select("doc_id", "doc", "key", "text", "asks").mapInArrow(_spread(width, q, parts), "bucket int, blob binary")
     exact = spread.repartition(parts, "bucket").mapInArrow(_resolve(width), "doc long, key long, spans binary, asks binary")
     spans = (marks.where("spans is not null").unionByName(exact).groupBy("doc", "key")
              .agg(F.collect_list("spans").alias("spans")))
-    both = base.withColumn("key", text_key()).join(spans.withColumnRenamed("doc", "doc_id"), ["doc_id", "key"], "left")
-    return both.select("doc_id", "text", "spans").mapInArrow(
-        _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
+    both = texts.join(spans, ["doc", "key"], "left").select("doc_id", "doc", "key", "text", "spans")
+    return both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
