@@ -96,13 +96,15 @@ def regrouped(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iter
     """Tables of about ``size`` bytes of ``column``, each of whole rows."""
     held, total = [], 0
     for batch in batches:
-        held.append(batch)
-        total += batch.column(column).nbytes
-        if total >= size:
-            yield pa.Table.from_batches(held)
-            held, total = [], 0
+        _, starts, ends = byte_column(batch.column(column))
+        for lo, hi in runs(starts, ends, size):
+            held.append(batch.slice(lo, hi - lo))
+            total += int(ends[hi - 1] - starts[lo])
+            if total >= size // 2:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, total = [], 0
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -240,7 +240,10 @@ def log_probabilities(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray)
 
 
 def _answers(pairs: np.ndarray):
-    """Sums over all blocks, sent back to each block in the order it asked."""
+    """Sums over all blocks, sent back to each block in the order it asked
+    (probabilities in single precision: they are summed in double)."""
+    kinds = {"gram": np.float32, "word": np.int64}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for kind, found in _read(batches).items():
             if not found:
@@ -249,7 +252,7 @@ def _answers(pairs: np.ndarray):
             told = log_probabilities(value, count, pairs) if kind == "gram" else count
             for block, bucket, keys, _ in found:
                 yield record_batch(_PARTS, [block], [kind], [bucket], [pack(
-                    np.diff(keys, prepend=_U(0)), told[np.searchsorted(value, keys)])])
+                    np.diff(keys, prepend=_U(0)), told[np.searchsorted(value, keys)].astype(kinds[kind]))])
     return run
 
 
@@ -282,7 +285,7 @@ def _score(n: int, v: int):
         for lo, hi in runs(starts, ends, _CHUNK):
             laid, close = laid_out(body, starts[lo:hi], ends[lo:hi])
             gram, begin = five_grams(laid, close)
-            score[lo:hi] = np.add.reduceat(told[np.searchsorted(keys, gram)], begin)
+            score[lo:hi] = np.add.reduceat(told[np.searchsorted(keys, gram)].astype(float), begin)
         doc = pa.array(ids, pa.int64(), mask=~known)
         rows = len(ids)
         return pa.Table.from_arrays([
