@@ -99,6 +99,22 @@ def _counted(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.
     return values[new], count
 
 
+def word_bags(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Distinct words of each text: their number, (word, times) text by text, and
+    the fingerprint of each word, with the end token's behind them."""
+    numbers: dict[bytes, int] = {}
+    lines, tally = [], []
+    for s, e in zip(starts.tolist(), ends.tolist()):
+        words = [numbers.setdefault(w, len(numbers)) for w in buf[s:e].tobytes().lower().split()]
+        value, count = np.unique(np.array(words, np.int32), return_counts=True)
+        lines.append(value)
+        tally.append(count.astype(np.int32))
+    sizes = np.array([len(x) for x in lines], np.int64)
+    value, times = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (lines, tally))
+    prints = np.fromiter((xxhash.xxh3_64_intdigest(w) or 1 for w in numbers), np.uint64, len(numbers))
+    return sizes, value, times, np.append(prints, _U(_END_WORD))
+
+
 def _gather(buckets: int):
     """Blocks of text, and what each asks for."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,8 +127,6 @@ def _gather(buckets: int):
         held = table.column("held_out").to_numpy()
         known, ids = doc.is_valid().to_numpy(zero_copy_only=False), doc.fill_null(0).to_numpy()
         train_grams, all_grams, pairs = [], [], np.zeros(1 << 16, np.int64)
-        numbers: dict[bytes, int] = {}
-        lines, tally = [], []
         for lo, hi in runs(starts, ends, _CHUNK):
             laid, close = laid_out(buf, starts[lo:hi], ends[lo:hi])
             gram, begin = five_grams(laid, close)
@@ -121,22 +135,14 @@ def _gather(buckets: int):
             train_grams.append((value, count))
             all_grams.append(_counted(gram[~train])[0])
             pairs += np.bincount((gram[train] & _U(0xFFFF)).astype(np.int64), minlength=1 << 16)
-        for s, e in zip(starts.tolist(), ends.tolist()):
-            words = [numbers.setdefault(w, len(numbers)) for w in buf[s:e].tobytes().lower().split()]
-            value, count = np.unique(np.array(words, np.int32), return_counts=True)
-            lines.append(value)
-            tally.append(count)
         value, count = _counted(*(np.concatenate(x) for x in zip(*train_grams)))
         extra = np.setdiff1d(np.concatenate(all_grams), value)
         gram, count = np.concatenate((value, extra)), np.concatenate((count, np.zeros(len(extra), count.dtype)))
         name = xxhash.xxh3_128_hexdigest(pack(ids, ends - starts) + buf[:1 << 16].tobytes())
         name += f"-{np.random.default_rng().integers(1 << 62):x}"
 
-        sizes = np.array([len(x) for x in lines], np.int64)
-        value, times = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lines, tally))
-        trained = np.bincount(value, np.repeat(~held, sizes) * times, minlength=len(numbers)).astype(np.int64)
-        prints = np.fromiter((xxhash.xxh3_64_intdigest(w) or 1 for w in numbers), np.uint64, len(numbers))
-        prints = np.append(prints, _U(_END_WORD))
+        sizes, value, times, prints = word_bags(buf, starts, ends)
+        trained = np.bincount(value, np.repeat(~held, sizes) * times, minlength=len(prints) - 1).astype(np.int64)
         trained = np.append(trained, int((~held).sum()))
 
         def dealt(keys, owner, weights, kind):
@@ -154,8 +160,7 @@ def _gather(buckets: int):
         yield record_batch(_PARTS, [name], ["pair"], [0], [pack(at.astype(np.int32), pairs[at])])
         body = buf[int(starts[0]):int(ends[-1])] if len(starts) else buf[:0]
         yield record_batch(_PARTS, [name], ["text"], [0], [pack(
-            ids, known, held.astype(bool), (ends - starts).astype(np.int64), sizes, value.astype(np.int32),
-            times.astype(np.int32), prints, body)])
+            ids, known, held.astype(bool), (ends - starts).astype(np.int64), body)])
     return run
 
 
@@ -262,7 +267,10 @@ def _score(n: int, v: int):
         answers: dict[str, list] = {"gram": [], "word": [], "text": []}
         for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
             answers[kind].append(unpack(blob))
-        ids, known, held, lengths, sizes, value, times, prints, body = answers["text"][0]
+        ids, known, held, lengths, body = answers["text"][0]
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        sizes, value, times, prints = word_bags(body, starts, ends)
 
         def ordered(kind):
             keys = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in answers[kind]])
@@ -279,8 +287,6 @@ def _score(n: int, v: int):
         hits = np.bincount(row, (count[value] > 0) * times, minlength=len(ids)).astype(np.int64) + int(count[-1] > 0)
 
         keys, told = ordered("gram")
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
         score = np.zeros(len(ids))
         for lo, hi in runs(starts, ends, _CHUNK):
             laid, close = laid_out(body, starts[lo:hi], ends[lo:hi])
