@@ -16,7 +16,12 @@ with the smallest id of each band bucket, so a bucket of any size costs a row
 per member. Buckets whose members are then still in different classes are
 settled in further rounds: members are compared with the smallest id of each
 other class of their bucket, and last with the members that the triangle
-inequality of the Jaccard distance still allows.
+inequality of the Jaccard distance still allows. In these rounds texts of a
+bucket that cannot be linked are told apart before they become a pair: by their
+number of shingles, and by a longer dart signature of four bits a coordinate
+(``LONG``), whose mismatches are counted inside the join. A pair at the
+similarity itself fails that count with probability ``MISS``, which is below
+that of missing every band.
 
 Defined cases: texts are words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case;
 a text of one to four words is one shingle; texts without words are near copies
@@ -41,6 +46,8 @@ from .components import connected_components
 
 WORDS, SIMILARITY = 5, (4, 5)
 BANDS, ROWS = 42, 6
+#: Coordinates and bits a coordinate of the longer signature, and the chance that it drops a pair at the similarity.
+LONG, BITS, MISS = 1024, 4, 1e-6
 ROWS_PER_PARTITION = 4000
 _CHUNK = 1 << 18
 _U = np.uint64
@@ -165,6 +172,57 @@ def _sign(words: int, bands: int, rows: int, counted: bool):
     return run
 
 
+def most_mismatches(similarity: float, coordinates: int = LONG, bits: int = BITS, miss: float = MISS) -> int:
+    """Mismatches that a pair of at least ``similarity`` exceeds with probability ``miss`` at most (binomial tail)."""
+    p = (1 - similarity) * (1 - 2.0 ** -bits)
+    if p <= 0:
+        return 0
+    tail, n = 0.0, coordinates
+    while n > 0:
+        tail += math.exp(math.lgamma(coordinates + 1) - math.lgamma(n + 1) - math.lgamma(coordinates - n + 1)
+                         + n * math.log(p) + (coordinates - n) * math.log1p(-p))
+        if tail > miss:
+            break
+        n -= 1
+    return n
+
+
+_WORDS = [f"w{i}" for i in range(LONG * BITS // 64)]
+_LONG = pa.schema([("text_id", pa.int64()), ("total", pa.int64()), *((w, pa.int64()) for w in _WORDS)])
+
+
+def _sign_long(words: int, counted: bool):
+    """The low ``BITS`` bits of each coordinate: one plane of ``LONG`` bits after the other, in 64-bit words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, starts, ends = byte_column(batch.column("text"))
+            for lo, hi in runs(starts, ends, _CHUNK):
+                base = starts[lo]
+                text, gram, count = shingles(buf[base:ends[hi - 1]], starts[lo:hi] - base, ends[lo:hi] - base, words)
+                weight = count if counted else np.ones(len(gram))
+                signed = dart_signatures(text, gram, weight, hi - lo, LONG)
+                planes = [np.packbits((signed >> _U(j) & _U(1)).astype(np.uint8), axis=1) for j in range(BITS)]
+                packed = np.ascontiguousarray(np.concatenate(planes, axis=1)).view(np.int64)
+                total = np.bincount(text, weight, minlength=hi - lo).astype(np.int64)
+                yield record_batch(_LONG, batch.column("text_id").slice(lo, hi - lo), total, *packed.T)
+    return run
+
+
+def may_link(up: int, down: int):
+    """Join condition on columns of ``_LONG`` with suffixes _a and _b."""
+    plane = len(_WORDS) // BITS
+    mismatches = None
+    for i in range(plane):
+        differ = None
+        for w in _WORDS[i::plane]:
+            bits = F.col(w + "_a").bitwiseXOR(F.col(w + "_b"))
+            differ = bits if differ is None else differ.bitwiseOR(bits)
+        n = F.bit_count(differ)
+        mismatches = n if mismatches is None else mismatches + n
+    sizes = F.least("total_a", "total_b") * down >= F.greatest("total_a", "total_b") * up
+    return sizes & (mismatches <= most_mismatches(up / down))
+
+
 _COMPARED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("either", pa.int64())])
 
 
@@ -224,25 +282,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = F.expr(f"{down} * both >= {up} * either and either > 0")
     seen = compared(shared.where("text_id > lead").select(F.col("lead").alias("a"), F.col("text_id").alias("b")).distinct())
     classes = connected_components(seen.where(linked).select("a", "b"))
+    long = None
     for turn in ("leaders", "members"):
         # buckets whose members are in different classes
         placed = shared.join(classes, shared.text_id == classes.node, "left").select(
             "band", "text_id", F.coalesce("component", "text_id").alias("class"))
         open_ = placed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band")
         mixed = stored(placed.join(open_, "band"))
+        if long is None:
+            long = stored(texts.join(mixed.select("text_id").distinct(), "text_id").select("text_id", "text")
+                          .mapInArrow(_sign_long(words, counted), ", ".join(f"{c} long" for c in _LONG.names)))
+        one = mixed.join(long, "text_id")
+        apart = (F.col("band_a") == F.col("band_b")) & (F.col("class_a") != F.col("class_b")) & may_link(up, down)
         if turn == "leaders":
-            other = mixed.groupBy("band", "class").agg(F.min("text_id").alias("other"))
-            pairs = (mixed.join(other.withColumnRenamed("class", "other_class"), "band").where("class != other_class")
-                     .select(F.least("text_id", "other").alias("a"), F.greatest("text_id", "other").alias("b")).distinct())
+            two = mixed.groupBy("band", "class").agg(F.min("text_id").alias("text_id")).join(long, "text_id")
         else:
             # d(x, y) >= |d(x, lead) - d(y, lead)|: only pairs that may still be similar
             gap = seen.select(F.col("a").alias("lead"), F.col("b").alias("text_id"), (1 - F.col("both") / F.col("either")).alias("far"))
-            led = mixed.join(lead, "band").join(gap, ["lead", "text_id"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
-            one, two = (led.select("band", *(F.col(c).alias(c + s) for c in ("text_id", "class", "far"))) for s in ("_a", "_b"))
-            reach = 1 - up / down + 1e-9
-            pairs = (one.join(two, "band").where((F.col("text_id_a") < F.col("text_id_b")) & (F.col("class_a") != F.col("class_b"))
-                                                 & (F.abs(F.col("far_a") - F.col("far_b")) <= reach))
-                     .select(F.col("text_id_a").alias("a"), F.col("text_id_b").alias("b")).distinct())
+            one = one.join(lead, "band").join(gap, ["lead", "text_id"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))).drop("lead")
+            two = one
+            apart &= (F.col("text_id_a") < F.col("text_id_b")) & (F.abs(F.col("far_a") - F.col("far_b")) <= 1 - up / down + 1e-9)
+        one, two = (t.select(*(F.col(c).alias(c + side) for c in t.columns)) for t, side in ((one, "_a"), (two, "_b")))
+        pairs = one.join(two, apart).select(F.least("text_id_a", "text_id_b").alias("a"), F.greatest("text_id_a", "text_id_b").alias("b")).distinct()
         pairs = stored(pairs.join(seen, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             break
