@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklab.functions.columns import half_even
-from ranklab.operators.ranking import group_total, rank_within, top_k_within
+from ranklab.operators.ranking import group_total, materialize, rank_within, top_k_within
 from ranklab.operators.scoring import score_orders, summary_text
 
 # --- fixed values -----------------------------------------------------------
@@ -30,11 +30,12 @@ TOP_N = 10
 EVENT = ["Year", "Circuit"]
 
 
-def strategy_predictions(gold: DataFrame, top_n: int = TOP_N) -> DataFrame:
+def strategy_predictions(gold: DataFrame, top_n: int | None = TOP_N) -> DataFrame:
     """Three simple forecasters ("users") ranking each event's field by the
     grid, by recent form and by championship position. ``prob`` is the
     entrant's share of the strategy score in the event (WIN14). Columns:
-    user_id, Year, Circuit, pos, driver, team, prob."""
+    user_id, Year, Circuit, pos, driver, team, prob. ``top_n=None``: the whole
+    field's probabilities as rows, without places (OPS6)."""
     specs = {
         1: F.col("GridPosition"),
         2: F.coalesce(F.col("AvgFinishLast5"), F.lit(99.0)),
@@ -47,6 +48,8 @@ def strategy_predictions(gold: DataFrame, top_n: int = TOP_N) -> DataFrame:
     rows = rows.withColumn("_score", 1.0 / F.greatest(F.col("_key"), F.lit(1.0)))
     rows = group_total(rows, ["user_id", *EVENT], "_score", "_total")
     rows = rows.withColumn("prob", half_even(F.col("_score") / F.col("_total"), 4))
+    if top_n is None:
+        return rows.select("user_id", *EVENT, "driver", "team", "prob")
     top = top_k_within(rows, ["user_id", *EVENT], [("_key", False), ("driver", False)], top_n, out="pos")
     return top.select("user_id", *EVENT, "pos", "driver", "team", "prob")
 
@@ -140,6 +143,7 @@ def leaderboard(scored: DataFrame, users: DataFrame, skew_safe: bool | None = No
                 F.avg(F.coalesce("top10_hits", F.lit(0))).alias("avg_top10_hits"),
                 F.avg("position_mae").alias("avg_position_mae"),
                 F.avg("spearman_rho").alias("avg_spearman")))
+    agg = materialize(agg)  # the ranking's size check must not run the scoring again
     ranked = rank_within(agg, [], [("avg_podium_hits", True), ("username", False)], out="rank",
                          method="row_number", skew_safe=skew_safe)
     medal = F.element_at(F.array(*[F.lit(m) for m in MEDALS]), F.col("rank"))

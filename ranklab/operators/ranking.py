@@ -177,6 +177,15 @@ def group_total(df: DataFrame, group_cols: Sequence[str], value: str | Column,
     return df.join(renamed, on=cond, how="left").drop(*[f"_g_{g}" for g in group_cols])
 
 
+def group_totals(df: DataFrame, group_cols: Sequence[str], **totals: Column) -> DataFrame:
+    """Attach several per-group aggregates at once: one aggregation, written,
+    and one join (broadcast after its size check)."""
+    agg = df.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group_cols]).agg(*[c.alias(n) for n, c in totals.items()])
+    agg = broadcast_if_small(materialize(agg))
+    cond = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group_cols]
+    return df.join(agg, on=cond, how="left").drop(*[f"_g_{g}" for g in group_cols])
+
+
 def rolling_rows(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[OrderKey],
                  value: str, k: int, out: str, how: str = "sum",
                  skew_safe: bool | None = None) -> DataFrame:

@@ -46,7 +46,8 @@ quali_last AS (
     SELECT *, row_number() OVER (PARTITION BY yr, circuit, driver ORDER BY session DESC) AS rn
     FROM quali WHERE g IS NOT NULL) t WHERE rn = 1),
 g0 AS (
-  SELECT s.*, CAST(coalesce(q.g, s."GridPosition", 10) AS DOUBLE) AS grid
+  SELECT s.*, CAST(coalesce(q.g, s."GridPosition", 10) AS DOUBLE) AS grid,
+         CAST(coalesce(q.g, s."GridPosition") AS DOUBLE) AS raw_grid
   FROM silver s LEFT JOIN quali_last q
     ON s."Year" = q.yr AND s."Circuit" = q.circuit AND s."FullName" = q.driver),
 g1 AS (
@@ -76,7 +77,7 @@ gold AS (
     CAST(g1."RaceIndex" AS DOUBLE) AS "RaceIndex",
     CAST(g1."Position" AS DOUBLE) AS "Position",
     CAST(g1."Position" AS DOUBLE) AS "ClassifiedPosition",
-    grid AS "GridPosition",
+    grid AS "GridPosition", raw_grid AS "RawGrid",
     CAST(g1."Points" AS DOUBLE) AS "Points",
     f3 AS "AvgFinishLast3", f5 AS "AvgFinishLast5", f10 AS "AvgFinishLast10",
     g5 AS "AvgGridLast5",
@@ -268,7 +269,7 @@ h2 AS (SELECT * FROM hist WHERE "FullName" IN (SELECT "FullName" FROM active)),
 overall AS (
   SELECT "FullName", avg("Position") AS avg_finish_overall,
          arg_max("TeamName", "RaceIndex") FILTER (WHERE "TeamName" IS NOT NULL) AS "TeamName",
-         avg("GridPosition") AS avg_quali_pos
+         avg("RawGrid") AS avg_quali_pos
   FROM h2 GROUP BY 1),
 circ2 AS (
   SELECT t."Year", t."Circuit", h."FullName", sum(h."Position") / count(h."Position") AS circ_avg
@@ -284,9 +285,10 @@ prof0 AS (
   FROM active a LEFT JOIN overall o ON o."FullName" = a."FullName"
   LEFT JOIN circ2 c ON c."Year" = a."Year" AND c."Circuit" = a."Circuit" AND c."FullName" = a."FullName"
   LEFT JOIN tform tf ON tf."TeamName" = o."TeamName"),
+mid AS (SELECT "Year", "Circuit", quantile_cont(team_form, 0.5) AS med FROM prof0 GROUP BY 1, 2),
 pct AS (
-  SELECT "Year", "Circuit", quantile_cont(team_form, 0.5) AS med, quantile_cont(team_form, 0.75) AS p75
-  FROM prof0 GROUP BY 1, 2),
+  SELECT p."Year", p."Circuit", any_value(m.med) AS med, quantile_cont(coalesce(p.team_form, m.med), 0.75) AS p75
+  FROM prof0 p LEFT JOIN mid m ON m."Year" = p."Year" AND m."Circuit" = p."Circuit" GROUP BY 1, 2),
 profile AS (
   SELECT p."Year", p."Circuit", p."FullName", p."TeamName",
     coalesce(p.avg_finish_overall, CAST(12 AS DOUBLE)) AS avg_finish_overall,

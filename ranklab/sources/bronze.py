@@ -3,27 +3,29 @@
 folder or inside ``Source=<file name>`` partition folders as written by
 ``sinks.write_bronze``.
 
-Spark binds CSV columns by position, so files whose headers differ (order,
-missing or extra columns) must not be read with one schema. The scan:
-
-1. reads the files as text once to get each file's first line, its path and
-   size (``_metadata``) - a distributed job; only the distinct headers and
-   their file lists reach the driver (metadata, not data);
-2. reads each header group with an all-string schema built from that header;
-3. ``unionByName(allowMissingColumns=True)`` over the groups;
+Spark binds CSV columns by position, while headers differ from file to file
+(order, missing or extra columns). The scan therefore
+
+1. reads each file's first line, path and size into a table (file, header);
+   only the distinct headers, never a list of files, reach the driver;
+2. reads the data once, with as many text columns as the widest header has;
+3. joins the file table and takes each column from the place its header names;
 4. tags Year / Circuit / Source from the file name.
 
-Files of ``min_bytes`` or less are skipped (SRC1); no file at all raises.
+An event may have any number of part files: it is skipped when all its files
+together hold ``min_bytes`` or less (SRC1); no file at all raises.
 """
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ranklab.operators.ranking import broadcast_if_small, materialize
+
 NAME_RE = r"^(\d+)_(.*)_{kind}\.csv$"
 PATH_RE = r"(?:^|/)(?:Source=)?(\d+)_([^/]*)_{kind}\.csv(?:/[^/]*)?$"
 
@@ -46,79 +48,78 @@ def _header_names(line: str) -> list[str]:
     return out
 
 
-def season_paths(spark: SparkSession, root: str, years: list[int], kind: str = "results") -> list[str]:
-    """SRC3 pruning: only the files of the given seasons, found by globbing
-    file names (flat layout) and ``Source=`` folders (written layout) - the
-    hand-made partition pruning of the reference, done on the listing."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    ys = ",".join(str(y) for y in sorted(set(years)))
-    out = []
-    for pat in (f"{root}/{{{ys}}}_*_{kind}.csv", f"{root}/Source={{{ys}}}_*_{kind}.csv"):
-        p = jvm.org.apache.hadoop.fs.Path(pat)
-        found = p.getFileSystem(conf).globStatus(p)
-        out += [st.getPath().toString() for st in (found or [])]
-    return sorted(out)
-
-
-def discover(spark: SparkSession, root: str | list[str], kind: str = "results",
-             min_bytes: int = 200) -> list[tuple[str, list[str]]]:
-    """(header line, [file paths]) for every distinct header among the
-    matching files larger than ``min_bytes`` (``root``: a folder or a list
-    of files)."""
-    txt = (spark.read.option("recursiveFileLookup", "true").text(root)
-           .select("value", F.col("_metadata.file_path").alias("path"),
-                   F.col("_metadata.file_size").alias("size"),
-                   F.col("_metadata.file_block_start").alias("block"),
-                   F.monotonically_increasing_id().alias("_mid")))
-    pattern = PATH_RE.format(kind=kind)
-    files = (txt.filter((F.col("block") == 0) & F.col("path").rlike(pattern)
-                        & (F.col("size") > min_bytes))
-             .groupBy("path").agg(F.min_by("value", "_mid").alias("header")))
-    groups = files.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
-    # _metadata.file_path is a URI; the reader wants the plain path back
-    return sorted((r["header"], [unquote(p) for p in r["paths"]]) for r in groups)
-
-
-def _source_name(kind: str) -> F.Column:
+def source_name() -> F.Column:
     """The per-event file name: partition value when present, else the file
     name of the path."""
-    fname = F.regexp_extract(F.col("_path"), r"([^/]*)$", 1)
-    dirname = F.regexp_extract(F.col("_path"), r"Source=([^/]*)/[^/]*$", 1)
+    fname = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)$", 1)
+    dirname = F.regexp_extract(F.col("_metadata.file_path"), r"Source=([^/]*)/[^/]*$", 1)
     decoded = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
     return F.when(dirname != "", decoded(decoded(dirname))).otherwise(decoded(fname))
 
 
-def scan_bronze(spark: SparkSession, root: str | list[str], kind: str = "results", min_bytes: int = 200,
-                years: list[int] | None = None, required: bool = True) -> DataFrame | None:
+def _wanted(kind: str, years: Sequence[int] | None, sources: Sequence[str] | None) -> F.Column:
+    """Condition on the file path alone: Spark applies it to the listing, so
+    files of other kinds, seasons (SRC3) or events are never opened."""
+    year = "|".join(str(y) for y in sorted(set(years))) if years is not None else r"\d+"
+    out = F.col("_metadata.file_path").rlike(PATH_RE.format(kind=kind).replace(r"(\d+)", f"({year})", 1))
+    return out if sources is None else out & source_name().isin(list(sources))
+
+
+def headers(spark: SparkSession, root: str, kind: str = "results", min_bytes: int = 200,
+            years: Sequence[int] | None = None, sources: Sequence[str] | None = None) -> DataFrame:
+    """(path, header line) of every file whose *event* holds more than
+    ``min_bytes`` in all its part files together."""
+    txt = (spark.read.option("recursiveFileLookup", "true").text(root)
+           .filter(_wanted(kind, years, sources))
+           .select("value", F.col("_metadata.file_path").alias("_path"), source_name().alias("_event"),
+                   F.col("_metadata.file_size").alias("size"),
+                   F.col("_metadata.file_block_start").alias("block"),
+                   F.monotonically_increasing_id().alias("_mid")))
+    files = (txt.filter(F.col("block") == 0).groupBy("_path", "_event")
+             .agg(F.min_by("value", "_mid").alias("_header"), F.first("size").alias("size")))
+    files = materialize(files)
+    events = files.groupBy("_event").agg(F.sum("size").alias("total")).filter(F.col("total") > min_bytes)
+    return files.join(events, "_event", "left_semi").select("_path", "_header")
+
+
+def scan_bronze(spark: SparkSession, root: str, kind: str = "results", min_bytes: int = 200,
+                years: Sequence[int] | None = None, sources: Sequence[str] | None = None,
+                required: bool = True) -> DataFrame | None:
     """SRC1/SRC2/SRC3/SRC4/SRC6/SRC7: header-aware scan of every bronze file
-    of ``kind``; all data columns are strings. Adds Year (int), Circuit
-    (underscores -> spaces), Source (file name) and ``_row`` (a per-file row
-    ordinal for keep-last dedupes)."""
-    if years is not None and isinstance(root, str):
-        root = season_paths(spark, root, years, kind) or root
-    groups = discover(spark, root, kind, min_bytes)
-    if not groups:
+    of ``kind`` (of the seasons ``years`` or the events ``sources``, when
+    given); all data columns are strings. Adds Year (int), Circuit
+    (underscores -> spaces), Source (the event's file name) and ``_row`` (file,
+    block, place: the row order inside an event, for keep-last dedupes).
+    Without any matching file it raises, or returns None if not ``required``."""
+    files = materialize(headers(spark, root, kind, min_bytes, years, sources))
+    known = [r["_header"] for r in files.select("_header").distinct().orderBy("_header").collect()]
+    if not known:
         if required:
             raise FileNotFoundError(f"no {kind} CSV files over {min_bytes} bytes under {root}")
         return None
+    names = {h: _header_names(h or "") for h in known}
+    width = max(1, *(len(n) for n in names.values()))
+    schema = StructType([StructField(f"_c{i}", StringType(), True) for i in range(width)])
+    raw = (spark.read.schema(schema).option("header", "true").option("escape", '"').option("enforceSchema", "true")
+           .option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").csv(root)
+           .filter(_wanted(kind, years, sources))
+           .select(*schema.names, source_name().alias("Source"), F.col("_metadata.file_path").alias("_path"),
+                   F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                            F.monotonically_increasing_id().alias("place")).alias("_row")))
+    raw = raw.join(broadcast_if_small(files), "_path")
+    columns = list(dict.fromkeys(n for h in known for n in names[h]))
+
+    def value(name: str) -> F.Column:
+        # the place of a column differs from header to header
+        places = {h: n.index(name) for h, n in names.items() if name in n}
+        if len(places) == len(known) and len(set(places.values())) == 1:
+            return F.col(f"_c{next(iter(places.values()))}")
+        out = F.lit(None).cast("string")
+        for h, i in places.items():
+            out = F.when(F.col("_header").eqNullSafe(F.lit(h)), F.col(f"_c{i}")).otherwise(out)
+        return out
+
     name_re = NAME_RE.format(kind=kind)
-    frames = []
-    for header, paths in groups:
-        names = _header_names(header)
-        schema = StructType([StructField(n, StringType(), True) for n in names])
-        df = (spark.read.schema(schema).option("header", "true").option("escape", '"')
-              .option("mode", "PERMISSIVE").csv(paths)
-              .withColumn("_path", F.col("_metadata.file_path"))
-              .withColumn("_row", F.monotonically_increasing_id()))
-        frames.append(df)
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    out = out.withColumn("Source", _source_name(kind))
-    out = (out.withColumn("Year", F.regexp_extract("Source", name_re, 1).cast("int"))
-              .withColumn("Circuit", F.translate(F.regexp_extract("Source", name_re, 2), "_", " "))
-              .drop("_path"))
-    if years is not None:
-        out = out.filter(F.col("Year").isin(list(years)))
-    return out
+    return raw.select(*(value(n).alias(n) for n in columns), "_row", "Source",
+                      F.regexp_extract("Source", name_re, 1).cast("int").alias("Year"),
+                      F.translate(F.regexp_extract("Source", name_re, 2), "_", " ").alias("Circuit"))

@@ -2,25 +2,25 @@
 
 The stream watches the bronze folder (file source; its checkpoint remembers
 which files were processed, so nothing is read twice). Each micro-batch takes
-the batch's new file paths - bounded by ``maxFilesPerTrigger`` - runs the
-header-aware bronze scan on exactly those files, cleans them and replaces the
-silver partitions of the events they carry (dynamic partition overwrite), so
-re-running a batch after a failure rewrites the same partitions: idempotent.
+the names of the events that its new files belong to - at most
+``maxFilesPerTrigger`` - scans *all* files of these events, cleans them and
+replaces their silver partitions (dynamic partition overwrite). An event whose
+files fall into several batches is thus whole after each of them, whatever
+``max_files`` is, and re-running a batch after a failure rewrites the same
+partitions: idempotent.
 ``trigger(availableNow=True)`` processes everything new and stops, the shape
 of the reference's "one command after each event".
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklab.operators.silver import coerce_numeric, keep_last, normalize_names
-from ranklab.sources.bronze import PATH_RE, scan_bronze
+from ranklab.sources.bronze import PATH_RE, scan_bronze, source_name
 from ranklab.sources.sinks import write_silver
 
 SILVER_KEY = ("Year", "Circuit", "FullName")
@@ -50,22 +50,21 @@ def ingest(spark: SparkSession, bronze_root: str, silver_path: str, checkpoint:
            kind: str = "results", min_bytes: int = 200, max_files: int = 1000,
            aliases: Mapping[str, str] | DataFrame | None = None) -> int:
     """Process all new bronze files and return how many were ingested."""
-    pattern = re.compile(PATH_RE.format(kind=kind))
     seen = {"files": 0}
 
     def on_batch(batch: DataFrame, epoch_id: int) -> None:
-        rows = (batch.filter(F.col("size") > min_bytes).select("path").distinct().collect())
-        paths = sorted(unquote(r["path"]) for r in rows if pattern.search(r["path"]))
-        if not paths:
+        new = batch.filter(F.col("path").rlike(PATH_RE.format(kind=kind))).distinct().collect()  # max_files at most
+        if not new:
             return
-        raw = scan_bronze(spark, paths, kind, min_bytes)
-        write_silver(clean_batch(raw, aliases), silver_path, ("Year", "Circuit"))
-        seen["files"] += len(paths)
+        raw = scan_bronze(spark, bronze_root, kind, min_bytes, sources=sorted({r["event"] for r in new}), required=False)
+        if raw is not None:
+            write_silver(clean_batch(raw, aliases), silver_path, ("Year", "Circuit"))
+        seen["files"] += len(new)
 
     stream = (spark.readStream.format("text").option("recursiveFileLookup", "true")
               .option("maxFilesPerTrigger", max_files).load(bronze_root)
               .select(F.col("_metadata.file_path").alias("path"),
-                      F.col("_metadata.file_size").alias("size")))
+                      source_name().alias("event")))
     q = (stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
