@@ -670,8 +670,8 @@ CURRENT_SEASON = int(AS_OF[:4])
 @register("bronze_season_scan", O.with_(S, f"""SELECT "Year", "Circuit", "FullName", "TeamName",
   "Position", "GridPosition", "Points" FROM silver WHERE "Year" = {CURRENT_SEASON}"""), "SRC3")
 def q_season_scan(spark, sf):
-    """The current season's files only (season of ``as_of``): the listing is
-    globbed by season before any file is opened."""
+    """The current season's files only (season of ``as_of``): file paths are
+    filtered by season before any file is opened."""
     root = _bronze_root(spark, sf)
     raw = scan_bronze(spark, root, years=[CURRENT_SEASON])
     s = clean_silver(raw)
