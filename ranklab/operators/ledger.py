@@ -97,6 +97,8 @@ def score_ledger(ledger: DataFrame, silver: DataFrame, as_of: str) -> DataFrame:
     act = actual_orders(silver).withColumnsRenamed({"Year": "year", "Circuit": "race_name"})
     scores = score_orders(pred, act, ["user_id"], ["year", "race_name"],
                           headers=todo.select(*keys))
+    # a stored ledger has empty score columns for these rows
+    todo = todo.drop(*[c for c in scores.columns if c not in keys], "actual_top10")
     act_list = (act.groupBy("year", "race_name")
                 .agg(F.transform(F.array_sort(F.collect_list(F.struct("ap", "driver"))),
                                  lambda x: x["driver"]).alias("actual_top10")))
@@ -106,6 +108,14 @@ def score_ledger(ledger: DataFrame, silver: DataFrame, as_of: str) -> DataFrame:
     return done
 
 
+def write_back(ledger: DataFrame, scored: DataFrame) -> DataFrame:
+    """OPS3: the ledger with the rows that ``score_ledger`` has scored in place
+    of their former state; rows without a result stay unscored."""
+    keys = ["user_id", "year", "race_name"]
+    done = scored.filter(F.col("scored_at").isNotNull())
+    return ledger.join(done.select(*keys), keys, "left_anti").unionByName(done, allowMissingColumns=True)
+
+
 def status_label(scored: DataFrame) -> DataFrame:
     """TXT4: score summary when scored, else locked/draft label."""
     if "winner_correct" not in scored.columns:
@@ -190,21 +200,53 @@ def deadline_of(day_col: str = "day") -> F.Column:
     return F.to_timestamp(F.col(day_col)) + F.expr("INTERVAL 12 HOURS")
 
 
-def effective_predictions(subs: DataFrame) -> DataFrame:
+def effective_predictions(subs: DataFrame, deadlines: DataFrame | None = None) -> DataFrame:
     """OPS2: per key the latest submission strictly before the deadline
     (ties by larger event_id). A keep-last aggregation (map-side combine),
-    so one user-day with a flood of submissions stays cheap."""
+    so one user-day with a flood of submissions stays cheap. ``deadlines``
+    (day, lock_deadline; one row a day, noon without it) may lack a day or hold
+    null: such a day stays open (Q16)."""
+    from ranklab.operators.ranking import broadcast_if_small
     from ranklab.operators.silver import keep_last
-    ok = subs.filter(F.col("ts") < deadline_of())
-    return keep_last(ok, ["user_id", "day"], ["ts", "event_id"]).withColumn("lock_deadline", deadline_of())
-
-
-def merge_submissions(subs: DataFrame) -> DataFrame:
-    """OPS1: batch upsert. A key is locked from its first purchase on; a
-    draft (click) at or after that moment is rejected, earlier drafts are
-    accepted and the last accepted one is the stored draft."""
-    locks = (subs.filter(F.col("event_type") == "purchase").groupBy("user_id", "day")
-             .agg(F.min("ts").alias("locked_at")))
+    if deadlines is None:
+        timed = subs.withColumn("lock_deadline", deadline_of())
+    else:
+        timed = subs.join(broadcast_if_small(deadlines.select("day", "lock_deadline")), "day", "left").select(*subs.columns, "lock_deadline")
+    ok = timed.filter(F.col("lock_deadline").isNull() | (F.col("ts") < F.col("lock_deadline")))
+    return keep_last(ok, ["user_id", "day"], ["ts", "event_id"])
+
+
+def locks_of(subs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """(user_id, day, locked_at): the first purchase of a key, or the lock that
+    the stored ledger already has."""
+    locks = subs.filter(F.col("event_type") == "purchase").select("user_id", "day", F.col("ts").alias("locked_at"))
+    if ledger is not None:
+        locks = locks.unionByName(ledger.filter(F.col("locked_at").isNotNull()).select("user_id", "day", "locked_at"))
+    return locks.groupBy("user_id", "day").agg(F.min("locked_at").alias("locked_at"))
+
+
+def upsert_ledger(subs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """OPS1 against a stored ledger (user_id, day, event_id, ts, value,
+    locked_at): the ledger after a batch of submissions. A lock that is stored
+    rejects later drafts; a stored draft has been accepted and stays until a
+    newer one is accepted. Batches come in the order of time."""
+    row = ["event_id", "ts", "value"]
+    new = (merge_submissions(subs, ledger).filter(F.col("status") == "accepted")
+           .groupBy("user_id", "day").agg(F.max_by(F.struct(*row), F.struct("ts", "event_id")).alias("_draft")))
+    if ledger is not None:
+        held = ledger.filter(F.col("event_id").isNotNull()).select("user_id", "day", F.struct(*row).alias("_draft"))
+        new = (new.unionByName(held).groupBy("user_id", "day")
+               .agg(F.max_by("_draft", F.struct("_draft.ts", "_draft.event_id")).alias("_draft")))
+    return (new.join(locks_of(subs, ledger), ["user_id", "day"], "full")
+            .select("user_id", "day", *[F.col(f"_draft.{c}").alias(c) for c in row], "locked_at"))
+
+
+def merge_submissions(subs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """OPS1: batch upsert. A key is locked from its first purchase on, or from
+    the lock in the stored ``ledger``; a draft (click) at or after that moment
+    is rejected, earlier drafts are accepted and the last accepted one is the
+    stored draft."""
+    locks = locks_of(subs, ledger)
     drafts = subs.filter(F.col("event_type") == "click").join(locks, ["user_id", "day"], "left")
     rejected = F.col("locked_at").isNotNull() & (F.col("ts") >= F.col("locked_at"))
     decided = (drafts.withColumn("status", F.when(rejected, "rejected").otherwise("accepted"))

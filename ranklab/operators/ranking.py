@@ -53,15 +53,18 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking its size (a count that stops at
-    ``max_rows + 1``); larger inputs stay ordinary join sides. Meant for
-    small dimension-like tables (targets, per-season keys) that are already
-    materialized or cheap to recompute."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after checking its rows and its bytes (the length
+    of the rows as JSON; the check stops at ``max_rows + 1`` rows); larger
+    inputs stay ordinary join sides. Meant for small dimension-like tables
+    (targets, per-season keys) that are already materialized or cheap to
+    recompute."""
+    size = (df.select(F.octet_length(F.to_json(F.struct("*"))).alias("_bytes")).limit(max_rows + 1)
+              .agg(F.count(F.lit(1)).alias("rows"), F.sum("_bytes").alias("bytes")).first())
+    return F.broadcast(df) if size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes else df
 
 
 def largest_group(df: DataFrame, group_cols: Sequence[str]) -> int:
@@ -140,6 +143,19 @@ def rank_within(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[Ord
                   .drop("_slice", "_o_slice", "_off", *[f"_o_{g}" for g in group]))
 
 
+def rank_by_value(df: DataFrame, group_cols: Sequence[str], value: str, out: str) -> DataFrame:
+    """Rank (method min) by ``value`` descending inside each group, however
+    many rows tie: one plus the number of rows with larger values, from the
+    counts per distinct (group, value), joined back."""
+    counts = materialize(df.groupBy(*group_cols, value).agg(F.count(F.lit(1)).alias("_n")))
+    placed = running_within(counts, group_cols, [(value, True)], {"_before": "_n"})
+    keys = [*group_cols, value]
+    places = broadcast_if_small(materialize(placed.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], (F.col("_before") + 1).cast("int").alias(out))))
+    cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return df.join(places, cond, "inner").drop(*[f"_k_{k}" for k in keys])
+
+
 def top_k_within(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[OrderKey],
                  k: int, out: str | None = None, method: str = "row_number") -> DataFrame:
     """Rows ranked <= k inside each group (SRT2). Planned as WindowGroupLimit."""

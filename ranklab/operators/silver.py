@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ranklab.functions.columns import DEFAULT_NAME_ALIASES, clean_name, guarded_int, to_number
 
 EVENT = ("Year", "Circuit")
-MAX_ALIAS_ROWS = 1_000_000
 
 
 def alias_frame(spark, aliases: Mapping[str, str] | DataFrame) -> DataFrame:
@@ -31,19 +30,13 @@ def normalize_names(df: DataFrame, col: str = "FullName",
                     aliases: Mapping[str, str] | DataFrame | None = None) -> DataFrame:
     """CLN1: null/NA -> 'Unknown', trim, then an exact alias lookup.
 
-    A dict alias map (bounded by ``MAX_ALIAS_ROWS``) becomes a literal map
-    column - a JVM-side lookup, no join and no Python. An alias DataFrame is
-    a left join, broadcast after a size check.
+    The alias table (a dict becomes one) is a left join, broadcast after a
+    size check.
     """
     aliases = DEFAULT_NAME_ALIASES if aliases is None else aliases
     cleaned = df.withColumn(col, clean_name(col))
-    if not isinstance(aliases, DataFrame):
-        if len(aliases) > MAX_ALIAS_ROWS:
-            raise ValueError(f"alias dict over {MAX_ALIAS_ROWS} entries: pass a DataFrame")
-        if not aliases:
-            return cleaned
-        lookup = F.create_map(*[F.lit(x) for kv in sorted(aliases.items()) for x in kv])
-        return cleaned.withColumn(col, F.coalesce(F.element_at(lookup, F.col(col)), F.col(col)))
+    if not isinstance(aliases, DataFrame) and not aliases:
+        return cleaned
     from ranklab.operators.ranking import broadcast_if_small
     amap = broadcast_if_small(alias_frame(df.sparkSession, aliases))
     return (cleaned.join(amap, cleaned[col] == amap["_alias"], "left")

@@ -398,15 +398,55 @@ def q_locked(spark, sf):
     return LG.locked_count(_subs(spark, sf))
 
 
+@register("ledger_upsert", O.with_(MERGE_CTES, """SELECT coalesce(l.user_id, d.user_id) AS user_id,
+  coalesce(l.day, d.day) AS day, d.event_id, d.ts, d.value, l.locked_at
+FROM locks l FULL JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day
+    ORDER BY ts DESC, event_id DESC) AS rn FROM dr WHERE NOT rej) t WHERE rn = 1) d
+  ON l.user_id = d.user_id AND l.day = d.day"""), "OPS1")
+def q_upsert(spark, sf):
+    """Morning submissions are stored, those of the afternoon merged into the stored ledger."""
+    from ranklab.sources import sinks as SK
+    subs = _subs(spark, sf)
+    morning = F.hour("ts") < 12
+    root = SK.scratch_path(spark, "ledger")
+    SK.write_version(LG.upsert_ledger(subs.filter(morning)), root)
+    stored = spark.read.parquet(SK.latest_version(spark, root))
+    SK.write_version(LG.upsert_ledger(subs.filter(~morning), stored), root)
+    return spark.read.parquet(SK.latest_version(spark, root))
+
+
+@register("ledger_writeback", O.with_(GS, """SELECT s.user_id, s.year, s.race_name, s.winner_correct, s.podium_hits,
+  s.status, CAST(0 AS BIGINT) AS rescored
+FROM scored_text s JOIN deadlines d ON d."Year" = s.year AND d.race_name = s.race_name"""), "OPS3", "SNK3")
+def q_writeback(spark, sf):
+    """Scores are written back to the stored ledger; a second run on it scores ``rescored`` rows."""
+    from ranklab.operators.ranking import with_scalars
+    from ranklab.sources import sinks as SK
+    gold = gold_from_tables(spark, sf)
+    silver = gold.select("Year", "Circuit", "FullName", F.col("Position").cast("int").alias("Position"))
+    root = SK.scratch_path(spark, "scores")
+    SK.write_version(LG.strategy_ledger(gold, SC.lock_deadlines(_schedule(spark, sf))), root)
+    stored = spark.read.parquet(SK.latest_version(spark, root))
+    SK.write_version(LG.write_back(stored, LG.score_ledger(stored, silver, AS_OF)), root)
+    after = spark.read.parquet(SK.latest_version(spark, root))
+    again = LG.score_ledger(after, silver, AS_OF).agg(F.count("scored_at").alias("rescored"))
+    return with_scalars(LG.status_label(after), again).select(
+        "user_id", "year", "race_name", "winner_correct", "podium_hits", "status", "rescored")
+
+
 @register("user_history", O.with_(GS, """SELECT s.user_id, s.race_name, s.year, d.round_number,
-  d.lock_deadline - INTERVAL 1 HOUR AS predicted_at, true AS is_locked,
+  d.lock_deadline - INTERVAL 1 HOUR AS predicted_at, true AS is_locked, s.top10,
   '🔒 Locked — awaiting race result' AS status
-FROM (SELECT DISTINCT user_id, "Year" AS year, "Circuit" AS race_name FROM preds) s
+FROM (SELECT user_id, "Year" AS year, "Circuit" AS race_name,
+    list(struct_pack(pos := pos, driver := driver, team := team, prob := prob) ORDER BY pos) AS top10
+  FROM preds GROUP BY 1, 2, 3) s
 JOIN deadlines d ON d."Year" = s.year AND d.race_name = s.race_name"""), "OPS4", "TXT4")
 def q_history(spark, sf):
+    """The payload's JSON text is read back, so that its values are compared."""
     gold = gold_from_tables(spark, sf)
-    ledger = LG.strategy_ledger(gold, SC.lock_deadlines(_schedule(spark, sf)))
-    return LG.user_history(ledger).drop("top10_json")
+    history = LG.user_history(LG.strategy_ledger(gold, SC.lock_deadlines(_schedule(spark, sf))))
+    payload = F.from_json("top10_json", "array<struct<pos:int,driver:string,team:string,prob:double>>")
+    return history.withColumn("top10", payload).drop("top10_json")
 
 
 # --- forecasting -------------------------------------------------------------------

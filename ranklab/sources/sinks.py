@@ -31,30 +31,37 @@ def write_silver(silver: DataFrame, path: str, partition_by: tuple[str, ...] = (
      .partitionBy(*partition_by).parquet(path))
 
 
+def _versions(spark: SparkSession, root: str) -> list[tuple[int, str, bool]]:
+    """(number, path, committed) of the version folders under ``root``."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(root)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return []
+    out = []
+    for st in fs.listStatus(p):
+        kind, _, number = st.getPath().getName().partition("=")
+        if st.isDirectory() and kind == "version" and number.isdigit():
+            committed = fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))
+            out.append((int(number), st.getPath().toString(), committed))
+    return out
+
+
 def write_version(df: DataFrame, root: str) -> str:
     """SNK3: write a complete new version folder (job commit makes it
-    all-or-nothing) and return its path; readers use ``latest_version``."""
-    path = f"{root}/version={uuid.uuid4().hex}"
+    all-or-nothing) under the next number and return its path; readers use
+    ``latest_version``. Of two writers that take the same number, the later
+    fails."""
+    number = 1 + max((n for n, _, _ in _versions(df.sparkSession, root)), default=0)
+    path = f"{root}/version={number}"
     df.write.mode("errorifexists").parquet(path)
     return path
 
 
 def latest_version(spark: SparkSession, root: str) -> str | None:
-    """Newest committed version folder (has ``_SUCCESS``) under ``root``."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return None
-    best, best_t = None, -1
-    for st in fs.listStatus(p):
-        path = st.getPath()
-        if st.isDirectory() and path.getName().startswith("version=") and \
-                fs.exists(jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
-            if st.getModificationTime() > best_t:
-                best, best_t = path.toString(), st.getModificationTime()
-    return best
+    """The committed version folder (has ``_SUCCESS``) of the largest number
+    under ``root``; times of folders play no part."""
+    return max(((n, path) for n, path, committed in _versions(spark, root) if committed), default=(0, None))[1]
 
 
 def write_json_records(df: DataFrame, path: str) -> None:
