@@ -9,10 +9,11 @@ rows (a mergeable quantile and sums of products), so a cell of any size is
 spread over the cluster. A last reweighting step uses all rows within the 97.5 %
 distance. Rows beyond the ``CUT`` distance are rejected.
 
-Cells with fewer than ``LEAST_ROWS`` rows are pooled by language, then over
-all; rows of a pool that is still smaller are kept. Each statistic has a least
-spread (``SPREADS``), so a cell whose texts agree in a statistic does not
-reject every other value of it.
+Rows of a cell with fewer than ``LEAST_ROWS`` rows are judged by the estimate
+over all rows of their language, and where the language has fewer, by the
+estimate over all rows, so every row that passes the base rules has a distance.
+Each statistic has a least spread (``SPREADS``), so a cell whose texts agree in a
+statistic does not reject every other value of it.
 
 Defined cases: null text has no words and fails the base rules; null language or
 source is a cell of its own; ids may be null or repeat; an empty table gives an
@@ -135,20 +136,27 @@ def _estimate(names: list[str], factor: float):
 
 
 def with_cells(rows: DataFrame, broad: str, narrow: str, least: int) -> DataFrame:
-    """``cell``: narrow and broad value, pooled while a cell has fewer than ``least`` rows."""
+    """``rows`` once for each estimate they count in (``cell``), with the cell
+    that judges them (``judge``): their own, or where that has fewer than
+    ``least`` rows all rows of the broad value, or where these are fewer all rows."""
     def name(*columns):  # lengths keep (a, bc) and (ab, c) apart
         return F.concat_ws("|", *(F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-")) for c in columns))
 
-    counts = rows.groupBy(broad, narrow).agg(F.count("*").alias("n"))
-    pooled = counts.withColumn("own", F.col("n") >= least)
-    of_broad = pooled.where("not own").groupBy(F.col(broad).alias("of")).agg(F.sum("n").alias("m"))
-    plan = (pooled.join(of_broad, F.col(broad).eqNullSafe(F.col("of")), "left")
-            .select(F.col(broad).alias("b"), F.col(narrow).alias("s"),
-                    F.when(F.col("own"), name(broad, narrow)).when(F.col("m") >= least, F.concat(name(broad), F.lit("|*"))).otherwise("*").alias("cell")))
+    counts = stored(rows.groupBy(broad, narrow).agg(F.count("*").alias("n")))
+    of_broad = stored(counts.groupBy(F.col(broad).alias("of")).agg(F.sum("n").alias("m"), F.min("n").alias("smallest")))
+    small = not of_broad.where(F.col("m") < least).isEmpty()
+    own, pool, all_ = name(broad, narrow), F.concat(name(broad), F.lit("|*")), F.lit("*")
+    wide = F.col("m") >= least
+    plan = counts.join(of_broad, F.col(broad).eqNullSafe(F.col("of"))).select(
+        F.col(broad).alias("b"), F.col(narrow).alias("s"),
+        F.when(F.col("n") >= least, own).when(wide, pool).otherwise(all_).alias("judge"),
+        F.array_compact(F.array(F.when(F.col("n") >= least, own), F.when(wide & (F.col("smallest") < least), pool),
+                                F.when(F.lit(small), all_))).alias("cells"))
     plan = stored(plan)
     if plan.count() <= BROADCAST_CELLS:
         plan = F.broadcast(plan)
-    return rows.join(plan, rows[broad].eqNullSafe(F.col("b")) & rows[narrow].eqNullSafe(F.col("s")), "left").drop("b", "s")
+    placed = rows.join(plan, rows[broad].eqNullSafe(F.col("b")) & rows[narrow].eqNullSafe(F.col("s"))).drop("b", "s")
+    return placed.withColumn("cell", F.explode("cells")).drop("cells")
 
 
 def mcd_distances(rows: DataFrame, names: list[str], alpha: float = ALPHA, steps: int = STEPS, least: int = LEAST_ROWS) -> DataFrame:
@@ -203,8 +211,8 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stats = stored(stats)
     names = list(SPREADS)
     fit = with_cells(stats.where("not base_failed"), "lang", "source", LEAST_ROWS)
-    fit = stored(fit.select("row", "cell", *(c.alias(n) for n, c in transformed().items())))
-    far = mcd_distances(fit, names).select("row", "distance")
+    fit = stored(fit.select("row", "judge", "cell", *(c.alias(n) for n, c in transformed().items())))
+    far = mcd_distances(fit, names, least=1).where("cell = judge").select("row", "distance")
     return (stats.join(far, "row", "left")
-            .withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= chi2_quantile(len(names), cut)))
+            .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(len(names), cut), F.lit(False)))
             .drop("row"))
