@@ -17,7 +17,9 @@ broadcast when they have at most ``BROADCAST_ROWS`` rows, else joined.
 
 Defined cases: null text has no words; items without words give no phrase;
 repeated documents are each reported; a null id is kept; repeated items count
-by their id; empty tables give no hits (all documents clean) or an empty result.
+by their id; items with a null id are searched like any other, count as one item
+in ``n_items`` and are not in ``items`` (nor its digest); empty tables give no
+hits (all documents clean) or an empty result.
 """
 
 from __future__ import annotations
@@ -122,18 +124,18 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, proximi
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated of every row."""
+    """doc_id, n_words, n_hit, n_items, items (sorted as strings, without null), contaminated of every row."""
     base = keyed(docs, id_col, text_col)
-    some = items.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null")
+    some = items.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text"))
     found, of_item = occurrences(base, some, window)
     places = F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)
     hits = (found.select("doc", "key", "start", "length").distinct().groupBy("doc", "key")
             .agg(F.size(F.array_distinct(F.flatten(F.collect_list(places)))).cast("long").alias("n_hit")))
     names = (found.select("doc", "key", "phrase_id").distinct().join(small(of_item), "phrase_id")
-             .groupBy("doc", "key").agg(F.sort_array(F.collect_set("item_id")).alias("items")))
+             .groupBy("doc", "key").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max(F.col("item_id").isNull().cast("long")).alias("nameless")))
     counted = base.select("doc_id", "doc", "key", word_count(words_of(F.col("text"))).alias("n_words"))
     out = counted.join(hits, ["doc", "key"], "left").join(names, ["doc", "key"], "left")
     none = F.array().cast("array<string>")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
-                      F.size(F.coalesce("items", none)).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"),
+                      (F.size(F.coalesce("items", none)) + F.coalesce("nameless", F.lit(0))).cast("long").alias("n_items"), F.coalesce("items", none).alias("items"),
                       (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), "doc", "key")
