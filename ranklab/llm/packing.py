@@ -1,7 +1,8 @@
 """Best-fit packing of token sequences with certified bin counts.
 
 1. Every text is tokenized and cut into pieces of at most ``capacity`` tokens.
-2. Pieces are dealt over parts of bounded size; each part is packed by best-fit
+2. Pieces are stored with a number of their own, by which they are dealt over
+   parts of bounded size whatever their ids; each part is packed by best-fit
    decreasing.
 3. Each part's bin count is certified by lower bounds from dual feasible
    functions. Parts that meet their bound are done. Parts with a gap keep their
@@ -176,13 +177,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int =
     """``pieces`` (doc_id, piece, length, ...) with sequence_id, offset and
     ``gap``: the bins by which the piece's part may exceed the optimum."""
     ship(pieces.sparkSession)
+    pieces = stored(pieces.withColumn("_number", F.monotonically_increasing_id()))
     schema = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
     out = schema + ", part long, sequence_id long, offset long, gap long, full boolean"
     left, done, n = pieces, None, pieces.count()
     had = None
     for turn in range(rounds):
         parts = partitions_for(n, part_pieces)
-        dealt = left.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(parts)))
+        dealt = left.withColumn("part", F.pmod(F.xxhash64("_number", F.lit(turn)), F.lit(parts)))
         packed = stored(dealt.groupBy("part").applyInPandas(_pack_part(capacity, turn), out))
         open_ = packed.where("gap > 0 and not full")
         if had is not None:
@@ -199,7 +201,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int =
             break
         had, n = (row.bins, open_), row.n
         left = open_.select(*pieces.columns)
-    return done.drop("part", "full")
+    return done.drop("_number", "part", "full")
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -207,6 +209,6 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset, gap of every piece."""
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = stored(texts.mapInArrow(_tokenize(tokenizer_path, capacity, end_id),
-                                     "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    pieces = texts.mapInArrow(_tokenize(tokenizer_path, capacity, end_id),
+                              "doc_id long, piece int, start long, length long, ids_crc32 long")
     return pack_pieces(pieces, capacity)
