@@ -60,7 +60,7 @@ def op8_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(documents(spark, sf_dir), TOKENIZER)
+    return packing.best_fit_packing(documents(spark, sf_dir), TOKENIZER, added_tokens=True)
 
 
 def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,9 @@
    is not taken.
 
 Defined cases: null text is empty and is one piece of the end id; a null id is
-kept; repeated rows are packed each; an empty table gives an empty result.
+kept; repeated rows are packed each; an empty table gives an empty result. With
+``added_tokens`` the strings of the tokenizer's added tokens get their single
+ids, as of the plain tokenizer; without, they are text like any other.
 """
 
 from __future__ import annotations
@@ -44,22 +46,27 @@ class WordTokenizer:
 
     Words are independent for a tokenizer that drops white space; ASCII case is
     folded first because the tokenizer lower-cases. A run of closing
-    punctuation behind a letter or digit is a token sequence of its own.
+    punctuation behind a letter or digit is a token sequence of its own. With
+    ``added_tokens``, texts that hold the string of an added token go whole
+    through the plain tokenizer.
     """
 
     CLOSING = b".,;:!?|"
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[bytes, bytes] = {}
+        self.plain = Tokenizer.from_file(path) if added_tokens else None
+        self.added = [t.content for t in self.plain.get_added_tokens_decoder().values()] if added_tokens else []
 
     @classmethod
-    def of_worker(cls, path: str) -> "WordTokenizer":
-        """One per Python worker process and path, kept between tasks."""
+    def of_worker(cls, path: str, added_tokens: bool = False) -> "WordTokenizer":
+        """One per Python worker process, path and flag, kept between tasks."""
         held = sys.modules.setdefault("_ranklab_tokenizers", types.ModuleType("_ranklab_tokenizers")).__dict__
-        return held.setdefault(path, None) or held.update({path: cls(path)}) or held[path]
+        key = f"{path} {added_tokens}"
+        return held.setdefault(key, None) or held.update({key: cls(path, added_tokens)}) or held[key]
 
     def _encode(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
@@ -87,17 +94,21 @@ class WordTokenizer:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
-        words = [t.encode().lower().split() for t in texts]
+        whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        words = [[] if i in whole else t.encode().lower().split() for i, t in enumerate(texts)]
         missing = set().union(*words).difference(self.cache) if words else set()
         if missing:
             self._learn(list(missing))
         get = self.cache.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        out = [b"".join(map(get, w)) for w in words]
+        for i in whole:
+            out[i] = np.array(self.plain.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
-def _tokenize(path: str, capacity: int, end_id: int):
+def _tokenize(path: str, capacity: int, end_id: int, added_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, wide = WordTokenizer.of_worker(path), np.uint32(end_id).tobytes(), 4 * capacity
+        coder, end, wide = WordTokenizer.of_worker(path, added_tokens), np.uint32(end_id).tobytes(), 4 * capacity
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part, rows = batch.slice(at, 200), []
@@ -205,10 +216,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, part_pieces: int =
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
-                     capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
+                     capacity: int = CAPACITY, end_id: int = 0, added_tokens: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset, gap of every piece."""
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = texts.mapInArrow(_tokenize(tokenizer_path, capacity, end_id),
+    pieces = texts.mapInArrow(_tokenize(tokenizer_path, capacity, end_id, added_tokens),
                               "doc_id long, piece int, start long, length long, ids_crc32 long")
     return pack_pieces(pieces, capacity)
