@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = one.join(two, apart).select(F.least("text_id_a", "text_id_b").alias("a"), F.greatest("text_id_a", "text_id_b").alias("b")).distinct()
         pairs = stored(pairs.join(seen, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
-            break
+            continue  # the members of mixed buckets are compared all the same
         seen = stored(seen.unionByName(compared(pairs)))
         classes = connected_components(seen.where(linked).select("a", "b"))
     out = signed.select("doc", "hash").join(firsts.select("hash", "text_id"), "hash", "left")
