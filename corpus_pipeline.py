@@ -35,14 +35,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each class of near copies."""
-    classes = dart_minhash.near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias(_ROW[0])).distinct()
-    own = _with_row(docs)
-    first = own.where("doc_id is not null").join(classes, _ROW[0], "left_semi").dropDuplicates([_ROW[0]])
-    # rows without an id stay if no row with an id has their text
-    named = own.where("doc_id is not null").select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_named")).distinct()
-    nameless = own.where("doc_id is null").dropDuplicates([_ROW[1]]).withColumn("_named", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return first.select(*docs.columns).unionByName(nameless.join(named, "_named", "left_anti").select(*docs.columns))
+    """One row of each class of near copies: the smallest id's (null last), and of its texts the smallest hash's."""
+    return dart_minhash.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,9 +25,10 @@ that of missing every band.
 
 Defined cases: texts are words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case;
 a text of one to four words is one shingle; texts without words are near copies
-only of equal texts; null text is empty; equal texts are one class; rows with a
-null id are classed by their text and never lead; an empty table gives an empty
-result.
+only of equal texts; null text is empty; equal texts are one class. Texts are
+told apart by their hash, whatever their ids: the texts of a repeated id are
+classed each by itself, and rows with a null id like all others (a class in
+which no row has an id has a null class_id); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -154,7 +155,7 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix(h + np.arange(1, bands + 1, dtype=np.uint64) * MIX).view(np.int64)
 
 
-_SIGNED = pa.schema([("doc", pa.int64()), ("hash", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("row", pa.int64()), ("doc", pa.int64()), ("hash", pa.binary()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def _sign(words: int, bands: int, rows: int, counted: bool):
@@ -168,7 +169,7 @@ def _sign(words: int, bands: int, rows: int, counted: bool):
                 size = np.bincount(text, minlength=hi - lo)
                 keys = band_keys(signed, bands, rows)
                 lists = [k if n else [] for k, n in zip(keys, size)]
-                yield record_batch(_SIGNED, batch.column("doc").slice(lo, hi - lo), batch.column("hash").slice(lo, hi - lo), size, lists)
+                yield record_batch(_SIGNED, *(batch.column(c).slice(lo, hi - lo) for c in ("row", "doc", "hash")), size, lists)
     return run
 
 
@@ -258,25 +259,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, class_id (smallest id of the class), text_id (smallest id of the
     equal texts) of every row. Texts are linked when the Jaccard similarity of
     their shingle sets (``counted``: of shingle counts) is at least ``similarity``."""
+    base, known = text_classes(docs, id_col, text_col, words, similarity, bands, rows, counted, parts)
+    return base.select("doc", "hash").join(known, "hash", "left").select(F.col("doc").alias("doc_id"), "class_id", "text_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each class: of the smallest id (null last) and, of that id's texts, the smallest hash."""
+    rest = tuple(c for c in docs.columns if c != text_col)
+    base, known = text_classes(docs.withColumn("_no_text", F.col(text_col).isNull()), id_col, text_col, keep=(*rest, "_no_text"))
+    # per text, then per class: a class of any size is combined before it moves
+    of_text = base.groupBy("hash").agg(F.min(F.struct(F.col("doc").isNull().alias("nameless"), "doc", "row")).alias("best"))
+    order = F.struct("best.nameless", "best.doc", "hash", "best.row")
+    best = known.join(of_text, "hash").groupBy("component").agg(F.min(order).alias("best")).select(F.col("best.row").alias("row"))
+    return base.join(best, "row", "left_semi").select(
+        *(F.col(f"kept.{c}").alias(c) if c in rest else F.when(~F.col("kept._no_text"), F.col("text")).alias(c) for c in docs.columns))
+
+
+def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
+                 similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
+                 counted: bool = False, parts: int | None = None, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The stored rows (row, doc, hash, text, and the columns ``keep`` as a struct
+    ``kept``), and hash, component, class_id, text_id of each distinct text. The
+    number of one of its rows stands for a text in buckets, pairs and components."""
     spark = docs.sparkSession
     ship(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc"),
+                       F.unhex(F.sha2(text, 256)).alias("hash"), text.alias("text"), *([F.struct(*keep).alias("kept")] if keep else []))
+    base = stored(base)  # row numbers stay as they are
     parts = parts or partitions_for(base.count(), ROWS_PER_PARTITION, 4)
-    hashed = base.withColumn("hash", F.unhex(F.sha2("text", 256)))
-    signed = stored(hashed.mapInArrow(_sign(words, bands, rows, counted), "doc long, hash binary, size long, bands array<long>"))
-    firsts = stored(signed.groupBy("hash").agg(F.min("doc").alias("text_id"), F.min_by("bands", "doc").alias("bands"))
-                    .where("text_id is not null"))
+    signed = stored(base.select("row", "doc", "hash", "text").mapInArrow(
+        _sign(words, bands, rows, counted), "row long, doc long, hash binary, size long, bands array<long>"))
+    firsts = stored(signed.groupBy("hash").agg(F.min("row").alias("text_id"), F.min("doc").alias("first_id"), F.min_by("bands", "row").alias("bands")))
     member = firsts.select("text_id", F.explode("bands").alias("band"))
     lead = member.groupBy("band").agg(F.min("text_id").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = stored(member.join(lead, "band"))  # members of buckets with several texts
-    texts = base.where("doc is not null").withColumnRenamed("doc", "text_id").repartition(parts, "text_id")
+    texts = base.select(F.col("row").alias("text_id"), "text").repartition(parts, "text_id")
     compare = _compare(words, counted)
     up, down = similarity
 
     def compared(pairs: DataFrame) -> DataFrame:
         left = pairs.join(texts.withColumnRenamed("text", "text_a"), pairs.a == F.col("text_id")).drop("text_id")
         both = left.join(texts.withColumnRenamed("text", "text_b"), F.col("b") == F.col("text_id")).drop("text_id")
-        return stored(both.select("a", "b", "text_a", "text_b").dropDuplicates(["a", "b"])
+        return stored(both.select("a", "b", "text_a", "text_b").repartition("a", "b")
                       .mapInArrow(compare, "a long, b long, both long, either long"))
 
     linked = F.expr(f"{down} * both >= {up} * either and either > 0")
@@ -309,6 +334,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             continue  # the members of mixed buckets are compared all the same
         seen = stored(seen.unionByName(compared(pairs)))
         classes = connected_components(seen.where(linked).select("a", "b"))
-    out = signed.select("doc", "hash").join(firsts.select("hash", "text_id"), "hash", "left")
-    return out.join(classes, out.text_id == classes.node, "left").select(
-        F.col("doc").alias("doc_id"), F.coalesce("component", "text_id").alias("class_id"), "text_id")
+    placed = stored(firsts.join(classes, firsts.text_id == classes.node, "left").select(
+        "hash", F.coalesce("component", "text_id").alias("component"), "first_id"))
+    least = stored(placed.groupBy("component").agg(F.min("first_id").alias("class_id")))
+    return base, placed.join(least, "component").select("hash", "component", "class_id", F.col("first_id").alias("text_id"))
