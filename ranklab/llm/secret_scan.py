@@ -11,10 +11,10 @@ the words before and after it).
 
 The forest is trained from labelled findings; :func:`weak_labels` labels the
 clear ones where no reviewed findings exist: issuer formats and assigned keys
-with mixed values against plain words, numbers and addresses. The forest, the
-transitions and the dictionary are fitted on bounded samples chosen by hashes
-(``SAMPLE`` findings a label, ``SAMPLE_TEXTS`` texts); everything else covers all
-rows. Only DataFrame and Spark ML operations are used.
+with mixed values against plain words, numbers and addresses. The forest is
+fitted on a bounded sample of findings chosen by hashes (``SAMPLE`` a label);
+the transitions and the dictionary count the words of all texts, and everything
+else covers all rows. Only DataFrame and Spark ML operations are used.
 
 Defined cases: null text has no candidate; repeated rows and repeated secrets
 are each found; with findings of one label only, that label is every
@@ -33,7 +33,7 @@ from .common import stored
 from .decontamination import keyed
 
 LEAST, MOST = 16, 256
-SAMPLE, SAMPLE_TEXTS = 4000, 4000
+SAMPLE = 4000
 TREES, DEPTH, SEED = 30, 6, 7
 THRESHOLD = 0.5
 MARK = "<secret>"
@@ -85,12 +85,10 @@ def _pieces(column: str, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(column) - n + 1, F.lit(1))), lambda i: F.substring(F.col(column), i, F.lit(n)))
 
 
-def language_tables(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> tuple[DataFrame, DataFrame]:
+def language_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Letter transitions (pair, logp) and dictionary pieces (piece) of the
-    ordinary words (letters only) of a hashed sample of texts."""
-    share = min(1.0, sample_texts / max(1, docs.count()))
-    chosen = docs.where(F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30))
-    words = (chosen.select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("word")).where("length(word) between 4 and 256")
+    ordinary words (letters only) of all texts."""
+    words = (docs.select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("word")).where("length(word) between 4 and 256")
              .groupBy("word").agg(F.count("*").alias("n")))
     words = stored(words)
     pairs = words.select("n", F.explode(_pieces("word", 2)).alias("pair")).groupBy("pair").agg(F.sum("n").alias("n"))
