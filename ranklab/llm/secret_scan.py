@@ -1,8 +1,12 @@
 """Secret scan: candidate strings, then a random forest that removes false positives.
 
 Candidates are runs of ``LEAST``-``MOST`` token characters in the white-space
-separated words of the whole text (longer runs are candidates by their length
-alone, described by their first ``MOST`` characters). Each is described by its length, its characters (share of
+separated words of the whole text, longer runs too, and whatever their length
+and symbols the values behind key names (in the same word, or in the next words
+as in ``password = x``; a value ends at a blank) and the passwords of URLs. A
+value of more than ``MOST`` characters is described by that one of its
+overlapping pieces of ``MOST`` characters whose letters are the least usual.
+Each is described by its length, its characters (share of
 digits and capitals, different characters, changes between character classes,
 mean log probability of its letter transitions), its dictionary coverage (share
 of its 4-letter pieces that ordinary words have), its path (part of a URL, a
@@ -42,6 +46,10 @@ SECRET_WORDS = r"(?i)(passw|pwd|secret|token|api_?key|apikey|credential|auth|pri
 ISSUED = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|sk-[0-9A-Za-z]{20,}|AIza[0-9A-Za-z_-]{35})$"
 FEATURES = ["length", "digits", "capitals", "variety", "changes", "transition", "coverage", "in_path", "key_named", "near_named", "assigned"]
 _BLANK = r"[\x20\x09-\x0D]+"
+#: A key name with what may stand up to the sign that sets it, the sign, opening marks, and a value.
+_KEY = SECRET_WORDS.replace("(passw", "(?:passw") + r"[A-Za-z0-9_.-]*[\"'\]]*"
+_SET, _OPEN, _VALUE = "(?:=>|:=|==?|:)", r"[\[({<]*", r"([^\"'][^\"]*)"
+_URL_KEY = r"://[^\s/:@]*:"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -55,12 +63,39 @@ def candidates(docs: DataFrame) -> DataFrame:
         "doc", "key", F.col("h.position").alias("position"), F.col("h.word").alias("word"),
         F.concat_ws(" ", F.slice("w", F.greatest(F.col("h.position") - 1, F.lit(1)), F.least(F.col("h.position"), F.lit(2)))).alias("before"),
         F.concat_ws(" ", F.slice("w", F.col("h.position") + 2, F.lit(1))).alias("after"))
-    return near.select("*", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(run), F.lit(0)))).alias("value"))
+    long = near.select("*", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit(run), F.lit(0)))).alias("value"))
+    return long.unionByName(assigned_values(docs)).distinct()
+
+
+def assigned_values(docs: DataFrame) -> DataFrame:
+    """The columns of :func:`candidates` for values behind key names and in URL credentials."""
+    some = docs.where(F.col("text").rlike(_KEY) | F.col("text").rlike(_URL_KEY + r"[^\s/]+@")).select("doc", "key", F.split("text", _BLANK).alias("w"))
+    placed = F.transform("w", lambda w, i: F.struct(
+        i.alias("position"), w.alias("word"),
+        F.concat_ws(" ", F.slice("w", F.greatest(i - 1, F.lit(1)), F.least(i, F.lit(2)))).alias("before"),
+        F.concat_ws(" ", F.slice("w", i + 2, F.lit(1))).alias("after")))
+    set_before, key_before, set_first = _KEY + " ?" + _SET + r"[\"']?$", _KEY + "$", "^" + _SET + "."
+
+    def behind(x):
+        return x["before"].rlike(set_before) | (x["before"].rlike(key_before) & x["word"].rlike(set_first))
+
+    hits = F.filter(placed, lambda x: x["word"].rlike(_KEY + _SET) | x["word"].rlike(_URL_KEY) | behind(x))
+    near = some.select("doc", "key", F.explode(hits).alias("h")).select("doc", "key", "h.*")
+    # settings that follow each other in one word (connection strings, queries) are looked at one by one
+    settings = F.split("word", r"(?=[;&,?|][A-Za-z_][A-Za-z0-9_.-]*=)")
+    inside = F.flatten(F.transform(settings, lambda x: F.array(
+        F.regexp_extract(x, _KEY + _SET + _OPEN + _VALUE, 1), F.regexp_extract(x, _KEY + _SET + _OPEN + "\"([^\"]+)", 1),
+        F.regexp_extract(x, _KEY + _SET + _OPEN + "'([^']+)", 1))))
+    word = F.struct(F.col("before"), F.col("word"))
+    next_ = F.when(behind(word), F.regexp_extract("word", f"^{_SET}?{_OPEN}[\"']?{_VALUE}", 1)).otherwise("")
+    url = F.regexp_extract_all("word", F.lit(_URL_KEY + r"([^\s/]+)@"), F.lit(1))
+    values = F.transform(F.concat(inside, F.array(next_), url), lambda v: F.regexp_replace(v, r"[\"'`;,.:)\]}>]+$", ""))
+    return near.select("*", F.explode(F.array_distinct(F.filter(values, lambda v: v.rlike("[A-Za-z0-9]")))).alias("value"))
 
 
 def _described() -> dict[str, Column]:
     """Features that the finding itself has."""
-    v, head = F.col("value"), F.substring("value", 1, MOST)
+    v, head = F.col("value"), F.col("piece")
     n = F.length(head).cast("double")
 
     def share(pattern: str) -> Column:
@@ -74,7 +109,7 @@ def _described() -> dict[str, Column]:
         "variety": F.size(F.array_distinct(F.split(head, ""))) / n,
         "changes": share("[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])|[a-z](?=[A-Z])|[A-Z](?=[a-z])"),
         "in_path": (F.col("word").rlike(r"://|@|\\") | (F.regexp_count("word", F.lit("/")) >= 2)).cast("double"),
-        "key_named": prefix.rlike(SECRET_WORDS).cast("double"),
+        "key_named": (prefix.rlike(SECRET_WORDS) | prefix.rlike(_URL_KEY + "$")).cast("double"),
         "near_named": (F.col("before").rlike(SECRET_WORDS) | F.col("after").rlike(SECRET_WORDS)).cast("double"),
         "assigned": (prefix.rlike("[=:]") | F.col("before").rlike("[=:]$")).cast("double"),
     }
@@ -99,22 +134,31 @@ def language_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def describe(found: DataFrame, moves: DataFrame, pieces: DataFrame) -> DataFrame:
-    """``found`` with the features. Letter tables are joined to the distinct values."""
-    values = found.select("value").distinct().withColumn("low", F.lower(F.substring("value", 1, MOST)))
+    """``found`` with the features. Letter tables are joined to the distinct pieces of the values."""
+    step = MOST // 2
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.length("value") - MOST) / step), F.lit(0)).cast("int"))
+    parts = (found.select("value").distinct()
+             .select(F.sha2("value", 256).alias("of"), F.explode(F.array_distinct(F.transform(
+                 starts, lambda i: F.substring(F.col("value"), i * step + 1, F.lit(MOST))))).alias("part")))
+    parts = stored(parts)
+    values = parts.select("part").distinct().withColumn("low", F.lower("part"))
     # 27 * 27 pairs and at most 26 ** 4 pieces of four letters
-    by_pair = (values.select("value", F.explode(_pieces("low", 2)).alias("pair")).join(F.broadcast(moves), "pair", "left")
-               .groupBy("value").agg(F.avg(F.coalesce("logp", F.lit(-9.0))).alias("transition")))
-    by_piece = (values.select("value", F.explode(_pieces("low", 4)).alias("piece")).join(F.broadcast(pieces.withColumn("known", F.lit(1.0))), "piece", "left")
-                .groupBy("value").agg(F.avg(F.coalesce("known", F.lit(0.0))).alias("coverage")))
-    known = by_pair.join(by_piece, "value")
-    return found.join(known, "value").withColumns(_described())
+    by_pair = (values.select("part", F.explode(_pieces("low", 2)).alias("pair")).join(F.broadcast(moves), "pair", "left")
+               .groupBy("part").agg(F.avg(F.coalesce("logp", F.lit(-9.0))).alias("transition")))
+    by_piece = (values.select("part", F.explode(_pieces("low", 4)).alias("piece")).join(F.broadcast(pieces.withColumn("known", F.lit(1.0))), "piece", "left")
+                .groupBy("part").agg(F.avg(F.coalesce("known", F.lit(0.0))).alias("coverage")))
+    least = (parts.join(by_pair.join(by_piece, "part"), "part").groupBy("of")
+             .agg(F.min(F.struct("transition", "coverage", "part")).alias("least"))
+             .select("of", "least.transition", "least.coverage", F.col("least.part").alias("piece")))
+    return found.withColumn("of", F.sha2("value", 256)).join(least, "of").withColumns(_described()).drop("of", "piece")
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
     """``found`` with ``label``: 1 and 0 for clear findings, null for the others."""
     mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
     secret = F.col("value").rlike(ISSUED) | (mixed & (F.col("assigned") == 1) & ((F.col("key_named") == 1) | (F.col("near_named") == 1)))
-    plain = F.col("value").rlike("^[A-Za-z][a-z]*$") | F.col("value").rlike("^[0-9]+$") | F.col("word").rlike("://|@")
+    credential = F.split_part(F.col("word"), F.col("value"), F.lit(1)).rlike(_URL_KEY + "$")
+    plain = F.col("value").rlike("^[A-Za-z][a-z]*$") | F.col("value").rlike("^[0-9]+$") | (F.col("word").rlike("://|@") & ~credential)
     return found.withColumn("label", F.when(secret, 1.0).when(plain, 0.0))
 
 
@@ -152,7 +196,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labell
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = MARK, labelled: DataFrame | None = None) -> DataFrame:
-    """``docs`` with every occurrence of a secret in its text replaced by ``mark``."""
+    """``docs`` with every occurrence of a secret in its text replaced by ``mark``
+    (of one under ``LEAST`` characters: where it stands by itself, not inside a longer word)."""
     secrets = (scan(docs, id_col, text_col, labelled).where("is_secret").groupBy("doc", "key")
                .agg(F.array_sort(F.collect_set("value"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a))
                                  .when(a < b, -1).when(a > b, 1).otherwise(0)).alias("_values")))
@@ -160,5 +205,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
     own = docs.withColumns({"_doc": F.coalesce(doc, F.lit(0)), "_key": F.xxhash64(doc.isNull(), F.coalesce(F.col(text_col), F.lit("")))})
     both = own.join(secrets.withColumnsRenamed({"doc": "_doc", "key": "_key"}), ["_doc", "_key"], "left")
     clean = F.when(F.col("_values").isNull(), F.col(text_col)).otherwise(
-        F.aggregate("_values", F.col(text_col), lambda text, value: F.replace(text, value, F.lit(mark))))
+        F.aggregate("_values", F.col(text_col), lambda text, value: F.when(F.length(value) >= LEAST, F.replace(text, value, F.lit(mark)))
+                    .otherwise(F.regexp_replace(text, F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])")),
+                                               F.lit(mark.replace("\\", r"\\").replace("$", r"\$"))))))
     return both.withColumn(text_col, clean).select(*docs.columns)
