@@ -18,8 +18,6 @@ ids, as of the plain tokenizer; without, they are text like any other.
 
 from __future__ import annotations
 
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -29,89 +27,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, record_batch, ship, stored
+from .common import byte_column, partitions_for, record_batch, runs, ship, stored
+from .word_ids import WordTokenizer
 
 CAPACITY = 2048
 #: Pieces packed by one task.
 PART_PIECES = 20_000
 ROUNDS = 3
-#: Words kept per Python worker; the cache starts anew beyond it.
-CACHED_WORDS = 400_000
+#: Bytes of text that are tokenized at a time.
+TEXT_BYTES = 4 << 20
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
                      ("ids_crc32", pa.int64())])
 
 
-class WordTokenizer:
-    """Token ids of texts through a cache of white-space separated words.
-
-    Words are independent for a tokenizer that drops white space; ASCII case is
-    folded first because the tokenizer lower-cases. A run of closing
-    punctuation behind a letter or digit is a token sequence of its own. With
-    ``added_tokens``, texts that hold the string of an added token go whole
-    through the plain tokenizer.
-    """
-
-    CLOSING = b".,;:!?|"
-
-    def __init__(self, path: str, added_tokens: bool = False):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cache: dict[bytes, bytes] = {}
-        self.plain = Tokenizer.from_file(path) if added_tokens else None
-        self.added = [t.content for t in self.plain.get_added_tokens_decoder().values()] if added_tokens else []
-
-    @classmethod
-    def of_worker(cls, path: str, added_tokens: bool = False) -> "WordTokenizer":
-        """One per Python worker process, path and flag, kept between tasks."""
-        held = sys.modules.setdefault("_ranklab_tokenizers", types.ModuleType("_ranklab_tokenizers")).__dict__
-        key = f"{path} {added_tokens}"
-        return held.setdefault(key, None) or held.update({key: cls(path, added_tokens)}) or held[key]
-
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def _learn(self, words: list[bytes]) -> None:
-        stems, new = {}, {}
-        for w in words:
-            stem = w.rstrip(self.CLOSING)
-            if len(stem) == len(w) or not stem:
-                stem = w
-            elif not (last := stem[-4:].decode(errors="ignore")[-1:]).isalpha() and not (last.isascii() and last.isdigit()):
-                stem = w
-            stems[w] = stem
-            for x in (stem, w[len(stem):]):
-                if x and x not in self.cache:
-                    new[x] = None
-        new = list(new)
-        self.cache.update(zip(new, self._encode(new)))
-        for w, stem in stems.items():
-            if stem is not w:
-                self.cache[w] = self.cache[stem] + self.cache[w[len(stem):]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        whole = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        words = [[] if i in whole else t.encode().lower().split() for i, t in enumerate(texts)]
-        missing = set().union(*words).difference(self.cache) if words else set()
-        if missing:
-            self._learn(list(missing))
-        get = self.cache.__getitem__
-        out = [b"".join(map(get, w)) for w in words]
-        for i in whole:
-            out[i] = np.array(self.plain.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
-        return out
-
-
 def _tokenize(path: str, capacity: int, end_id: int, added_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end, wide = WordTokenizer.of_worker(path, added_tokens), np.uint32(end_id).tobytes(), 4 * capacity
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part, rows = batch.slice(at, 200), []
+            _, starts, ends = byte_column(batch.column("text"))
+            for lo, hi in runs(starts, ends, TEXT_BYTES):
+                part, rows = batch.slice(lo, hi - lo), []
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for doc, ids in zip(part.column("doc_id").to_pylist(), coder.encode(texts)):
                     ids += end
