@@ -9,11 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (dart_minhash, decontamination, language_id, packing, ppm, quality_classifier, quality_rules, secret_scan, sharding,
-               suffix_dedup)
+from . import (alignment, dart_minhash, decontamination, huffman_ids, language_id, merkle_manifest, packing, ppm, quality_classifier,
+               quality_rules, secret_scan, sharding, suffix_dedup)
 from .common import crc_mod, documents
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_LEVEL = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 class Query(NamedTuple):
@@ -67,6 +69,22 @@ def op10_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dart_minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the files and reads them back."""
+    folder = huffman_ids.write_ids(documents(spark, sf_dir), TOKENIZER, added_tokens=True)
+    return huffman_ids.read_ids(spark, folder, digest=True)
+
+
+def op12_dag_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all rows, half of which are claimed without their line ends."""
+    tampered = F.when(crc_mod("doc_id", 2) == 0, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    return merkle_manifest.proofs(merkle_manifest.build(documents(spark, sf_dir), claims={"text": tampered}))
+
+
+def op13_shared_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), BYTE_LEVEL, PIECES)
+
+
 _HASH = "('0x' || substr(md5({}), 1, 15))::BIGINT"
 #: The table is filled one claim a step, as the shards take turns.
 OP1_ORACLE = f"""
@@ -105,6 +123,60 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)
 """
 
+
+
+def _op12_oracle(leaf_levels: int = 14, top_levels: int = 6) -> str:
+    """A step for each level: nodes, the other nodes of each node's run, the leaf's path so far. A
+    source of more than 3 ** 14 rows, or more than 3 ** 6 sources, would need more steps."""
+    text = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR END"
+    row = [text.format(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = "sha256(" + " || ".join([*row, text.format("text")]) + ")"
+    altered = "CASE WHEN odd THEN text ELSE replace(text, chr(10), '') END"
+    claim = "sha256(" + " || ".join([*row, text.format(f"({altered})")]) + ")"
+    table = [_crc_of_byte(b) for b in range(256)]
+    crc = (f"list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), "
+           f"lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1]))")
+    steps = [f"""d0 AS (SELECT *, coalesce({crc} & 1, 0) = 0 AS odd FROM documents)""",
+             f"""d AS (SELECT doc_id, source, {leaf} AS leaf, {claim} AS claim FROM d0)""",
+             """s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM (SELECT DISTINCT source FROM documents))""",
+             """p0 AS (SELECT doc_id, tree, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf, claim AS acc, '' AS proof
+  FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source)""",
+             """n0 AS (SELECT tree, i, leaf AS h FROM p0)"""]
+
+    def level(k: int, nodes: str, path: str) -> list[str]:
+        """Level ``k`` over ``nodes`` (tree, i, h): its nodes, each lower node's siblings, and the paths."""
+        return [f"""c{k} AS (SELECT tree, count(*) AS n FROM {nodes} GROUP BY tree)""",
+                f"""n{k} AS (SELECT x.tree, CASE WHEN n > 1 THEN i // 3 ELSE i END AS i,
+    CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY x.i)) ELSE any_value(h) END AS h
+  FROM {nodes} x JOIN c{k} USING (tree) GROUP BY x.tree, CASE WHEN n > 1 THEN i // 3 ELSE i END)""",
+                f"""s{k} AS (SELECT a.tree, a.i, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS l,
+    coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS r
+  FROM {nodes} a JOIN {nodes} b ON a.tree = b.tree AND a.i // 3 = b.i // 3 GROUP BY a.tree, a.i)""",
+                f"""p{k} AS (SELECT doc_id, p.tree, CASE WHEN n > 1 THEN p.i // 3 ELSE p.i END AS i, leaf,
+    CASE WHEN n > 1 THEN sha256(l || acc || r) ELSE acc END AS acc, CASE WHEN n > 1 THEN proof || l || r ELSE proof END AS proof
+    {", source_tree" if k > leaf_levels else ""}
+  FROM {path} p JOIN c{k} USING (tree) JOIN s{k} x ON x.tree = p.tree AND x.i = p.i)"""]
+
+    for k in range(1, leaf_levels + 1):
+        steps += level(k, f"n{k - 1}", f"p{k - 1}")
+    steps += [f"""tn AS (SELECT 0 AS tree, tree AS i, h FROM n{leaf_levels})""",
+              f"""tp AS (SELECT doc_id, 0 AS tree, tree AS i, leaf, acc, proof, tree AS source_tree FROM p{leaf_levels})"""]
+    last_nodes, last_path = "tn", "tp"
+    for k in range(leaf_levels + 1, leaf_levels + top_levels + 1):
+        steps += level(k, last_nodes, last_path)
+        last_nodes, last_path = f"n{k}", f"p{k}"
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT doc_id, leaf, b.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = t.h AS verified
+FROM {last_path} p JOIN n{leaf_levels} b ON b.tree = p.source_tree CROSS JOIN {last_nodes} t
+"""
+
+
+def _crc_of_byte(b: int) -> int:
+    for _ in range(8):
+        b = b >> 1 ^ (0xEDB88320 if b & 1 else 0)
+    return b
+
+
 REGISTRY: dict[str, Query] = {
     "op1_shard_lookup": Query(op1_shard_lookup, OP1_ORACLE),
     "op2_language_centroids": Query(op2_language_centroids),
@@ -116,4 +188,7 @@ REGISTRY: dict[str, Query] = {
     "op8_inverted_index": Query(op8_inverted_index, OP8_ORACLE),
     "op9_certified_packing": Query(op9_certified_packing),
     "op10_dart_minhash": Query(op10_dart_minhash),
+    "op11_huffman_ids": Query(op11_huffman_ids),
+    "op12_dag_manifest": Query(op12_dag_manifest, _op12_oracle()),
+    "op13_shared_cuts": Query(op13_shared_cuts),
 }
