@@ -108,7 +108,7 @@ def regrouped(batches: Iterable[pa.RecordBatch], column: str, size: int) -> Iter
 
 
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+    return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def pack(*arrays: np.ndarray) -> bytes:

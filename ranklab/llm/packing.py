@@ -42,19 +42,20 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 def _tokenize(path: str, capacity: int, end_id: int, added_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, wide = WordTokenizer.of_worker(path, added_tokens), np.uint32(end_id).tobytes(), 4 * capacity
+        coder = WordTokenizer.of_worker(path, added_tokens)
         for batch in batches:
             _, starts, ends = byte_column(batch.column("text"))
             for lo, hi in runs(starts, ends, TEXT_BYTES):
-                part, rows = batch.slice(lo, hi - lo), []
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), coder.encode(texts)):
-                    ids += end
-                    for piece, begin in enumerate(range(0, len(ids), wide)):
-                        cut = ids[begin:begin + wide]
-                        rows.append((doc, piece, begin // 4, len(cut) // 4, zlib.crc32(cut)))
-                if rows:
-                    yield record_batch(_PIECES, *zip(*rows))
+                part = batch.slice(lo, hi - lo)
+                ids, sizes = coder.encode_documents(part.column("text"), end_id)
+                pieces = -(-sizes // capacity)
+                of = np.repeat(np.arange(len(sizes)), pieces)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(sizes[of] - start, capacity)
+                begin, raw = 4 * ((np.cumsum(sizes) - sizes)[of] + start), memoryview(ids)
+                crc = [zlib.crc32(raw[x:y]) for x, y in zip(begin.tolist(), (begin + 4 * length).tolist())]
+                yield record_batch(_PIECES, part.column("doc_id").take(pa.array(of)), piece, start, length, crc)
     return run
 
 

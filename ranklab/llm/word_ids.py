@@ -1,41 +1,76 @@
-"""Token ids of whole texts by a lower-casing BPE with word ends, word by word.
-
-Such a tokenizer drops white space and never merges across its pre-tokens, so a
-text's ids are those of its white-space separated words in turn, and a word's
-are those of its pre-tokens. Words are coded once and looked up afterwards.
-
-* A word of ASCII characters and letters of the Latin-1 and Latin Extended-A
-  blocks is cut into pre-tokens here. These letters stay single letters when
-  normalised and lower-cased (U+0130, which becomes two characters, is left
-  out), so the cuts are the tokenizer's own. New letter runs are coded many at a
-  time as one text; each ends at the first id that stands for a word end.
-* Any other word goes whole through the tokenizer.
+"""Token ids of whole texts by a lower-casing BPE with word ends.
+
+Such a tokenizer drops white space and never merges across its pre-tokens (runs
+of letters, single digits, contractions, runs of anything else), so a text's ids
+are those of its pre-tokens in turn. Pre-tokens are found for a whole block of
+texts at a time, numbered by Arrow's dictionary encoding, and each distinct one
+is coded once: new ones many at a time, as one text, in which each ends at the
+first id that stands for a word end.
+
+* Cutting here is done for texts of ASCII, letters of the Latin-1 and Latin
+  Extended-A blocks, and the usual signs of Latin text. These letters stay single
+  letters when normalised and lower-cased (U+0130, which becomes two characters,
+  is left out), so the cuts are the tokenizer's own.
+* A text with any other character is cut at ASCII white space only, and its
+  words go whole through the tokenizer.
 * With ``added_tokens``, a text that holds the string of an added token goes
   whole through the plain tokenizer, which gives that string its single id.
 
-Defined cases: an empty text has no ids; a text of any length is coded whole.
+Defined cases: a null or empty text has no ids; a text of any length is coded
+whole.
 """
 
 from __future__ import annotations
 
-import re
 import sys
 import types
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import SPACES, byte_column
+
+#: Pre-tokens (and, apart, words) kept per Python worker; the cache starts anew beyond it.
+CACHED = 800_000
+_SPACE, _LETTER, _DIGIT, _SIGN, _HARD = range(5)
+
+
+def _kind_table() -> np.ndarray:
+    table = np.full(256, _HARD, np.uint8)
+    table[:128] = _SIGN
+    table[list(SPACES)] = _SPACE
+    table[ord("0"):ord("9") + 1] = _DIGIT
+    for first in b"aA":
+        table[first:first + 26] = _LETTER
+    return table
+
+
+_KINDS = _kind_table()
+#: Second bytes behind 0xC2 of signs that are no letter, digit or white space, and change in no normal form.
+_C2_SIGNS = np.isin(np.arange(256), [*range(0xA1, 0xAA), 0xAB, 0xAC, 0xAD, 0xAE, 0xAF, 0xB0, 0xB1, 0xB4, 0xB6, 0xB7, 0xB8, 0xBB, 0xBF])
 
-#: Words kept per Python worker; the cache starts anew beyond it.
-CACHED_WORDS = 400_000
-_LETTER = "a-zß-öø-įı-ſ"
-_UPPER = "A-ZÀ-ÖØ-Þ"
-_SIMPLE = re.compile(f"[\x00-\x7f{_LETTER}{_UPPER}]*")
-_LETTERS = re.compile(f"[{_LETTER}]+")
-#: The contractions are the tokenizer's own.
-_PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^0-9{_LETTER}]+")
+
+def _kinds(buf: np.ndarray) -> np.ndarray:
+    """The kind of every byte of ``buf`` (UTF-8, two bytes of white space at the end)."""
+    kind = _KINDS[buf]
+    at = np.flatnonzero(buf >= 0xC2)
+    lead, second = buf[at], buf[at + 1]
+    of = np.full(len(at), _HARD, np.uint8)
+    of[(lead == 0xC2) & _C2_SIGNS[second]] = _SIGN
+    of[(lead == 0xC3) | (lead == 0xC4) & (second != 0xB0) | (lead == 0xC5)] = _LETTER
+    of[(lead == 0xC3) & ((second == 0x97) | (second == 0xB7))] = _SIGN
+    third = buf[np.minimum(at + 2, len(buf) - 1)]
+    of[(lead == 0xE2) & (second == 0x80) & (third >= 0x90) & (third <= 0xA7)] = _SIGN  # dashes, quotation marks, bullets
+    kind[at] = of
+    kind[at + 1] = of
+    three = at[lead == 0xE2]
+    kind[three + 2] = kind[three]
+    return kind
 
 
 class WordTokenizer:
-    """``encode`` gives the ids of texts; ``path`` names the tokenizer's file."""
+    """``encode_column`` gives the ids of an Arrow column; ``path`` names the tokenizer's file."""
 
     def __init__(self, path: str, added_tokens: bool = False):
         from tokenizers import Tokenizer
@@ -47,7 +82,11 @@ class WordTokenizer:
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.words: dict[bytes, bytes] = {}
-        self.pre_tokens: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[bytes, int] = {}
+        self.ids, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @classmethod
     def of_worker(cls, path: str, added_tokens: bool = False) -> "WordTokenizer":
@@ -58,51 +97,106 @@ class WordTokenizer:
             held[key] = cls(path, added_tokens)
         return held[key]
 
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _runs(self, runs: list[str]) -> list[bytes]:
-        """The ids of runs of letters, coded as one text."""
-        ids = np.array(self.tokenizer.encode(" ".join(runs), add_special_tokens=False).ids, "<u4")
-        last = np.flatnonzero(self.ends[ids]) + 1
-        if len(last) != len(runs):
-            raise ValueError("this tokenizer does not mark the ends of words")
-        raw, cuts = ids.tobytes(), [0, *(4 * last).tolist()]
-        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
-
-    def _learn(self, words: list[bytes]) -> None:
-        parts, whole, new = {}, [], {}
-        for w in words:
-            text = w.decode()
-            if _SIMPLE.fullmatch(text):
-                parts[w] = found = _PRE_TOKENS.findall(text.lower())
-                for p in found:
-                    if p not in self.pre_tokens:
-                        new[p] = None
-            else:
-                whole.append(w)
-        letters = [p for p in new if _LETTERS.fullmatch(p)]
-        for at in range(0, len(letters), 20_000):
-            some = letters[at:at + 20_000]
-            self.pre_tokens.update(zip(some, self._runs(some)))
-        others = [p for p in new if p not in self.pre_tokens]
-        self.pre_tokens.update(zip(others, self._each(others)))
-        get = self.pre_tokens.__getitem__
-        self.words.update((w, b"".join(map(get, found))) for w, found in parts.items())
-        self.words.update(zip(whole, self._each([w.decode() for w in whole])))
+    def _learn(self, new: list[bytes]) -> None:
+        """Code pre-tokens (white space behind them does not count)."""
+        bare, places = {}, self.places
+        for raw in new:
+            b = raw.rstrip(SPACES)
+            if b not in places and b not in bare:
+                bare[b] = len(self.size) + len(bare)
+        texts = [b.decode().lower() for b in bare]
+        for at in range(0, len(texts), 20_000):
+            some = texts[at:at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("this tokenizer does not mark the ends of words")
+            sizes = np.diff(ends, prepend=0)
+            self.begin = np.concatenate([self.begin, len(self.ids) + ends - sizes])
+            self.size = np.concatenate([self.size, sizes])
+            self.ids = np.concatenate([self.ids, ids])
+        places.update(bare)
+        for raw in new:
+            if raw not in places:
+                places[raw] = places[raw.rstrip(SPACES)]
+
+    def _cut(self, buf: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Where pre-tokens begin in lower-cased ``buf``."""
+        start = np.empty(len(buf), bool)
+        start[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=start[1:])
+        start |= kind == _DIGIT
+        start &= kind != _SPACE
+        # a contraction is an apostrophe that begins a run of signs, with the letters behind it
+        q = np.flatnonzero((buf[:-4] == ord("'")) & start[:-4])
+        q = q[kind[q + 1] == _LETTER]
+        a, b = buf[q + 1], buf[q + 2]
+        one = np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        two = ((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+        for found, n in ((q[one], 1), (q[two], 2)):
+            start[found + 1] = False
+            start[found + 1 + n] = kind[found + 1 + n] != _SPACE
+        return np.flatnonzero(start)
+
+    def _simple(self, buf: np.ndarray, kind: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each row) of rows that begin at ``rows`` and end in white space."""
+        buf = buf | ((buf >= ord("A")) & (buf <= ord("Z"))).astype(np.uint8) << 5
+        at = self._cut(buf, kind)
+        if not len(at):
+            return np.zeros(0, np.uint32), np.zeros(len(rows), np.int64)
+        cuts = np.append(at, len(buf)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cuts), pa.py_buffer(buf)]).dictionary_encode()
+        values, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.places) > CACHED:
+            self._forget()
+        if new := [v for v in values if v not in self.places]:
+            self._learn(new)
+        places = np.fromiter(map(self.places.__getitem__, values), np.int64, len(values))
+        size, begin = self.size[places][codes], self.begin[places][codes]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)]
+        return ids, np.diff(upto[np.append(np.searchsorted(at, rows), len(at))])
+
+    def _by_words(self, text: str) -> np.ndarray:
+        if len(self.words) > CACHED:
+            self.words.clear()
+        words = text.encode().split()
+        if new := list(set(words).difference(self.words)):
+            found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
+            self.words.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(new, found))
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        texts = texts.cast(pa.large_string()).fill_null("")
+        plain = np.zeros(len(texts), bool)
+        for a in self.added:
+            plain |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        data, starts, ends = byte_column(pc.binary_join_element_wise(texts, pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())))
+        data = np.concatenate([data[starts[0]:ends[-1]], np.frombuffer(b"\n\n\n\n", np.uint8)])
+        starts, kind = starts - starts[0], _kinds(data)
+        hard = np.add.reduceat(kind == _HARD, starts) > 0
+        slow = plain | hard
+        if not slow.any():
+            return self._simple(data, kind, starts)
+        ids, sizes = self.encode_column(texts.filter(pa.array(~slow)))
+        apart = [np.array(self.plain.encode(t, add_special_tokens=False).ids, np.uint32) if whole else self._by_words(t)
+                 for t, whole in zip(texts.filter(pa.array(slow)).to_pylist(), plain[slow])]
+        counts = np.empty(len(texts), np.int64)
+        counts[~slow], counts[slow] = sizes, [len(x) for x in apart]
+        out, of_slow = np.empty(counts.sum(), np.uint32), np.repeat(slow, counts)
+        out[~of_slow], out[of_slow] = ids, np.concatenate(apart)
+        return out, counts
+
+    def encode_documents(self, texts: pa.Array, end_id: int) -> tuple[bytes, np.ndarray]:
+        """(ids as little-endian unsigned 32-bit numbers, ``end_id`` behind each text's, and how many each has with it)."""
+        ids, sizes = self.encode_column(texts)
+        return np.insert(ids, np.cumsum(sizes), end_id).astype("<u4").tobytes(), sizes + 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        for cache in (self.words, self.pre_tokens):
-            if len(cache) > CACHED_WORDS:
-                cache.clear()
-        plain = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}
-        split = [[] if i in plain else t.encode().lower().split() for i, t in enumerate(texts)]
-        missing = set().union(*split).difference(self.words) if split else ()
-        if missing:
-            self._learn(list(missing))
-        get = self.words.__getitem__
-        out = [b"".join(map(get, w)) for w in split]
-        for i in plain:
-            out[i] = np.array(self.plain.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
-        return out
+        ids, sizes = self.encode_column(pa.array(texts, pa.large_string()))
+        raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(sizes)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
