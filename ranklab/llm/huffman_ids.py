@@ -139,16 +139,16 @@ class Codebook:
 
 def _tokenize(path: str, end_id: int, added_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end, at = WordTokenizer.of_worker(path, added_tokens), np.uint32(end_id).tobytes(), 0
+        coder, at = WordTokenizer.of_worker(path, added_tokens), 0
         for batch in batches:
             _, starts, ends = byte_column(batch.column("text"))
             for lo, hi in runs(starts, ends, TEXT_BYTES):
                 some = batch.slice(lo, hi - lo)
-                ids = [x + end for x in coder.encode([t or "" for t in some.column("text").to_pylist()])]
-                lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-                ends_at = at + np.cumsum(lengths)
-                yield record_batch(_IDS, some.column("part"), some.column("doc_id"), ends_at - lengths, ids)
-                at = int(ends_at[-1])
+                ids, lengths = coder.encode_documents(some.column("text"), end_id)
+                upto = np.concatenate([[0], np.cumsum(lengths)])
+                cut = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer((4 * upto).astype(np.int32)), pa.py_buffer(ids)])
+                yield record_batch(_IDS, some.column("part"), some.column("doc_id"), at + upto[:-1], cut)
+                at += int(upto[-1])
     return run
 
 
