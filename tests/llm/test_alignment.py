@@ -109,9 +109,13 @@ def test_empty_table(spark):
     assert alignment.align(docs, catalog.BYTE_LEVEL, catalog.PIECES).count() == 0
 
 
-def test_every_character_is_spelled():
-    """Both tokenizers spell every character that they keep; A keeps them all."""
-    a = alignment.ByteLevel(catalog.BYTE_LEVEL)
-    texts = [f"a{chr(c)}b" for c in range(1, 0x3000)]
-    for t, ids in zip(texts, a.encode(texts)):
+def test_ids_of_every_character():
+    """A's ids are the tokenizers library's, and spell every character."""
+    a, plain = alignment.ByteLevel(catalog.BYTE_LEVEL), Tokenizer.from_file(catalog.BYTE_LEVEL)
+    plain.encode_special_tokens = True
+    assert a.ranks
+    texts = [f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}'s{chr(c)}" for c in range(0x20000) if not 0xD800 <= c <= 0xDFFF]
+    texts += ["<|endoftext|> a", "  \n\n x\t ", "DON'T don't we'LL we'll 're"]
+    for t, ids, x in zip(texts, a.encode(texts), plain.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)):
+        assert ids.tolist() == x.ids, ascii(t)
         assert b"".join(a.bytes[i] for i in ids) == (" " + t).encode()
