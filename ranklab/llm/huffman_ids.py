@@ -1,9 +1,10 @@
 """Token ids of documents in Huffman-coded files.
 
-1. Texts are dealt by a range partitioning over (id, text hash, row), so that
+1. Texts are dealt by a range partitioning over (id, row), so that
    the files follow one another in ascending id order; each part is sorted and
-   tokenized in that order, an end id behind every document, and stored.
-2. The counts of all ids (summed in each task first) give one length-limited
+   tokenized in that order, an end id behind every document, and stored, with
+   the part's number of ids and counts of ids in a row of its own.
+2. The counts of all ids, summed over the parts, give one length-limited
    prefix code for the whole corpus, by package-merge. It is canonical: the
    lengths alone, one row for each id in use, make the file ``codes``.
 3. Whole documents are put into segments of about ``SEGMENT_IDS`` ids, one row
@@ -18,8 +19,8 @@ What the driver holds is bounded: one total for each part, and the code
 (at most one row for each id of the vocabulary).
 
 Defined cases: a null text is empty, and an empty text is its end id alone; null
-ids come first; rows of one id are ordered by a hash of the text, and equal rows
-are kept each; an empty table gives files without rows; a text of any length is
+ids come first; rows of one id keep the order in which the table is read, and
+equal rows are kept each; an empty table gives files without rows; a text of any length is
 one document of one segment; other columns of ``docs`` are not read, whatever
 their names.
 """
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_column, partitions_for, record_batch, runs, shared_folder, ship, stored
+from .common import byte_column, pack, partitions_for, record_batch, runs, shared_folder, ship, stored, unpack
 from .word_ids import WordTokenizer
 
 END_ID = 2
@@ -46,7 +47,7 @@ SEGMENT_IDS = 1 << 20
 BLOCK_IDS = 512
 #: Longest code; more only where there are more ids than codes of that length. At most 25, as the reader looks at 32 bits from a byte on.
 MAX_BITS = 18
-_IDS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("ids", pa.binary())])
+_IDS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 _SEGMENTS = pa.schema([("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())),
                        ("offsets", pa.binary()), ("bits", pa.binary())])
 _ROWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -139,7 +140,7 @@ class Codebook:
 
 def _tokenize(path: str, end_id: int, added_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, at = WordTokenizer.of_worker(path, added_tokens), 0
+        coder, at, total = WordTokenizer.of_worker(path, added_tokens), 0, np.zeros(0, np.int64)
         for batch in batches:
             _, starts, ends = byte_column(batch.column("text"))
             for lo, hi in runs(starts, ends, TEXT_BYTES):
@@ -147,21 +148,22 @@ def _tokenize(path: str, end_id: int, added_tokens: bool):
                 ids, lengths = coder.encode_documents(some.column("text"), end_id)
                 upto = np.concatenate([[0], np.cumsum(lengths)])
                 cut = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer((4 * upto).astype(np.int32)), pa.py_buffer(ids)])
-                yield record_batch(_IDS, some.column("part"), some.column("doc_id"), at + upto[:-1], cut)
+                yield record_batch(_IDS, some.column("part"), some.column("doc_id"), at + upto[:-1], cut, pa.nulls(len(cut), pa.binary()))
                 at += int(upto[-1])
+                part = some.column("part")[0].as_py()
+                found = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(total))
+                found[: len(total)] += total
+                total = found
+        if at:  # the part's own row: how many ids there are, and of which
+            used = np.flatnonzero(total)
+            yield record_batch(_IDS, [part], [None], [at], [None], [pack(used, total[used])])
     return run
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
     for batch in batches:
-        buf, starts, ends = byte_column(batch.column("ids"))
-        ids = np.frombuffer(buf[starts[0]:ends[-1]].tobytes(), "<u4") if len(starts) else np.zeros(0, "<u4")
-        found = np.bincount(ids, minlength=len(total))
-        found[: len(total)] += total
-        total = found
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
+        for counts in batch.column("counts").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpack(counts)], names=["id", "n"])
 
 
 def _encode(ids: list[int], lengths: list[int], bases: list[int], segment_ids: int):
@@ -200,22 +202,23 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str | None = None, i
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = partitions_for(int(size), PART_BYTES)
-    keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64(F.coalesce("text", F.lit(""))), F.col("row")]
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("row")]
     dealt = texts.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, *keys)
     ordered = dealt.sortWithinPartitions(*keys).select(F.spark_partition_id().alias("part"), "doc_id", "text")
     ids = stored(ordered.mapInArrow(_tokenize(tokenizer_path, end_id, added_tokens), _ddl(_IDS)))
 
-    counts = ids.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
+    of_parts = ids.where("counts is not null")
+    counts = of_parts.select("counts").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
     symbols = counts["id"].to_numpy()
     lengths = code_lengths(counts["n"].to_numpy(), max(max_bits, int(len(symbols) - 1).bit_length()))
     spark.createDataFrame([(int(i), int(b)) for i, b in zip(symbols, lengths)], "id long, bits int").write.parquet(f"{folder}/codes")
 
-    ends = ids.groupBy("part").agg(F.max(F.col("at") + F.octet_length("ids") / 4).cast("long").alias("n")).collect()
+    ends = of_parts.select("part", "at").collect()
     totals = np.zeros(max((r.part for r in ends), default=0) + 1, np.int64)
     for r in ends:
-        totals[r.part] = r.n
+        totals[r.part] = r["at"]
     bases = (np.cumsum(totals) - totals).tolist()
-    coded = ids.mapInArrow(_encode(symbols.tolist(), lengths.tolist(), bases, SEGMENT_IDS), _ddl(_SEGMENTS))
+    coded = ids.where("counts is null").drop("counts").mapInArrow(_encode(symbols.tolist(), lengths.tolist(), bases, SEGMENT_IDS), _ddl(_SEGMENTS))
     coded.write.option("compression", "none").parquet(f"{folder}/segments")
     return folder
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from .common import SPACES, byte_column
 
 #: Pre-tokens (and, apart, words) kept per Python worker; the cache starts anew beyond it.
-CACHED = 800_000
+CACHED = 600_000
 _SPACE, _LETTER, _DIGIT, _SIGN, _HARD = range(5)
 
 
@@ -98,27 +98,20 @@ class WordTokenizer:
         return held[key]
 
     def _learn(self, new: list[bytes]) -> None:
-        """Code pre-tokens (white space behind them does not count)."""
-        bare, places = {}, self.places
-        for raw in new:
-            b = raw.rstrip(SPACES)
-            if b not in places and b not in bare:
-                bare[b] = len(self.size) + len(bare)
-        texts = [b.decode().lower() for b in bare]
-        for at in range(0, len(texts), 20_000):
-            some = texts[at:at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(some):
+        """Code pre-tokens."""
+        self.places.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+        begin, size, ids, known = [self.begin], [self.size], [self.ids], len(self.ids)
+        for at in range(0, len(new), 20_000):
+            some = b" ".join(new[at:at + 20_000]).decode().lower()
+            found = np.array(self.tokenizer.encode_batch_fast([some], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[found]) + 1
+            if len(ends) != len(new[at:at + 20_000]):
                 raise ValueError("this tokenizer does not mark the ends of words")
-            sizes = np.diff(ends, prepend=0)
-            self.begin = np.concatenate([self.begin, len(self.ids) + ends - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.ids = np.concatenate([self.ids, ids])
-        places.update(bare)
-        for raw in new:
-            if raw not in places:
-                places[raw] = places[raw.rstrip(SPACES)]
+            size.append(np.diff(ends, prepend=0))
+            begin.append(known + ends - size[-1])
+            ids.append(found)
+            known += len(found)
+        self.begin, self.size, self.ids = map(np.concatenate, (begin, size, ids))
 
     def _cut(self, buf: np.ndarray, kind: np.ndarray) -> np.ndarray:
         """Where pre-tokens begin in lower-cased ``buf``."""
@@ -144,8 +137,10 @@ class WordTokenizer:
         at = self._cut(buf, kind)
         if not len(at):
             return np.zeros(0, np.uint32), np.zeros(len(rows), np.int64)
-        cuts = np.append(at, len(buf)).astype(np.int32)
-        coded = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cuts), pa.py_buffer(buf)]).dictionary_encode()
+        ink = kind != _SPACE
+        upto = np.cumsum(ink, dtype=np.int32)
+        cuts = np.append(upto[at] - 1, upto[-1])
+        coded = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(cuts), pa.py_buffer(buf[ink])]).dictionary_encode()
         values, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.places) > CACHED:
             self._forget()
