@@ -43,6 +43,8 @@ END_ID = 2
 PART_BYTES = 48 << 20
 #: Bytes of text that are tokenized at a time.
 TEXT_BYTES = 4 << 20
+#: Parts whose counts one task sums.
+PARTS_SUMMED = 64
 SEGMENT_IDS = 1 << 20
 BLOCK_IDS = 512
 #: Longest code; more only where there are more ids than codes of that length. At most 25, as the reader looks at 32 bits from a byte on.
@@ -161,9 +163,13 @@ def _tokenize(path: str, end_id: int, added_tokens: bool):
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(0, np.int64)
     for batch in batches:
-        for counts in batch.column("counts").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in unpack(counts)], names=["id", "n"])
+        for used, n in map(unpack, batch.column("counts").to_pylist()):
+            total = np.concatenate([total, np.zeros(max(0, int(used[-1]) + 1 - len(total)), np.int64)])
+            total[used] += n
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
 
 def _encode(ids: list[int], lengths: list[int], bases: list[int], segment_ids: int):
@@ -208,7 +214,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, folder: str | None = None, i
     ids = stored(ordered.mapInArrow(_tokenize(tokenizer_path, end_id, added_tokens), _ddl(_IDS)))
 
     of_parts = ids.where("counts is not null")
-    counts = of_parts.select("counts").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
+    summed = of_parts.select("counts").coalesce(partitions_for(parts, PARTS_SUMMED)).mapInArrow(_count, "id long, n long")
+    counts = summed.groupBy("id").agg(F.sum("n").alias("n")).orderBy("id").toPandas()
     symbols = counts["id"].to_numpy()
     lengths = code_lengths(counts["n"].to_numpy(), max(max_bits, int(len(symbols) - 1).bit_length()))
     spark.createDataFrame([(int(i), int(b)) for i, b in zip(symbols, lengths)], "id long, bits int").write.parquet(f"{folder}/codes")
