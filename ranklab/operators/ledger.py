@@ -55,12 +55,26 @@ def strategy_predictions(gold: DataFrame, top_n: int | None = TOP_N) -> DataFram
 
 
 def payloads(preds: DataFrame, keys: Sequence[str] = ("user_id", "Year", "Circuit")) -> DataFrame:
-    """OPS6: ordered top-10 array<struct<pos,driver,team,prob>> and a
-    name -> prob map per prediction (both bounded by the list length)."""
-    return (preds.groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct("pos", "driver", "team", "prob"))).alias("top10"),
-                 F.map_from_entries(F.array_sort(F.collect_list(F.struct("driver", "prob"))))
-                 .alias("win_probs")))
+    """OPS6: ordered top-10 array<struct<pos,driver,team,prob>> and the
+    name -> prob map of that list per prediction (both bounded by the list
+    length); of equal names the last place's probability stands. The whole
+    field's probabilities are rows: ``field_probabilities``."""
+    lists = preds.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "driver", "team", "prob"))).alias("top10"))
+    last = F.filter("top10", lambda x: ~F.exists("top10", lambda y: y["driver"].eqNullSafe(x["driver"]) & (y["pos"] > x["pos"])))
+    named = F.filter(last, lambda x: x["driver"].isNotNull())
+    return lists.withColumn("win_probs", F.map_from_entries(F.array_sort(
+        F.transform(named, lambda x: F.struct(x["driver"].alias("driver"), x["prob"].alias("prob"))))))
+
+
+def field_probabilities(gold: DataFrame) -> DataFrame:
+    """OPS6: the whole field's name -> prob entries of every prediction, as
+    rows, for an event's field is not bounded. An entry a name: of equal names
+    the last place's probability stands (a combined aggregate)."""
+    rows = strategy_predictions(gold, top_n=None)
+    return (rows.groupBy("user_id", *EVENT, "driver")
+            .agg(F.max_by(F.struct("team", "prob"), F.struct(-F.col("prob"), "team")).alias("_last"))
+            .select("user_id", *EVENT, "driver", "_last.team", "_last.prob"))
 
 
 def strategy_ledger(gold: DataFrame, deadlines: DataFrame) -> DataFrame:
@@ -216,6 +230,37 @@ def effective_predictions(subs: DataFrame, deadlines: DataFrame | None = None) -
     return keep_last(ok, ["user_id", "day"], ["ts", "event_id"])
 
 
+def effective_predictions_asof(subs: DataFrame, changes: DataFrame, skew_safe: bool | None = None) -> DataFrame:
+    """OPS2 with deadlines that move: a submission is accepted when it came
+    strictly before the deadline that was in force at its time, and the latest
+    accepted one of a key is effective. ``changes`` (day, valid_from,
+    lock_deadline, event_id): from ``valid_from`` on the day's deadline is
+    ``lock_deadline``; null withdraws it. A day without a deadline in force is
+    open (Q16). A day's submissions of all users share its changes, so days are
+    the hot keys of this join."""
+    from ranklab.operators.asof import asof_join
+    from ranklab.operators.silver import keep_last
+    timed = asof_join(subs, changes, ["day"], "ts", "valid_from", {"lock_deadline": "lock_deadline"}, ["event_id"], skew_safe)
+    ok = timed.filter(F.col("lock_deadline").isNull() | (F.col("ts") < F.col("lock_deadline")))
+    return keep_last(ok, ["user_id", "day"], ["ts", "event_id"])
+
+
+def announced_deadlines(events: DataFrame) -> DataFrame:
+    """Deadline changes out of the events table: every day begins with noon
+    UTC, but for days of the month that seven divides, which begin without a
+    deadline; each signup announces a new one, up to six hours earlier or
+    later, or (k divisible by ten) withdraws it."""
+    ev = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("day", F.to_date("ts"))
+    first = (ev.filter(F.dayofmonth("day") % 7 != 0).select("day").distinct()
+             .select("day", F.col("day").cast("timestamp").alias("valid_from"), deadline_of().alias("lock_deadline"),
+                     F.lit(-1).cast("long").alias("event_id")))
+    k = F.from_json("props", "k int")["k"]
+    moved = deadline_of() + F.make_interval(hours=k % 13 - 6)
+    news = ev.filter(F.col("event_type") == "signup").select(
+        "day", F.col("ts").alias("valid_from"), F.when(k % 10 != 0, moved).alias("lock_deadline"), "event_id")
+    return first.unionByName(news)
+
+
 def locks_of(subs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """(user_id, day, locked_at): the first purchase of a key, or the lock that
     the stored ledger already has."""

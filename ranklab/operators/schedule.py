@@ -129,6 +129,22 @@ def lock_deadlines(sched: DataFrame, sessions: DataFrame | None = None,
              .drop("_y", "_r"))
 
 
+def deadline_history(sched: DataFrame, published: DataFrame, buffer_minutes: int = 0) -> DataFrame:
+    """SCH6 over time: (Year, race_name, valid_from, lock_deadline). From the
+    beginning (``valid_from`` null) an event locks two days before its date;
+    each publication of a first-session start (Year, round_number,
+    published_at, fp1_start_utc) replaces that from then on, and one without a
+    start falls back to it."""
+    pub = published.select(F.col("Year").alias("_y"), F.col("round_number").alias("_r"), "published_at", "fp1_start_utc")
+    fallback = F.col("event_date") - F.expr("INTERVAL 2 DAYS")
+    buffer = F.make_interval(mins=F.lit(buffer_minutes))
+    base = sched.select("Year", "race_name", F.lit(None).cast("timestamp").alias("valid_from"), (fallback - buffer).alias("lock_deadline"))
+    news = (sched.join(pub, (sched["Year"] == pub["_y"]) & (sched["round_number"] == pub["_r"]))
+            .select("Year", "race_name", F.col("published_at").alias("valid_from"),
+                    (F.coalesce("fp1_start_utc", fallback) - buffer).alias("lock_deadline")))
+    return base.unionByName(news)
+
+
 def lock_state(deadlines: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
     """SCH7: locked when as_of >= deadline; an unknown deadline stays open."""
     return deadlines.withColumn(

@@ -309,7 +309,7 @@ def q_strategy(spark, sf):
 def q_field(spark, sf):
     """The win probabilities of the whole field, one row per entrant: an event
     has no bound on its entrants, so they are no map in one row."""
-    return LG.strategy_predictions(gold_from_tables(spark, sf), top_n=None)
+    return LG.field_probabilities(gold_from_tables(spark, sf))
 
 
 @register("prediction_payloads", O.with_(GS, """SELECT user_id, "Year", "Circuit",
@@ -367,6 +367,28 @@ def q_effective(spark, sf):
     return LG.effective_predictions(_subs(spark, sf))
 
 
+@register("effective_predictions_asof", O.with_(SUB + """,
+ev AS (SELECT *, CAST(ts AS DATE) AS day, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events),
+changes AS (
+  SELECT DISTINCT day, CAST(day AS TIMESTAMP) AS valid_from, CAST(day AS TIMESTAMP) + INTERVAL 12 HOUR AS lock_deadline,
+    CAST(-1 AS BIGINT) AS change_id
+  FROM ev WHERE day(day) % 7 <> 0
+  UNION ALL
+  SELECT day, ts, CASE WHEN k % 10 <> 0 THEN CAST(day AS TIMESTAMP) + (6 + k % 13) * INTERVAL 1 HOUR END, event_id
+  FROM ev WHERE event_type = 'signup'),
+timed AS (
+  SELECT * FROM (
+    SELECT s.*, c.lock_deadline, row_number() OVER (PARTITION BY s.event_id ORDER BY c.valid_from DESC NULLS LAST, c.change_id DESC) AS pick
+    FROM subs s LEFT JOIN changes c ON c.day = s.day AND c.valid_from <= s.ts) t WHERE pick = 1)""",
+          """SELECT * EXCLUDE (pick, rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, day ORDER BY ts DESC, event_id DESC) AS rn
+  FROM timed WHERE lock_deadline IS NULL OR ts < lock_deadline) e WHERE rn = 1"""), "OPS2", "SCH6", "SCH7")
+def q_effective_asof(spark, sf):
+    """Deadlines move, are withdrawn, or are not yet known when a submission comes."""
+    events = read_table(spark, sf, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    return LG.effective_predictions_asof(LG.submissions(events), LG.announced_deadlines(events))
+
+
 MERGE_CTES = SUB + """,
 locks AS (SELECT user_id, day, min(ts) AS locked_at FROM subs WHERE event_type = 'purchase' GROUP BY 1, 2),
 dr AS (SELECT s.*, l.locked_at, (l.locked_at IS NOT NULL AND s.ts >= l.locked_at) AS rej

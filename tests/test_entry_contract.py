@@ -25,3 +25,13 @@ def test_contract_shapes(spark):
     df = mod.entry(spark)
     assert tuple(df.columns) == GOLD_COLUMNS
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+
+
+def test_a_missing_package_takes_only_the_corpus_queries(monkeypatch):
+    import sys
+    for name in [m for m in sys.modules if m.startswith(("ranklab.llm", "corpus_pipeline"))]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)  # importing it raises ImportError
+    mod = _entry_module()
+    assert not mod.HAS_LLM and "gold_features" in mod.queries() and "gold_features" in mod.oracle_sql()
+    assert not any(n == "pipeline" or n.startswith("op") for n in mod.queries())
