@@ -181,25 +181,24 @@ def group_total(df: DataFrame, group_cols: Sequence[str], value: str | Column,
 
     Unlike ``agg().over(partitionBy(group))`` this uses partial (map-side)
     aggregation, so a group holding most rows costs one small shuffle. The
-    aggregate table has one row per group; AQE broadcasts it when its runtime
-    size is under the broadcast threshold and shuffles otherwise.
+    aggregate table has one row per group; it is broadcast after its size
+    check, and beyond it the rows of hot groups are dealt over salts.
     """
+    from ranklab.operators.skew import measured_join
     fn = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count, "avg": F.avg}[how]
     agg = df.groupBy(*group_cols).agg(fn(_expr(value)).alias(out))
     if not group_cols:
         return with_scalars(df, agg)
     renamed = agg.select(*[F.col(g).alias(f"_g_{g}") for g in group_cols], out)
-    cond = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group_cols]
-    return df.join(renamed, on=cond, how="left").drop(*[f"_g_{g}" for g in group_cols])
+    return measured_join(df, renamed, [(g, f"_g_{g}") for g in group_cols], null_safe=True)
 
 
 def group_totals(df: DataFrame, group_cols: Sequence[str], **totals: Column) -> DataFrame:
     """Attach several per-group aggregates at once: one aggregation, written,
-    and one join (broadcast after its size check)."""
+    and one join (broadcast after its size check, salted beyond it)."""
+    from ranklab.operators.skew import measured_join
     agg = df.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group_cols]).agg(*[c.alias(n) for n, c in totals.items()])
-    agg = broadcast_if_small(materialize(agg))
-    cond = [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in group_cols]
-    return df.join(agg, on=cond, how="left").drop(*[f"_g_{g}" for g in group_cols])
+    return measured_join(df, agg, [(g, f"_g_{g}") for g in group_cols], null_safe=True)
 
 
 def rolling_rows(df: DataFrame, group_cols: Sequence[str], order_by: Sequence[OrderKey],

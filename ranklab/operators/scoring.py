@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranklab.functions.columns import half_even
+from ranklab.operators.skew import measured_join
 
 LIST_CAP = 20
 
@@ -41,8 +42,8 @@ def score_orders(pred: DataFrame, actual: DataFrame, pred_keys: Sequence[str],
     a = first_positions(actual, list(event_keys), actual_rank, name)
     a_r = a.select(*[F.col(k).alias(f"_a_{k}") for k in event_keys],
                    F.col(name).alias("_a_name"), F.col(actual_rank).alias("_ap"))
-    cond = [F.col(k) == F.col(f"_a_{k}") for k in event_keys] + [F.col(name) == F.col("_a_name")]
-    j = p.join(a_r, cond, "left")
+    # many predictions of an event name the same entrant
+    j = measured_join(p, a_r, [*[(k, f"_a_{k}") for k in event_keys], (name, "_a_name")])
     pp, ap = F.col(pred_rank), F.col("_ap")
     n = F.count(ap)
     d2 = F.sum((pp - ap) * (pp - ap))

@@ -652,9 +652,8 @@ def _bronze_root(spark, sf, with_quali=False):
                                     "Session",
                                     F.concat_ws("_", F.col("Year").cast("string"), F.translate("Circuit", " ", "_"),
                                                 F.lit("qualifying.csv")).alias("Source")))
-        # one task writes each event file, rows in session order: "last wins" is well defined
-        (q.repartition("Source").sortWithinPartitions("Source", "Session").write.mode("append")
-         .option("header", "true").partitionBy("Source").csv(root))
+        # numbered in session order: "last wins" is well defined in any number of files
+        SK.write_bronze(q, root, "append", order_by=["Session"])
     return root
 
 
@@ -686,7 +685,7 @@ def q_stream(spark, sf):
     early = (F.col("_y") <= first_year + 2) & (F.crc32("FullName") % 2 == 0)
     SK.write_bronze(b.filter(early).drop("_y"), root)
     ingest(spark, root, silver_path, ck)                       # files present now: half of each early event
-    SK.write_bronze(b.filter(~early).drop("_y"), root, mode="append")
+    SK.write_bronze(b.filter(~early).drop("_y"), root, mode="append", batch=1)
     ingest(spark, root, silver_path, ck, max_files=100)        # second files of known events, and new events
     ingest(spark, root, silver_path, ck)                       # nothing new: no-op
     return _typed_silver(read_silver(spark, silver_path))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ranklab.operators.ranking import broadcast_if_small, materialize
+from ranklab.sources.sinks import ORDINAL
 
 NAME_RE = r"^(\d+)_(.*)_{kind}\.csv$"
 PATH_RE = r"(?:^|/)(?:Source=)?(\d+)_([^/]*)_{kind}\.csv(?:/[^/]*)?$"
@@ -88,8 +89,9 @@ def scan_bronze(spark: SparkSession, root: str, kind: str = "results", min_bytes
     """SRC1/SRC2/SRC3/SRC4/SRC6/SRC7: header-aware scan of every bronze file
     of ``kind`` (of the seasons ``years`` or the events ``sources``, when
     given); all data columns are strings. Adds Year (int), Circuit
-    (underscores -> spaces), Source (the event's file name) and ``_row`` (file,
-    block, place: the row order inside an event, for keep-last dedupes).
+    (underscores -> spaces), Source (the event's file name) and ``_row`` (the
+    number that ``write_bronze`` stored, file, block, place: the row order
+    inside an event, for keep-last dedupes; files without numbers come first).
     Without any matching file it raises, or returns None if not ``required``."""
     files = materialize(headers(spark, root, kind, min_bytes, years, sources))
     known = [r["_header"] for r in files.select("_header").distinct().orderBy("_header").collect()]
@@ -107,7 +109,7 @@ def scan_bronze(spark: SparkSession, root: str, kind: str = "results", min_bytes
                    F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
                             F.monotonically_increasing_id().alias("place")).alias("_row")))
     raw = raw.join(broadcast_if_small(files), "_path")
-    columns = list(dict.fromkeys(n for h in known for n in names[h]))
+    columns = [n for n in dict.fromkeys(n for h in known for n in names[h]) if n != ORDINAL]
 
     def value(name: str) -> F.Column:
         # the place of a column differs from header to header
@@ -120,6 +122,7 @@ def scan_bronze(spark: SparkSession, root: str, kind: str = "results", min_bytes
         return out
 
     name_re = NAME_RE.format(kind=kind)
-    return raw.select(*(value(n).alias(n) for n in columns), "_row", "Source",
+    row = F.struct(value(ORDINAL).try_cast("long").alias("ordinal"), "_row.*").alias("_row")
+    return raw.select(*(value(n).alias(n) for n in columns), row, "Source",
                       F.regexp_extract("Source", name_re, 1).cast("int").alias("Year"),
                       F.translate(F.regexp_extract("Source", name_re, 2), "_", " ").alias("Circuit"))

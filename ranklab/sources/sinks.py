@@ -4,10 +4,12 @@ or lost task never leaves partial output visible as a finished job."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ranklab.operators.ranking import materialize, rank_within
 from ranklab.session import ensure_checkpoint_dir
 
 
@@ -16,12 +18,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_bronze(bronze: DataFrame, root: str, mode: str = "overwrite") -> None:
-    """SNK1: one CSV per event: ``Source=<year>_<Event>_<kind>.csv/part-*.csv``
-    (the reference's file naming as the partition value). ``mode='append'``
-    adds new event folders next to existing ones."""
-    (bronze.repartition("Source").write.mode(mode).option("header", "true")
-     .option("escape", '"').partitionBy("Source").csv(root))
+#: The column that keeps a row's place in its event, however the event is cut into files.
+ORDINAL = "RowOrdinal"
+FILE_ROWS = 1_000_000
+#: Rows of one call of ``write_bronze`` for one event; the next batch begins behind.
+BATCH_ROWS = 1 << 40
+
+
+def write_bronze(bronze: DataFrame, root: str, mode: str = "overwrite", order_by: Sequence[str] = (),
+                 max_rows: int = FILE_ROWS, batch: int = 0) -> None:
+    """SNK1: CSV files per event: ``Source=<year>_<Event>_<kind>.csv/part-*.csv``
+    (the reference's file naming as the partition value), of ``max_rows`` rows
+    at most. Rows of an event are numbered in ``order_by`` order (as they come,
+    without it); the number is a column of the files, so that the last of
+    several copies is the same whatever files they are in. Rows are dealt by
+    ranges of (event, number): no event is one task. ``mode='append'`` adds
+    files next to existing ones, whose rows come before those of a larger
+    ``batch``."""
+    rows = materialize(bronze.withColumn("_at", F.monotonically_increasing_id()))
+    keys = [(c, False) for c in (*order_by, "_at")]
+    numbered = rank_within(rows, ["Source"], keys, out=ORDINAL, method="row_number").drop("_at")
+    numbered = numbered.withColumn(ORDINAL, F.col(ORDINAL).cast("long") + F.lit(batch * BATCH_ROWS))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // max_rows))
+    (numbered.repartitionByRange(tasks, "Source", ORDINAL).sortWithinPartitions("Source", ORDINAL)
+     .write.mode(mode).option("header", "true").option("escape", '"').option("maxRecordsPerFile", max_rows)
+     .partitionBy("Source").csv(root))
 
 
 def write_silver(silver: DataFrame, path: str, partition_by: tuple[str, ...] = ("Year",)) -> None:
