@@ -803,6 +803,55 @@ def q_dedup_scan(spark, sf):
                        F.col("Position").cast("int").alias("Position"))
 
 
+@register("bronze_quarantine", O.with_(S, """SELECT "Year", "Circuit", count(*) + count(*) FILTER (WHERE "Position" = 3) AS rows_read,
+  count(*) FILTER (WHERE "Position" = 1) AS odd_records, count(*) FILTER (WHERE "Position" = 2) AS bad_bytes,
+  CAST(0 AS BIGINT) AS unreadable_files, count(*) FILTER (WHERE "Position" = 3) AS broken_lines
+FROM silver GROUP BY 1, 2
+UNION ALL SELECT CAST(1900 AS INTEGER), 'Cut Off', 0, 0, 0, 1, 0"""), "SRC1", "SRC7")
+def q_quarantine(spark, sf):
+    """All results as bronze, and beside them, for each event, its winner's record with a
+    cell too many, the second's with a byte that is no UTF-8 and the third's with a line
+    break in its name; and an archive that breaks off. Per event: rows read, and what was
+    set aside."""
+    from ranklab.sources.quarantine import scan_with_quarantine
+    root = SK.scratch_path(spark, "bronze")
+    b = bronze_results(event_results(spark, sf))
+    SK.write_bronze(b, root)
+    cells = lambda name, *more: F.concat_ws(",", name, "TeamName", "Position", *more)
+    line = (F.when(F.col("Position") == "1", cells("FullName", F.lit("one"), F.lit("many")))
+            .when(F.col("Position") == "2", cells(F.concat(F.unhex(F.lit("ff")).cast("string"), "FullName"), F.lit("0")))
+            .otherwise(cells(F.concat(F.lit('"'), F.col("FullName"), F.lit('\n"')), F.lit("0"))))
+    podium = b.filter(F.col("Position").isin("1", "2", "3"))  # three records an event
+    damaged = podium.groupBy("Source").agg(F.concat(F.lit("FullName,TeamName,Position,Points\n"), F.array_join(F.collect_list(line), "\n")).alias("value"))
+    damaged.write.mode("append").partitionBy("Source").text(root)
+    SK.write_broken_archive(spark, f"{root}/Source=1900_Cut_Off_results.csv/part-0.csv.gz", "FullName,Position\n" + "Nobody,1\n" * 500)
+    good, bad = scan_with_quarantine(spark, root)
+    tally = bad.groupBy("Source").agg(F.count_if(F.col("reason") == "column count").alias("odd_records"),
+                                      F.count_if(F.col("reason") == "bad bytes").alias("bad_bytes"),
+                                      F.count_if(F.col("reason") == "unreadable file").alias("unreadable_files"))
+    read = good.groupBy("Source").agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(F.col("FullName").contains("\n")).alias("broken_lines"))
+    counts = ["rows_read", "odd_records", "bad_bytes", "unreadable_files", "broken_lines"]
+    return read.join(tally, "Source", "full").select(
+        F.regexp_extract("Source", r"^(\d+)_", 1).cast("int").alias("Year"),
+        F.translate(F.regexp_extract("Source", r"^\d+_(.*)_results\.csv$", 1), "_", " ").alias("Circuit"),
+        *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in counts])
+
+
+@register("forecast_headshots", O.with_(O.forecast_ctes() + O.FEATURES + """,
+urls AS (SELECT "FullName", "RaceIndex", CASE WHEN "RaceIndex" % 3 <> 0 THEN lower("FullName") || '-' || "Year" END AS url FROM hist),
+latest AS (SELECT "FullName", arg_max(coalesce(url, ''), "RaceIndex") AS latest, arg_max(url, "RaceIndex") FILTER (WHERE url IS NOT NULL) AS known
+  FROM urls GROUP BY 1)""", """SELECT f."Year", f."Circuit", f."FullName", nullif(l.latest, '') AS "HeadshotUrl", l.known AS "ProfileUrl"
+FROM features f JOIN latest l ON l."FullName" = f."FullName\""""), "CLN8", "FCT1", "AGG15")
+def q_headshots(spark, sf):
+    """A URL column through the layers: the forecast has the latest event's, the profile the last that there is."""
+    hist, targets = _forecast_inputs(spark, sf)
+    url = F.when(F.col("RaceIndex") % 3 != 0, F.concat_ws("-", F.lower("FullName"), F.col("Year").cast("string")))
+    hist = hist.withColumn("HeadshotUrl", url)
+    fc = FC.two_stage_forecast(FC.feature_rows(hist, targets)).select("Year", "Circuit", "FullName", "HeadshotUrl")
+    profile = FC.entrant_profile(hist, targets).select("Year", "Circuit", "FullName", F.col("HeadshotUrl").alias("ProfileUrl"))
+    return fc.join(profile, ["Year", "Circuit", "FullName"], "left")
+
+
 @register("event_name_union", O.with_(S + "," + SCH, f"""SELECT DISTINCT race_name FROM (
   SELECT "Circuit" AS race_name FROM silver
   UNION SELECT race_name FROM sched WHERE event_date >= {O.AS_OF}) u"""), "SET2")

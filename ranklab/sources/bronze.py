@@ -67,10 +67,10 @@ def _wanted(kind: str, years: Sequence[int] | None, sources: Sequence[str] | Non
 
 
 def headers(spark: SparkSession, root: str, kind: str = "results", min_bytes: int = 200,
-            years: Sequence[int] | None = None, sources: Sequence[str] | None = None) -> DataFrame:
+            years: Sequence[int] | None = None, sources: Sequence[str] | None = None, skip_damaged: bool = False) -> DataFrame:
     """(path, header line) of every file whose *event* holds more than
     ``min_bytes`` in all its part files together."""
-    txt = (spark.read.option("recursiveFileLookup", "true").text(root)
+    txt = (spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", skip_damaged).text(root)
            .filter(_wanted(kind, years, sources))
            .select("value", F.col("_metadata.file_path").alias("_path"), source_name().alias("_event"),
                    F.col("_metadata.file_size").alias("size"),
@@ -94,21 +94,43 @@ def scan_bronze(spark: SparkSession, root: str, kind: str = "results", min_bytes
     inside an event, for keep-last dedupes; files without numbers come first).
     Without any matching file it raises, or returns None if not ``required``."""
     files = materialize(headers(spark, root, kind, min_bytes, years, sources))
-    known = [r["_header"] for r in files.select("_header").distinct().orderBy("_header").collect()]
-    if not known:
+    names = known_headers(files)
+    if not names:
         if required:
             raise FileNotFoundError(f"no {kind} CSV files over {min_bytes} bytes under {root}")
         return None
-    names = {h: _header_names(h or "") for h in known}
+    raw = read_cells(spark, root, kind, names, years, sources)
+    return named_columns(raw.join(broadcast_if_small(files), "_path"), names, kind)
+
+
+def known_headers(files: DataFrame) -> dict[str | None, list[str]]:
+    """The distinct header lines of ``files`` and their column names."""
+    known = [r["_header"] for r in files.select("_header").distinct().orderBy("_header").collect()]
+    return {h: _header_names(h or "") for h in known}
+
+
+def read_cells(spark: SparkSession, root: str, kind: str, names: dict[str | None, list[str]], years: Sequence[int] | None = None,
+               sources: Sequence[str] | None = None, damaged: str | None = None) -> DataFrame:
+    """All records as text cells ``_c0``.. by place, with Source, ``_path`` and
+    ``_row``. With ``damaged``, records may hold quoted line breaks, files that
+    cannot be read do not fail the job, and that column has the text of every
+    record whose number of cells is not the widest header's."""
     width = max(1, *(len(n) for n in names.values()))
     schema = StructType([StructField(f"_c{i}", StringType(), True) for i in range(width)])
-    raw = (spark.read.schema(schema).option("header", "true").option("escape", '"').option("enforceSchema", "true")
-           .option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").csv(root)
-           .filter(_wanted(kind, years, sources))
-           .select(*schema.names, source_name().alias("Source"), F.col("_metadata.file_path").alias("_path"),
-                   F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-                            F.monotonically_increasing_id().alias("place")).alias("_row")))
-    raw = raw.join(broadcast_if_small(files), "_path")
+    reader = spark.read.option("header", "true").option("escape", '"').option("enforceSchema", "true")
+    if damaged:
+        schema = schema.add(damaged, StringType())
+        reader = reader.option("multiLine", "true").option("ignoreCorruptFiles", "true").option("columnNameOfCorruptRecord", damaged)
+    return (reader.schema(schema).option("mode", "PERMISSIVE").option("recursiveFileLookup", "true").csv(root)
+            .filter(_wanted(kind, years, sources))
+            .select(*schema.names, source_name().alias("Source"), F.col("_metadata.file_path").alias("_path"),
+                    F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                             F.monotonically_increasing_id().alias("place")).alias("_row")))
+
+
+def named_columns(raw: DataFrame, names: dict[str | None, list[str]], kind: str) -> DataFrame:
+    """The cells of ``raw`` under the names that each file's ``_header`` gives them."""
+    known = list(names)
     columns = [n for n in dict.fromkeys(n for h in known for n in names[h]) if n != ORDINAL]
 
     def value(name: str) -> F.Column:

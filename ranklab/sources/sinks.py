@@ -45,6 +45,19 @@ def write_bronze(bronze: DataFrame, root: str, mode: str = "overwrite", order_by
      .partitionBy("Source").csv(root))
 
 
+def write_broken_archive(spark: SparkSession, path: str, text: str) -> None:
+    """A gzip file that ends half way: a test case for readers of damaged bronze."""
+    import gzip
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    whole = gzip.compress(text.encode())
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    try:
+        out.write(bytearray(whole[: len(whole) // 2]))
+    finally:
+        out.close()
+
+
 def write_silver(silver: DataFrame, path: str, partition_by: tuple[str, ...] = ("Year",)) -> None:
     """SNK2: silver Parquet, partitioned; with dynamic partition overwrite
     only the partitions present in ``silver`` are replaced."""

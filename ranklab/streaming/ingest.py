@@ -24,7 +24,7 @@ from ranklab.sources.bronze import PATH_RE, scan_bronze, source_name
 from ranklab.sources.sinks import write_silver
 
 SILVER_KEY = ("Year", "Circuit", "FullName")
-STORED = ("FullName", "TeamName", "Position", "GridPosition", "Points", "ClassifiedPosition",
+STORED = ("FullName", "TeamName", "HeadshotUrl", "Position", "GridPosition", "Points", "ClassifiedPosition",
           "Source", "Year", "Circuit")
 
 
