@@ -13,22 +13,19 @@ coordinate with probability equal to their weighted Jaccard similarity.
 *Banded joining.* Texts that agree in a whole band of coordinates are
 candidates. Candidates are compared exactly (shingles of the whole texts), first
 with the smallest id of each band bucket, so a bucket of any size costs a row
-per member. Buckets whose members are then still in different classes are
-settled in further rounds: members are compared with the smallest id of each
-other class of their bucket, and last with the members that the triangle
-inequality of the Jaccard distance still allows. In these rounds texts of a
-bucket that cannot be linked are told apart before they become a pair: by their
-number of shingles, and by a longer dart signature of four bits a coordinate
-(``LONG``), whose mismatches are counted inside the join. A pair at the
-similarity itself fails that count with probability ``MISS``, which is below
-that of missing every band.
+per member. The texts of buckets whose members are then still in different
+classes are settled by an exact prefix filter (``rare_pairs``): they are compared
+where they share one of their rarest shingles. Texts that have a passage in
+common but are not similar do not meet there, however many they are; a similar
+pair always does.
 
 Defined cases: texts are words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case;
 a text of one to four words is one shingle; texts without words are near copies
 only of equal texts; null text is empty; equal texts are one class. Texts are
 told apart by their hash, whatever their ids: the texts of a repeated id are
 classed each by itself, and rows with a null id like all others (a class in
-which no row has an id has a null class_id); an empty table gives an empty result.
+which no row has an id has a null class_id); texts of any length are signed and
+compared whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,14 +38,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ranklab.operators.skew import salted_join
+
 from .byte_anchors import BASE, MIX, Substrings, mix
 from .common import byte_column, partitions_for, record_batch, runs, ship, stored
 from .components import connected_components
 
 WORDS, SIMILARITY = 5, (4, 5)
 BANDS, ROWS = 42, 6
-#: Coordinates and bits a coordinate of the longer signature, and the chance that it drops a pair at the similarity.
-LONG, BITS, MISS = 1024, 4, 1e-6
+#: Shingles beyond which frequent ones are dealt over salts.
+SALTED_ROWS = 100_000
 ROWS_PER_PARTITION = 4000
 _CHUNK = 1 << 18
 _U = np.uint64
@@ -173,55 +172,62 @@ def _sign(words: int, bands: int, rows: int, counted: bool):
     return run
 
 
-def most_mismatches(similarity: float, coordinates: int = LONG, bits: int = BITS, miss: float = MISS) -> int:
-    """Mismatches that a pair of at least ``similarity`` exceeds with probability ``miss`` at most (binomial tail)."""
-    p = (1 - similarity) * (1 - 2.0 ** -bits)
-    if p <= 0:
-        return 0
-    tail, n = 0.0, coordinates
-    while n > 0:
-        tail += math.exp(math.lgamma(coordinates + 1) - math.lgamma(n + 1) - math.lgamma(coordinates - n + 1)
-                         + n * math.log(p) + (coordinates - n) * math.log1p(-p))
-        if tail > miss:
-            break
-        n -= 1
-    return n
-
-
-_WORDS = [f"w{i}" for i in range(LONG * BITS // 64)]
-_LONG = pa.schema([("text_id", pa.int64()), ("total", pa.int64()), *((w, pa.int64()) for w in _WORDS)])
+_GRAMS = pa.schema([("text_id", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
 
-def _sign_long(words: int, counted: bool):
-    """The low ``BITS`` bits of each coordinate: one plane of ``LONG`` bits after the other, in 64-bit words."""
+def _grams(words: int, counted: bool):
+    """Each text's shingles as a set of numbers; of a shingle that counts several times, each occurrence is one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, starts, ends = byte_column(batch.column("text"))
             for lo, hi in runs(starts, ends, _CHUNK):
                 base = starts[lo]
                 text, gram, count = shingles(buf[base:ends[hi - 1]], starts[lo:hi] - base, ends[lo:hi] - base, words)
-                weight = count if counted else np.ones(len(gram))
-                signed = dart_signatures(text, gram, weight, hi - lo, LONG)
-                planes = [np.packbits((signed >> _U(j) & _U(1)).astype(np.uint8), axis=1) for j in range(BITS)]
-                packed = np.ascontiguousarray(np.concatenate(planes, axis=1)).view(np.int64)
-                total = np.bincount(text, weight, minlength=hi - lo).astype(np.int64)
-                yield record_batch(_LONG, batch.column("text_id").slice(lo, hi - lo), total, *packed.T)
+                if counted:
+                    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    text, gram = np.repeat(text, count), mix(np.repeat(gram, count) + nth.astype(np.uint64) * MIX)
+                cut = np.searchsorted(text, np.arange(hi - lo + 1))
+                sets = [gram[i:j].view(np.int64) for i, j in zip(cut, cut[1:])]
+                yield record_batch(_GRAMS, batch.column("text_id").slice(lo, hi - lo), batch.column("class").slice(lo, hi - lo),
+                                   np.diff(cut), sets)
     return run
 
 
-def may_link(up: int, down: int):
-    """Join condition on columns of ``_LONG`` with suffixes _a and _b."""
-    plane = len(_WORDS) // BITS
-    mismatches = None
-    for i in range(plane):
-        differ = None
-        for w in _WORDS[i::plane]:
-            bits = F.col(w + "_a").bitwiseXOR(F.col(w + "_b"))
-            differ = bits if differ is None else differ.bitwiseOR(bits)
-        n = F.bit_count(differ)
-        mismatches = n if mismatches is None else mismatches + n
-    sizes = F.least("total_a", "total_b") * down >= F.greatest("total_a", "total_b") * up
-    return sizes & (mismatches <= most_mismatches(up / down))
+def rare_pairs(texts: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, counted: bool = False) -> DataFrame:
+    """Pairs (a < b) of ``texts`` (text_id, class, text) in different classes, among them every pair of at least
+    ``similarity``: an exact prefix filter.
+
+    All shingles are put in one order, the rarest first. Of two similar texts
+    the larger one's first ``n - ceil(t n) + 1`` shingles and the smaller one's first
+    ``n - ceil(2 t n / (1 + t)) + 1`` have one in common, so texts meet only where
+    they share a shingle that is among their rarest; a passage that many share
+    is not. Of the classes at such a shingle the largest does not meet itself."""
+    up, down = similarity
+    members = stored(texts.select("text_id", "class", "text").mapInArrow(_grams(words, counted), "text_id long, class long, n long, grams array<long>"))
+    tokens = members.select("text_id", F.explode("grams").alias("gram"))
+    often = stored(tokens.groupBy("gram").agg(F.count("*").alias("texts")).where("texts > 1"))
+    # a shingle of one text meets nothing; it only counts in that text's order, in front of all others
+    shared = salted_join(tokens, often.withColumnRenamed("gram", "often"), [("gram", "often")], "inner", least_rows=SALTED_ROWS)
+    order = shared.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("texts", "gram"))).alias("order"))
+    first = F.expr(f"cast(n - (n * {up} + {down - 1}) div {down} + 1 as int)")
+    index = F.expr(f"cast(n - (n * {2 * up} + {up + down - 1}) div {up + down} + 1 as int)")
+    placed = members.drop("grams").join(order, "text_id").withColumn("alone", F.expr("cast(n - size(order) as int)"))
+    placed = placed.select("text_id", "class", "n", "alone", index.alias("index"), F.posexplode(F.slice("order", 1, F.greatest(first - F.col("alone"), F.lit(0)))))
+    posting = stored(placed.select("text_id", "class", "n", F.col("col.gram").alias("gram"), (F.col("pos") + F.col("alone")).alias("at"),
+                                   (F.col("pos") + F.col("alone") < F.col("index")).alias("indexed")))
+    classes = posting.groupBy("gram", "class").agg(F.count("*").alias("size"))
+    mixed = classes.groupBy("gram").agg(F.max(F.struct("size", "class")).alias("most"), F.count("*").alias("n_classes")).where("n_classes > 1")
+    met = stored(posting.join(mixed.select("gram", F.col("most.class").alias("largest")), "gram")
+                 .withColumn("many", F.col("class") == F.col("largest")).drop("largest"))
+    x, y = (met.select(*(F.col(c).alias(c + side) for c in met.columns)) for side in ("_a", "_b"))
+    smaller = F.struct("n_a", "text_id_a") < F.struct("n_b", "text_id_b")
+    # at most: what may be common in front of the shared shingle, it, and what may be common behind
+    most = F.least("at_a", "at_b") + 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
+    may = (F.least("n_a", "n_b") * down >= F.greatest("n_a", "n_b") * up) & (most * (up + down) >= (F.col("n_a") + F.col("n_b")) * up)
+    pairs = x.where("not many_a").join(y, (F.col("gram_a") == F.col("gram_b")) & (F.col("class_a") != F.col("class_b"))
+                                       & (F.col("many_b") | (F.col("text_id_a") < F.col("text_id_b")))
+                                       & F.when(smaller, F.col("indexed_a")).otherwise(F.col("indexed_b")) & may)
+    return pairs.select(F.least("text_id_a", "text_id_b").alias("a"), F.greatest("text_id_a", "text_id_b").alias("b")).distinct()
 
 
 _COMPARED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("both", pa.int64()), ("either", pa.int64())])
@@ -307,33 +313,15 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     linked = F.expr(f"{down} * both >= {up} * either and either > 0")
     seen = compared(shared.where("text_id > lead").select(F.col("lead").alias("a"), F.col("text_id").alias("b")).distinct())
     classes = connected_components(seen.where(linked).select("a", "b"))
-    long = None
-    for turn in ("leaders", "members"):
-        # buckets whose members are in different classes
-        placed = shared.join(classes, shared.text_id == classes.node, "left").select(
-            "band", "text_id", F.coalesce("component", "text_id").alias("class"))
-        open_ = placed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band")
-        mixed = stored(placed.join(open_, "band"))
-        if long is None:
-            long = stored(texts.join(mixed.select("text_id").distinct(), "text_id").select("text_id", "text")
-                          .mapInArrow(_sign_long(words, counted), ", ".join(f"{c} long" for c in _LONG.names)))
-        one = mixed.join(long, "text_id")
-        apart = (F.col("band_a") == F.col("band_b")) & (F.col("class_a") != F.col("class_b")) & may_link(up, down)
-        if turn == "leaders":
-            two = mixed.groupBy("band", "class").agg(F.min("text_id").alias("text_id")).join(long, "text_id")
-        else:
-            # d(x, y) >= |d(x, lead) - d(y, lead)|: only pairs that may still be similar
-            gap = seen.select(F.col("a").alias("lead"), F.col("b").alias("text_id"), (1 - F.col("both") / F.col("either")).alias("far"))
-            one = one.join(lead, "band").join(gap, ["lead", "text_id"], "left").withColumn("far", F.coalesce("far", F.lit(0.0))).drop("lead")
-            two = one
-            apart &= (F.col("text_id_a") < F.col("text_id_b")) & (F.abs(F.col("far_a") - F.col("far_b")) <= 1 - up / down + 1e-9)
-        one, two = (t.select(*(F.col(c).alias(c + side) for c in t.columns)) for t, side in ((one, "_a"), (two, "_b")))
-        pairs = one.join(two, apart).select(F.least("text_id_a", "text_id_b").alias("a"), F.greatest("text_id_a", "text_id_b").alias("b")).distinct()
-        pairs = stored(pairs.join(seen, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            continue  # the members of mixed buckets are compared all the same
-        seen = stored(seen.unionByName(compared(pairs)))
-        classes = connected_components(seen.where(linked).select("a", "b"))
+    # buckets whose members are in different classes: their texts may have links that the leads did not show
+    placed = shared.join(classes, shared.text_id == classes.node, "left").select(
+        "band", "text_id", F.coalesce("component", "text_id").alias("class"))
+    open_ = placed.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band")
+    open_texts = placed.join(open_, "band").select("text_id", "class").distinct()
+    pairs = rare_pairs(texts.join(open_texts, "text_id"), words, similarity, counted)
+    pairs = stored(pairs.join(seen, ["a", "b"], "left_anti"))
+    if not pairs.isEmpty():
+        classes = connected_components(seen.unionByName(compared(pairs)).where(linked).select("a", "b"))
     placed = stored(firsts.join(classes, firsts.text_id == classes.node, "left").select(
         "hash", F.coalesce("component", "text_id").alias("component"), "first_id"))
     least = stored(placed.groupBy("component").agg(F.min("first_id").alias("class_id")))

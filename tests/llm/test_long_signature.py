@@ -1,21 +1,26 @@
-"""The longer signature that tells texts of one bucket apart: it must keep every pair at the similarity."""
+"""Texts of one bucket are told apart without losing a pair at the similarity."""
 
-import math
-from fractions import Fraction
+import itertools
+import random
 
-from pyspark.sql import functions as F
+import pytest
 
 from ranklab.llm import dart_minhash as dm
 
-LONG_SQL = ", ".join(f"{c} long" for c in dm._LONG.names)
 
+def grams(text):
+    words = text.lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
-def kept_pairs(spark, texts, counted=False):
-    df = spark.createDataFrame(list(enumerate(texts)), "text_id long, text string")
-    long = df.mapInArrow(dm._sign_long(5, counted), LONG_SQL)
-    a, b = (long.select(*(F.col(c).alias(c + s) for c in long.columns)) for s in ("_a", "_b"))
-    pairs = a.join(b, (F.col("text_id_a") < F.col("text_id_b")) & dm.may_link(4, 5))
-    return {(r.text_id_a, r.text_id_b) for r in pairs.select("text_id_a", "text_id_b").collect()}
+
+def similar(a, b):
+    x, y = grams(a), grams(b)
+    return 5 * len(x & y) >= 4 * len(x | y) and bool(x | y)
+
+
+def found(spark, texts, classes=None):
+    rows = [(i, classes[i] if classes else i, t) for i, t in enumerate(texts)]
+    return {(r.a, r.b) for r in dm.rare_pairs(spark.createDataFrame(rows, "text_id long, class long, text string")).collect()}
 
 
 def sharing(common, own, marks):
@@ -24,31 +29,45 @@ def sharing(common, own, marks):
     return [head + " " + " ".join(f"{m}x{i}" for i in range(own)) for m in marks]
 
 
-def test_limit_is_a_binomial_tail():
-    p = Fraction(1, 5) * (1 - Fraction(1, 2 ** dm.BITS))
+def edited(rng, words, n):
+    out = list(words)
+    for _ in range(n):
+        at = rng.randrange(len(out))
+        out[at:at + rng.randint(0, 1)] = [f"e{rng.randrange(10 ** 6)}"] * rng.randint(0, 2)
+    return " ".join(out)
 
-    def beyond(n):
-        return sum(math.comb(dm.LONG, k) * p ** k * (1 - p) ** (dm.LONG - k) for k in range(n + 1, dm.LONG + 1))
 
-    limit = dm.most_mismatches(0.8)
-    assert beyond(limit) <= dm.MISS < beyond(limit - 1)
-    assert dm.most_mismatches(1.0) == 0
+def test_pairs_at_the_similarity_stay_and_distant_ones_go(spark):
+    near = sharing(184, 20, "abcdefgh")  # 180 shared shingles of 200 in each text: 180 / 220 = 0.818
+    assert found(spark, near) == set(itertools.combinations(range(8), 2))
+    for common in (104, 154, 174):  # 0.33, 0.6 and 0.74 similar: one long shared passage
+        assert found(spark, sharing(common, 204 - common, [f"m{i}" for i in range(40)])) == set()
 
 
-def test_pairs_at_the_similarity_stay_and_distant_ones_go(spark):
-    # 180 shared shingles of 200 in each text: 180 / 220 = 0.818
-    near = sharing(184, 20, "abcdefgh")
-    assert len(kept_pairs(spark, near)) == 28
-    # one long shared passage, 0.5 similar
-    far = sharing(204, 100, "abcdefgh")
-    assert kept_pairs(spark, far) == set()
+@pytest.mark.parametrize("seed", range(4))
+def test_no_link_between_classes_is_lost(spark, seed):
+    rng = random.Random(seed)
+    texts = ["", "one two", "one two", "a b c d e"]
+    for g in range(6):
+        base = [f"g{g}w{rng.randrange(60)}" for _ in range(rng.choice([6, 30, 120]))] + [f"p{i}" for i in range(20)]
+        texts += [edited(rng, base, rng.choice([0, 1, 2, 3, 6, 12])) for _ in range(12)]
+    classes = [rng.randrange(30) if rng.random() < 0.5 else 1000 + i for i in range(len(texts))]
+    want = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if classes[i] != classes[j] and similar(texts[i], texts[j])}
+    got = found(spark, texts, classes)
+    assert want and want <= got and all(classes[i] != classes[j] for i, j in got)
 
 
-def test_sizes_and_empty_texts(spark):
-    texts = ["", " ", "one two", "one two", " ".join(f"w{i}" for i in range(100)), " ".join(f"w{i}" for i in range(130))]
-    assert kept_pairs(spark, texts) >= {(2, 3)}
-    assert (4, 5) not in kept_pairs(spark, texts)  # 96 of 126 shingles
-    assert (2, 3) in kept_pairs(spark, texts, counted=True)
+def test_counted_shingles(spark):
+    texts = ["x " * 30, "x " * 32, "x " * 60, "y " * 5]
+    rows = spark.createDataFrame(list(enumerate(texts)), "text_id long, text string").selectExpr("text_id", "text_id as class", "text")
+    assert {(r.a, r.b) for r in dm.rare_pairs(rows, counted=True).collect()} == {(0, 1)}  # 26 and 28 times one shingle
+    assert {(r.a, r.b) for r in dm.rare_pairs(rows).collect()} == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_a_large_class_does_not_meet_itself(spark):
+    texts = sharing(184, 8, [f"m{i}" for i in range(30)])
+    assert found(spark, texts, [7] * 30) == set()
+    assert found(spark, texts, [7] * 29 + [8]) == {(i, 29) for i in range(29)}
 
 
 def test_shared_passage_stays_many_classes(spark):
@@ -59,3 +78,8 @@ def test_shared_passage_stays_many_classes(spark):
     got = {r.doc_id: r.class_id for r in dm.near_duplicates(df).collect()}
     assert got[60] == got[30] == 30
     assert len(set(got.values())) == 60
+
+
+def test_empty(spark):
+    assert found(spark, [""]) == set()
+    assert dm.rare_pairs(spark.createDataFrame([], "text_id long, class long, text string")).count() == 0
