@@ -48,6 +48,8 @@ WORDS, SIMILARITY = 5, (4, 5)
 BANDS, ROWS = 42, 6
 #: Shingles beyond which frequent ones are dealt over salts.
 SALTED_ROWS = 100_000
+#: Cells of the maps by which texts are told apart before they are compared.
+MAP_BITS = 1024
 ROWS_PER_PARTITION = 4000
 _CHUNK = 1 << 18
 _U = np.uint64
@@ -172,7 +174,22 @@ def _sign(words: int, bands: int, rows: int, counted: bool):
     return run
 
 
-_GRAMS = pa.schema([("text_id", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("grams", pa.list_(pa.int64()))])
+_MAP = [f"m{i}" for i in range(MAP_BITS // 64)]
+_GRAMS = pa.schema([("text_id", pa.int64()), ("class", pa.int64()), ("n", pa.int64()), ("grams", pa.list_(pa.int64())), *((m, pa.int64()) for m in _MAP)])
+_GRAMS_DDL = "text_id long, class long, n long, grams array<long>, " + ", ".join(f"{m} long" for m in _MAP)
+
+
+def parity_maps(text: np.ndarray, gram: np.ndarray, texts: int) -> np.ndarray:
+    """For each text a bit for each of ``MAP_BITS`` cells: whether an odd number of its shingles falls there.
+    Where the bits of two texts differ, a shingle lies that only one of them has, and no two such cells share it."""
+    out = []
+    cell = (gram >> _U(64 - int(MAP_BITS).bit_length() + 1)).astype(np.int64)
+    for lo in range(0, texts, 1000):
+        hi = min(lo + 1000, texts)
+        i, j = np.searchsorted(text, (lo, hi))
+        odd = np.bincount((text[i:j] - lo) * MAP_BITS + cell[i:j], minlength=(hi - lo) * MAP_BITS).astype(np.uint8) & 1
+        out.append(np.packbits(odd.reshape(-1, MAP_BITS), axis=1).view(np.int64))
+    return np.concatenate(out)
 
 
 def _grams(words: int, counted: bool):
@@ -189,7 +206,7 @@ def _grams(words: int, counted: bool):
                 cut = np.searchsorted(text, np.arange(hi - lo + 1))
                 sets = [gram[i:j].view(np.int64) for i, j in zip(cut, cut[1:])]
                 yield record_batch(_GRAMS, batch.column("text_id").slice(lo, hi - lo), batch.column("class").slice(lo, hi - lo),
-                                   np.diff(cut), sets)
+                                   np.diff(cut), sets, *parity_maps(text, gram, hi - lo).T)
     return run
 
 
@@ -201,9 +218,12 @@ def rare_pairs(texts: DataFrame, words: int = WORDS, similarity: tuple[int, int]
     the larger one's first ``n - ceil(t n) + 1`` shingles and the smaller one's first
     ``n - ceil(2 t n / (1 + t)) + 1`` have one in common, so texts meet only where
     they share a shingle that is among their rarest; a passage that many share
-    is not. Of the classes at such a shingle the largest does not meet itself."""
+    is not. Of the classes at such a shingle the largest does not meet itself.
+    Two texts that meet are a pair unless their sizes, the places of the shingle
+    in their orders, or the cells in which their ``parity_maps`` differ leave too
+    few shingles in common; each of these is a bound, so no similar pair is lost."""
     up, down = similarity
-    members = stored(texts.select("text_id", "class", "text").mapInArrow(_grams(words, counted), "text_id long, class long, n long, grams array<long>"))
+    members = stored(texts.select("text_id", "class", "text").mapInArrow(_grams(words, counted), _GRAMS_DDL))
     tokens = members.select("text_id", F.explode("grams").alias("gram"))
     often = stored(tokens.groupBy("gram").agg(F.count("*").alias("texts")).where("texts > 1"))
     # a shingle of one text meets nothing; it only counts in that text's order, in front of all others
@@ -211,19 +231,22 @@ def rare_pairs(texts: DataFrame, words: int = WORDS, similarity: tuple[int, int]
     order = shared.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("texts", "gram"))).alias("order"))
     first = F.expr(f"cast(n - (n * {up} + {down - 1}) div {down} + 1 as int)")
     index = F.expr(f"cast(n - (n * {2 * up} + {up + down - 1}) div {up + down} + 1 as int)")
-    placed = members.drop("grams").join(order, "text_id").withColumn("alone", F.expr("cast(n - size(order) as int)"))
+    placed = members.drop("grams", *_MAP).join(order, "text_id").withColumn("alone", F.expr("cast(n - size(order) as int)"))
     placed = placed.select("text_id", "class", "n", "alone", index.alias("index"), F.posexplode(F.slice("order", 1, F.greatest(first - F.col("alone"), F.lit(0)))))
     posting = stored(placed.select("text_id", "class", "n", F.col("col.gram").alias("gram"), (F.col("pos") + F.col("alone")).alias("at"),
                                    (F.col("pos") + F.col("alone") < F.col("index")).alias("indexed")))
     classes = posting.groupBy("gram", "class").agg(F.count("*").alias("size"))
     mixed = classes.groupBy("gram").agg(F.max(F.struct("size", "class")).alias("most"), F.count("*").alias("n_classes")).where("n_classes > 1")
     met = stored(posting.join(mixed.select("gram", F.col("most.class").alias("largest")), "gram")
-                 .withColumn("many", F.col("class") == F.col("largest")).drop("largest"))
+                 .withColumn("many", F.col("class") == F.col("largest")).drop("largest")
+                 .join(members.select("text_id", *_MAP), "text_id"))
     x, y = (met.select(*(F.col(c).alias(c + side) for c in met.columns)) for side in ("_a", "_b"))
     smaller = F.struct("n_a", "text_id_a") < F.struct("n_b", "text_id_b")
     # at most: what may be common in front of the shared shingle, it, and what may be common behind
     most = F.least("at_a", "at_b") + 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
-    may = (F.least("n_a", "n_b") * down >= F.greatest("n_a", "n_b") * up) & (most * (up + down) >= (F.col("n_a") + F.col("n_b")) * up)
+    both = F.col("n_a") + F.col("n_b")
+    differ = sum((F.bit_count(F.col(m + "_a").bitwiseXOR(F.col(m + "_b"))) for m in _MAP[1:]), F.bit_count(F.col("m0_a").bitwiseXOR(F.col("m0_b"))))
+    may = (F.least("n_a", "n_b") * down >= F.greatest("n_a", "n_b") * up) & (most * (up + down) >= both * up) & (differ * (up + down) <= both * (down - up))
     pairs = x.where("not many_a").join(y, (F.col("gram_a") == F.col("gram_b")) & (F.col("class_a") != F.col("class_b"))
                                        & (F.col("many_b") | (F.col("text_id_a") < F.col("text_id_b")))
                                        & F.when(smaller, F.col("indexed_a")).otherwise(F.col("indexed_b")) & may)

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from ranklab.llm import dart_minhash as dm
@@ -80,6 +81,18 @@ def test_shared_passage_stays_many_classes(spark):
     assert len(set(got.values())) == 60
 
 
+def test_maps_never_differ_in_more_cells_than_shingles():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 50, 3000):
+        sets = [np.unique(dm.mix(rng.integers(0, 4000, n).astype(np.uint64) + np.uint64(1))) for _ in range(6)]
+        text = np.repeat(np.arange(6), [len(x) for x in sets])
+        maps = dm.parity_maps(text, np.concatenate(sets), 6)
+        for i, j in itertools.combinations(range(6), 2):
+            cells = sum(int(x).bit_count() for x in (maps[i] ^ maps[j]).view(np.uint64))
+            apart = len(np.setxor1d(sets[i], sets[j]))
+            assert cells <= apart and (cells >= 0.8 * apart or apart > 200)
+
+
 def test_empty(spark):
     assert found(spark, [""]) == set()
     assert dm.rare_pairs(spark.createDataFrame([], "text_id long, class long, text string")).count() == 0
