@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from .common import SPACES, byte_column
 
 #: Pre-tokens (and, apart, words) kept per Python worker; the cache starts anew beyond it.
-CACHED = 600_000
+CACHED = 250_000
 _SPACE, _LETTER, _DIGIT, _SIGN, _HARD = range(5)
 
 
@@ -74,10 +74,9 @@ class WordTokenizer:
 
     def __init__(self, path: str, added_tokens: bool = False):
         from tokenizers import Tokenizer
-        self.plain = Tokenizer.from_file(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.added = [t.content for t in self.plain.get_added_tokens_decoder().values()] if added_tokens else []
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
@@ -152,6 +151,14 @@ class WordTokenizer:
         ids = self.ids[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)]
         return ids, np.diff(upto[np.append(np.searchsorted(at, rows), len(at))])
 
+    def _plain(self, text: str) -> np.ndarray:
+        """By the plain tokenizer, which knows its added tokens."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def _by_words(self, text: str) -> np.ndarray:
         if len(self.words) > CACHED:
             self.words.clear()
@@ -177,7 +184,7 @@ class WordTokenizer:
         if not slow.any():
             return self._simple(data, kind, starts)
         ids, sizes = self.encode_column(texts.filter(pa.array(~slow)))
-        apart = [np.array(self.plain.encode(t, add_special_tokens=False).ids, np.uint32) if whole else self._by_words(t)
+        apart = [self._plain(t) if whole else self._by_words(t)
                  for t, whole in zip(texts.filter(pa.array(slow)).to_pylist(), plain[slow])]
         counts = np.empty(len(texts), np.int64)
         counts[~slow], counts[slow] = sizes, [len(x) for x in apart]
