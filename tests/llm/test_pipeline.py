@@ -57,5 +57,5 @@ def test_nulls_and_repeats(spark):
 
 def test_registered():
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and {f"op{n}_" for n in range(1, 11)} == {f"{x.split('_')[0]}_" for x in names if x.startswith("op")}
+    assert "pipeline" in names and {f"op{n}_" for n in range(1, 14)} == {f"{x.split('_')[0]}_" for x in names if x.startswith("op")}
     assert {"op1_shard_lookup", "op8_inverted_index"} <= set(__spark_entry__.oracle_sql())
