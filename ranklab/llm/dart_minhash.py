@@ -35,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranklab.operators.skew import salted_join
@@ -294,19 +294,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each class: of the smallest id (null last) and, of that id's texts, the smallest hash."""
-    rest = tuple(c for c in docs.columns if c != text_col)
-    base, known = text_classes(docs.withColumn("_no_text", F.col(text_col).isNull()), id_col, text_col, keep=(*rest, "_no_text"))
+    # the caller's columns travel as one struct, so their names meet no name of this function
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("columns")
+    base, known = text_classes(docs, id_col, text_col, keep=(rest, F.col(text_col).isNull().alias("no_text")))
     # per text, then per class: a class of any size is combined before it moves
     of_text = base.groupBy("hash").agg(F.min(F.struct(F.col("doc").isNull().alias("nameless"), "doc", "row")).alias("best"))
     order = F.struct("best.nameless", "best.doc", "hash", "best.row")
     best = known.join(of_text, "hash").groupBy("component").agg(F.min(order).alias("best")).select(F.col("best.row").alias("row"))
     return base.join(best, "row", "left_semi").select(
-        *(F.col(f"kept.{c}").alias(c) if c in rest else F.when(~F.col("kept._no_text"), F.col("text")).alias(c) for c in docs.columns))
+        *(F.when(~F.col("kept.no_text"), F.col("text")).alias(c) if c == text_col else F.col(f"kept.columns.`{c}`").alias(c) for c in docs.columns))
 
 
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                  similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
-                 counted: bool = False, parts: int | None = None, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+                 counted: bool = False, parts: int | None = None, keep: tuple[str | Column, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The stored rows (row, doc, hash, text, and the columns ``keep`` as a struct
     ``kept``), and hash, component, class_id, text_id of each distinct text. The
     number of one of its rows stands for a text in buckets, pairs and components."""

@@ -24,6 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 EACH = 150
 WORDS = 2000
 #: Words for lines when the corpus has none, and parts of made names.
@@ -159,17 +161,18 @@ def planted(words: DataFrame, each: int = EACH, seed: int = 1, only: Iterable[st
     filler = spark.createDataFrame([(w,) for w in FILLER], "word string")
     some = (words.where("length(word) between 3 and 12 and n > 1").select("word").orderBy(F.xxhash64("word"), "word").limit(WORDS)
             .unionByName(filler).distinct())
-    # at most WORDS + len(FILLER) short words: one row
-    bag = some.agg(F.sort_array(F.collect_list("word")).alias("bag"))
-    bag = F.broadcast(bag.withColumn("one", F.lit(1)))
-    lines = []
-    for at, (kind, (label, head, value, foot)) in enumerate(made.items()):
-        numbered = spark.range(0, each, 1, 1).select(F.col("id").alias("i"), F.lit(kind).alias("kind"), F.lit(seed).alias("seed"), F.lit(1).alias("one"))
-        drawn = numbered.join(bag, "one").withColumn("w", F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.element_at(
-            "bag", (F.pmod(F.xxhash64("seed", "kind", "i", k), F.size("bag")) + 1).cast("int"))))
-        lead, tail = F.concat_ws(" ", F.slice("w", 1, 4)), F.concat_ws(" ", F.slice("w", 9, 4))
-        lines.append(drawn.select((-1 - at * F.lit(each).cast("long") - F.col("i")).alias("doc"), F.lit(0).cast("long").alias("key"), F.concat(
-            lead, F.lit(" "), head, value, foot, F.lit(" "), tail).alias("text"), "kind", value.alias("planted"), F.lit(float(label)).alias("label")))
+    # at most WORDS + len(FILLER) short words, numbered in one row
+    bag = stored(some.agg(F.sort_array(F.collect_list("word")).alias("bag")).select(F.posexplode("bag").alias("number", "word")))
+    of_kind = F.element_at(F.array(*map(F.lit, made or [""])), F.floor(F.col("id") / max(each, 1)).cast("int") + 1)
+    slots = (spark.range(0, each * len(made), 1, 1).select("id", of_kind.alias("kind"), F.pmod("id", F.lit(max(each, 1))).alias("i"), F.lit(seed).alias("seed"))
+             .select("*", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("slot"))
+             .withColumn("number", F.pmod(F.xxhash64("seed", "kind", "i", "slot"), F.lit(bag.count())).cast("int")))
+    drawn = stored(slots.join(F.broadcast(bag), "number").groupBy("id", "kind", "i", "seed")
+                   .agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "word"))), lambda x: x["word"]).alias("w")))
+    lead, tail = F.concat_ws(" ", F.slice("w", 1, 4)), F.concat_ws(" ", F.slice("w", 9, 4))
+    lines = [drawn.where(F.col("kind") == kind).select(
+        (-1 - F.col("id")).alias("doc"), F.lit(0).cast("long").alias("key"), F.concat(lead, F.lit(" "), head, value, foot, F.lit(" "), tail).alias("text"),
+        "kind", value.alias("planted"), F.lit(float(label)).alias("label")) for kind, (label, head, value, foot) in made.items()]
     if not lines:
         return spark.createDataFrame([], "doc long, key long, text string, kind string, planted string, label double")
     return reduce(DataFrame.unionByName, lines)

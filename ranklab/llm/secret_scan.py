@@ -236,7 +236,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
                                  .when(a < b, -1).when(a > b, 1).otherwise(0)).alias("found")))
     doc, text, found = F.col(id_col).cast("long"), F.col(text_col), F.col("found")
     # the caller's columns travel as one struct, so their names meet no name of this function
-    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), text.alias("own_text"), F.coalesce(doc, F.lit(0)).alias("doc"),
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("own_text"), F.coalesce(doc, F.lit(0)).alias("doc"),
                       F.xxhash64(doc.isNull(), F.coalesce(text, F.lit(""))).alias("key"))
     both = own.join(secrets, ["doc", "key"], "left")
     clean = F.when(found.isNull(), F.col("own_text")).otherwise(

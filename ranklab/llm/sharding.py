@@ -73,8 +73,11 @@ def place(rows: DataFrame, key_col: str, shards: list[str], slots: int = SLOTS,
     these names are replaced."""
     table = rows.sparkSession.createDataFrame(
         list(enumerate(shards[i] for i in lookup_table(shards, slots, weights))), "_slot long, _shard string")
-    rows = rows.withColumn(slot_name, slot_of(F.col(key_col), slots))
-    return rows.join(F.broadcast(table), F.col(slot_name) == F.col("_slot"), "left").withColumn(shard_name, F.col("_shard")).drop("_slot", "_shard")
+    # the caller's columns travel as one struct, so their names meet no name of this function
+    own = rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), slot_of(F.col(key_col), slots).alias("slot"))
+    made = {slot_name: F.col("slot"), shard_name: F.col("_shard")}
+    return own.join(F.broadcast(table), F.col("slot") == F.col("_slot"), "left").select(
+        *[made.pop(c, F.col(f"row.`{c}`")).alias(c) for c in rows.columns], *[column.alias(c) for c, column in made.items()])
 
 
 def shard_names(n: int = SHARDS) -> list[str]:
