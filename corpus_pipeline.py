@@ -4,14 +4,17 @@ benchmark decontamination, secret redaction, packing.
 Each stage gets the documents that its predecessor left (as written and read
 again) and returns what goes on; the last returns the packed pieces. Rows are
 told apart by id and text, so null ids and repeated rows are handled: near-dedup
-leaves one of equal rows, the other stages treat each alike.
+leaves one of equal rows, the other stages treat each alike. Null and empty texts
+fail the quality rules; very long texts are read whole; of tied near copies the
+smallest id stays; an empty table gives an empty result; further columns go
+through the first four stages whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklab.llm import dart_minhash, decontamination, packing, quality_rules, secret_scan
@@ -21,17 +24,23 @@ from ranklab.llm.common import documents, stored
 _ROW = ["_row_doc", "_row_text"]
 
 
-def _with_row(docs: DataFrame) -> DataFrame:
-    """``docs`` with the id (0 for null) and a fingerprint that equal rows share."""
-    doc = F.col("doc_id").cast("long")
-    return docs.withColumns({_ROW[0]: F.coalesce(doc, F.lit(0)), _ROW[1]: F.xxhash64(doc.isNull(), F.coalesce("text", F.lit("")))})
+def _row(doc_id: Column, text: Column) -> list[Column]:
+    """The id (0 for null) and a fingerprint that equal rows share."""
+    doc = doc_id.cast("long")
+    return [F.coalesce(doc, F.lit(0)).alias(_ROW[0]), F.xxhash64(doc.isNull(), F.coalesce(text, F.lit(""))).alias(_ROW[1])]
+
+
+def _chosen(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """``docs`` whose row is in ``rows`` (``left_semi``) or is not (``left_anti``).
+    The columns of documents travel as one struct, so they may have any names."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_row(F.col("doc_id"), F.col("text")))
+    return own.join(rows, _ROW, how).select("row.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the outlier verdict keep."""
-    marked = _with_row(docs).withColumns({"_doc_id": F.col("doc_id")})
-    verdict = quality_rules.apply_rules(marked, keep=tuple(_ROW)).where("kept").select(*_ROW).distinct()
-    return _with_row(docs).join(verdict, _ROW, "left_semi").select(*docs.columns)
+    marked = docs.select("doc_id", "text", "lang", "source", *_row(F.col("doc_id"), F.col("text")))
+    return _chosen(docs, quality_rules.apply_rules(marked, keep=tuple(_ROW)).where("kept").select(*_ROW).distinct(), "left_semi")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +51,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     hit = decontamination.contamination(docs, documents(spark, sf_dir, "benchmark")).where("contaminated")
-    rows = hit.select(F.col("doc").alias(_ROW[0]), F.col("key").alias(_ROW[1])).distinct()
-    return _with_row(docs).join(rows, _ROW, "left_anti").select(*docs.columns)
+    return _chosen(docs, hit.select(F.col("doc").alias(_ROW[0]), F.col("key").alias(_ROW[1])).distinct(), "left_anti")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
