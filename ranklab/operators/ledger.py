@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ranklab.functions.columns import half_even
 from ranklab.operators.ranking import group_total, materialize, rank_within, top_k_within
 from ranklab.operators.scoring import score_orders, summary_text
+from ranklab.sources import partitions as PT
 
 # --- fixed values -----------------------------------------------------------
 STRATEGY_USERS = ((1, "by_grid"), (2, "by_form"), (3, "by_champ"))
@@ -286,6 +287,33 @@ def upsert_ledger(subs: DataFrame, ledger: DataFrame | None = None) -> DataFrame
             .select("user_id", "day", *[F.col(f"_draft.{c}").alias(c) for c in row], "locked_at"))
 
 
+def upsert_stored(subs: DataFrame, root: str) -> PT.Version:
+    """OPS1 on a ledger stored by day (``sources.partitions``): of the stored
+    ledger only the days of this batch are read, and only they are written.
+    Raises ``BaseMoved`` when another batch was merged meanwhile; calling it
+    again then merges with that one's rows."""
+    spark = subs.sparkSession
+    base = PT.current(spark, root)
+    held = None if base is None else PT.read(spark, root, keys=subs.select("day"), at=base)
+    return PT.commit(upsert_ledger(subs, held), root, ["day"], base)
+
+
+def write_back_stored(spark, root: str, silver: DataFrame, as_of: str) -> PT.Version | None:
+    """OPS3 on a prediction ledger stored by (year, race_name): reads the
+    events that ``silver`` has results of, scores their locked, unscored rows
+    and rewrites the events of which a row was scored. None: nothing to score."""
+    base = PT.current(spark, root)
+    if base is None:
+        return None
+    events = silver.select(F.col("Year").alias("year"), F.col("Circuit").alias("race_name")).distinct()
+    held = PT.read(spark, root, keys=events, at=base)
+    scored = materialize(score_ledger(held, silver, as_of).filter(F.col("scored_at").isNotNull()))
+    if scored.isEmpty():
+        return None
+    whole = PT.read(spark, root, keys=scored.select("year", "race_name"), at=base)
+    return PT.commit(write_back(whole, scored), root, ["year", "race_name"], base)
+
+
 def merge_submissions(subs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """OPS1: batch upsert. A key is locked from its first purchase on, or from
     the lock in the stored ``ledger``; a draft (click) at or after that moment

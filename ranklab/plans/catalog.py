@@ -437,6 +437,54 @@ def q_upsert(spark, sf):
     return spark.read.parquet(SK.latest_version(spark, root))
 
 
+LATE = "hour(ts) >= 12 AND CASE WHEN month(ts) % 2 = 0 THEN 1 ELSE 0 END = {}"
+
+
+@register("ledger_partitions", O.with_(MERGE_CTES, f"""SELECT coalesce(l.user_id, d.user_id) AS user_id,
+  coalesce(l.day, d.day) AS day, d.event_id, d.ts, d.value, l.locked_at, v.written_by
+FROM locks l FULL JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, day
+    ORDER BY ts DESC, event_id DESC) AS rn FROM dr WHERE NOT rej) t WHERE rn = 1) d
+  ON l.user_id = d.user_id AND l.day = d.day
+JOIN (SELECT day, CAST(max(CASE WHEN {LATE.format(1)} THEN 3 WHEN {LATE.format(0)} THEN 2 ELSE 1 END) AS BIGINT) AS written_by
+      FROM subs GROUP BY day) v ON v.day = coalesce(l.day, d.day)"""), "OPS1", "SNK3")
+def q_upsert_partitions(spark, sf):
+    """Three batches (mornings, then the afternoons of odd and of even months)
+    merged into a ledger stored by day; ``written_by`` is the version that wrote
+    the row's day: a batch leaves the other days as they are."""
+    from ranklab.sources import partitions as PT
+    from ranklab.sources import sinks as SK
+    subs = _subs(spark, sf)
+    root = SK.scratch_path(spark, "ledger")
+    for batch in (F.hour("ts") < 12, F.expr(LATE.format(0)), F.expr(LATE.format(1))):
+        LG.upsert_stored(subs.filter(batch), root)
+    last = PT.current(spark, root)
+    days = PT.manifest(spark, root, last).select("day", F.col("_version").alias("written_by"))
+    return PT.read(spark, root, at=last).join(days, "day").select(
+        "user_id", "day", "event_id", "ts", "value", "locked_at", "written_by")
+
+
+@register("ledger_scored_events", O.with_(GS, """SELECT s.user_id, s.year, s.race_name, s.winner_correct, s.podium_hits, s.status,
+  CAST(CASE WHEN s.winner_correct IS NULL THEN 1
+            WHEN s.year < (SELECT max("Year") FROM silver) THEN 2 ELSE 3 END AS BIGINT) AS written_by
+FROM scored_text s JOIN deadlines d ON d."Year" = s.year AND d.race_name = s.race_name"""), "OPS3", "SNK3")
+def q_writeback_partitions(spark, sf):
+    """The strategies' ledger stored by event; results come in two batches, the
+    seasons before the last and then the last: each rewrites its own events."""
+    from ranklab.sources import partitions as PT
+    from ranklab.sources import sinks as SK
+    gold = gold_from_tables(spark, sf)
+    silver = gold.select("Year", "Circuit", "FullName", F.col("Position").cast("int").alias("Position"))
+    newest = silver.agg(F.max("Year")).first()[0] or 0
+    root = SK.scratch_path(spark, "scores")
+    PT.commit(LG.strategy_ledger(gold, SC.lock_deadlines(_schedule(spark, sf))), root, ["year", "race_name"], None)
+    for results in (silver.filter(F.col("Year") < newest), silver.filter(F.col("Year") == newest)):
+        LG.write_back_stored(spark, root, results, AS_OF)
+    last = PT.current(spark, root)
+    events = PT.manifest(spark, root, last).select("year", "race_name", F.col("_version").alias("written_by"))
+    return LG.status_label(PT.read(spark, root, at=last)).join(events, ["year", "race_name"]).select(
+        "user_id", "year", "race_name", "winner_correct", "podium_hits", "status", "written_by")
+
+
 @register("ledger_writeback", O.with_(GS, """SELECT s.user_id, s.year, s.race_name, s.winner_correct, s.podium_hits,
   s.status, CAST(0 AS BIGINT) AS rescored
 FROM scored_text s JOIN deadlines d ON d."Year" = s.year AND d.race_name = s.race_name"""), "OPS3", "SNK3")
