@@ -151,10 +151,13 @@ def lock_state(deadlines: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
         "is_locked", F.coalesce(F.to_timestamp(F.lit(as_of)) >= F.col("lock_deadline"), F.lit(False)))
 
 
-def find_event(sched: DataFrame, name_part: str) -> DataFrame:
+def find_event(sched: DataFrame, name_part: str, required: bool = False) -> DataFrame:
     """CLN16: per season, the first round whose name contains ``name_part``
-    (case-insensitive, literal)."""
+    (case-insensitive, literal). With ``required`` it raises when no season has
+    one (one job that stops at the first hit)."""
     hit = sched.filter(F.lower("race_name").contains(name_part.lower()))
+    if required and hit.isEmpty():
+        raise LookupError(f"no event's name contains {name_part!r}")
     return (hit.groupBy("Year")
             .agg(F.min_by(F.struct(*[c for c in sched.columns if c != "Year"]), "round_number").alias("e"))
             .select("Year", "e.*"))
