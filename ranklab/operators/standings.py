@@ -160,6 +160,31 @@ def distinct_counts(results: DataFrame) -> DataFrame:
                        F.count_distinct("Year", "Circuit").alias("Events"))
 
 
+#: log2 of a sketch's registers: a standard error of 0.4 %, at most 64 KiB a sketch.
+SKETCH_K = 16
+
+
+def event_sketches(results: DataFrame, entity: str = "FullName") -> DataFrame:
+    """AGG18, mergeable: per event a sketch of its distinct ``entity`` values.
+    Sketches roll up to any coarser key without the rows (``rollup_distinct``)."""
+    return results.groupBy("Year", "Circuit").agg(F.hll_sketch_agg(entity, SKETCH_K).alias("Sketch"))
+
+
+def rollup_distinct(sketches: DataFrame) -> DataFrame:
+    """Estimated distinct counts by (Year, Circuit), by Year and of all time
+    (nulls where a level spans all values), from the events' sketches alone.
+    ``Level`` is the number of keys given up. A level merges its finer one, so
+    the last step reads one sketch a season. Null values are not counted; without
+    events the count of all time is 0."""
+    union = F.hll_union_agg("Sketch").alias("Sketch")
+    seasons = sketches.groupBy("Year").agg(union)
+    ever = seasons.agg(union)
+    rows = (sketches.withColumn("Level", F.lit(0))
+            .unionByName(seasons.withColumn("Level", F.lit(1)), allowMissingColumns=True)
+            .unionByName(ever.withColumn("Level", F.lit(2)), allowMissingColumns=True))
+    return rows.select("Level", "Year", "Circuit", F.hll_sketch_estimate("Sketch").alias("Estimate"))
+
+
 def heuristic_pick(standings: DataFrame, skew_safe: bool | None = None) -> DataFrame:
     """AGG19/FCT5: per season, the top entrant by points is both pole setter
     and winner; the top team by summed entrant points wins the constructors'

@@ -179,6 +179,23 @@ def q_distinct_counts(spark, sf):
     return ST.distinct_counts(silver_from_tables(spark, sf))
 
 
+@register("distinct_rollup", O.with_(S, """SELECT CAST(2 - CAST("Year" IS NOT NULL AS INTEGER) - CAST("Circuit" IS NOT NULL AS INTEGER) AS INTEGER) AS "Level",
+  "Year", "Circuit", count(DISTINCT "FullName") AS "Entrants", true AS "WithinTwoPercent"
+FROM silver GROUP BY GROUPING SETS (("Year", "Circuit"), ("Year"), ())"""), "AGG18")
+def q_distinct_rollup(spark, sf):
+    """Entrants per event, season and of all time: exact, and whether the count
+    out of merged event sketches is within 2 % of that."""
+    silver = materialize(silver_from_tables(spark, sf).select("Year", "Circuit", "FullName"))
+    exact = (silver.groupingSets([("Year", "Circuit"), ("Year",), ()], "Year", "Circuit")
+             .agg(F.grouping_id().alias("_gid"), F.count_distinct("FullName").alias("Entrants"))
+             .select(F.when(F.col("_gid") == 3, 2).otherwise(F.col("_gid")).cast("int").alias("Level"), "Year", "Circuit", "Entrants"))
+    est = materialize(ST.rollup_distinct(ST.event_sketches(silver)))
+    keys = ["Level", "Year", "Circuit"]
+    on = [exact[k].eqNullSafe(est[k]) for k in keys]
+    near = F.abs(F.col("Estimate") - F.col("Entrants")) <= 0.02 * F.col("Entrants")
+    return exact.join(est, on).select(*[exact[k] for k in keys], "Entrants", near.alias("WithinTwoPercent"))
+
+
 @register("heuristic_pick", O.with_(S + ",\n" + STANDINGS_SQL, """SELECT e."Year", e."FullName" AS "PoleSetter",
   e."FullName" AS "RaceWinner", t."TeamName" AS "WinningConstructor"
 FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "Year" ORDER BY "Points" DESC, "FullName") AS rn
@@ -277,7 +294,7 @@ def q_deadlines(spark, sf):
   SELECT *, row_number() OVER (PARTITION BY "Year" ORDER BY round_number) AS rn
   FROM sched WHERE contains(lower(race_name), 'brand#1')) t WHERE rn = 1"""), "CLN16")
 def q_find_event(spark, sf):
-    return SC.find_event(_schedule(spark, sf), "Brand#1")
+    return SC.find_event(_schedule(spark, sf), "Brand#1", required=True)
 
 
 @register("season_progress", O.with_(SCH, f"""SELECT "Year", count(*) FILTER (WHERE event_date < {O.AS_OF}) AS completed,
