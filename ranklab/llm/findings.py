@@ -24,6 +24,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ranklab.llm.common import stored
+
 EACH = 150
 WORDS = 2000
 #: Words for lines when the corpus has none, and parts of made names.
@@ -156,22 +158,26 @@ def planted(words: DataFrame, each: int = EACH, seed: int = 1, only: Iterable[st
     ``WORDS`` are drawn by hash, of 3 to 12 letters."""
     spark, made = words.sparkSession, kinds()
     made = {k: v for k, v in made.items() if only is None or k in set(only)}
+    if not made:
+        return spark.createDataFrame([], "doc long, key long, text string, kind string, planted string, label double")
     filler = spark.createDataFrame([(w,) for w in FILLER], "word string")
     some = (words.where("length(word) between 3 and 12 and n > 1").select("word").orderBy(F.xxhash64("word"), "word").limit(WORDS)
             .unionByName(filler).distinct())
     # at most WORDS + len(FILLER) short words: one row
     bag = some.agg(F.sort_array(F.collect_list("word")).alias("bag"))
     bag = F.broadcast(bag.withColumn("one", F.lit(1)))
+    # the words of all lines are drawn by one join and stored: the kinds then only read them
+    names = F.array(*[F.lit(k) for k in made])
+    numbered = spark.range(0, each * len(made), 1, 1).select(
+        (F.col("id") % each).alias("i"), F.element_at(names, (F.floor(F.col("id") / each) + 1).cast("int")).alias("kind"),
+        F.lit(seed).alias("seed"), F.lit(1).alias("one"))
+    drawn = stored(numbered.join(bag, "one").select("i", "kind", "seed", F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.element_at(
+        "bag", (F.pmod(F.xxhash64("seed", "kind", "i", k), F.size("bag")) + 1).cast("int"))).alias("w")))
     lines = []
     for at, (kind, (label, head, value, foot)) in enumerate(made.items()):
-        numbered = spark.range(0, each, 1, 1).select(F.col("id").alias("i"), F.lit(kind).alias("kind"), F.lit(seed).alias("seed"), F.lit(1).alias("one"))
-        drawn = numbered.join(bag, "one").withColumn("w", F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.element_at(
-            "bag", (F.pmod(F.xxhash64("seed", "kind", "i", k), F.size("bag")) + 1).cast("int"))))
         lead, tail = F.concat_ws(" ", F.slice("w", 1, 4)), F.concat_ws(" ", F.slice("w", 9, 4))
-        lines.append(drawn.select((-1 - at * F.lit(each).cast("long") - F.col("i")).alias("doc"), F.lit(0).cast("long").alias("key"), F.concat(
+        lines.append(drawn.where(F.col("kind") == kind).select((-1 - at * F.lit(each).cast("long") - F.col("i")).alias("doc"), F.lit(0).cast("long").alias("key"), F.concat(
             lead, F.lit(" "), head, value, foot, F.lit(" "), tail).alias("text"), "kind", value.alias("planted"), F.lit(float(label)).alias("label")))
-    if not lines:
-        return spark.createDataFrame([], "doc long, key long, text string, kind string, planted string, label double")
     return reduce(DataFrame.unionByName, lines)
 
 
