@@ -12,12 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranklab.functions.columns import half_even
-from ranklab.operators.ranking import group_total, materialize, rank_within, top_k_within
+from ranklab.operators.ranking import materialize, rank_within, top_k_within
 from ranklab.operators.scoring import score_orders, summary_text
+from ranklab.operators.skew import measured_join
 from ranklab.sources import partitions as PT
 
 # --- fixed values -----------------------------------------------------------
@@ -31,6 +32,14 @@ TOP_N = 10
 EVENT = ["Year", "Circuit"]
 
 
+def key_band(key: str) -> F.Column:
+    """A coarse place of a strategy key: never falls as the key grows (up to 1:
+    0, then by powers of two; NaN and null last, as they sort)."""
+    k = F.col(key)
+    return (F.when(k.isNull(), 5000).when(F.isnan(k), 4000).when(k <= 1, 0)
+            .otherwise(F.floor(F.least(F.log2(k), F.lit(2000.0))).cast("int")))
+
+
 def strategy_predictions(gold: DataFrame, top_n: int | None = TOP_N) -> DataFrame:
     """Three simple forecasters ("users") ranking each event's field by the
     grid, by recent form and by championship position. ``prob`` is the
@@ -42,12 +51,20 @@ def strategy_predictions(gold: DataFrame, top_n: int | None = TOP_N) -> DataFram
         2: F.coalesce(F.col("AvgFinishLast5"), F.lit(99.0)),
         3: F.col("ChampPos"),
     }
-    parts = [gold.select(F.lit(uid).alias("user_id"), *EVENT, F.col("FullName").alias("driver"),
-                         F.col("TeamName").alias("team"), key.cast("double").alias("_key"))
-             for uid, key in specs.items()]
-    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    rows = rows.withColumn("_score", 1.0 / F.greatest(F.col("_key"), F.lit(1.0)))
-    rows = group_total(rows, ["user_id", *EVENT], "_score", "_total")
+    users = F.array(*[F.struct(F.lit(uid).alias("user_id"), key.cast("double").alias("_key")) for uid, key in specs.items()])
+    rows = gold.select(*EVENT, F.col("FullName").alias("driver"), F.col("TeamName").alias("team"), F.explode(users).alias("_u"))
+    rows = rows.select("_u.user_id", *EVENT, "driver", "team", "_u._key")
+    rows = rows.withColumn("_score", 1.0 / F.greatest(F.col("_key"), F.lit(1.0))).withColumn("_band", key_band("_key"))
+    keys = ["user_id", *EVENT]
+    # a few dozen bands an event: their sums give the event's total, their counts the band that holds the top_n-th row
+    bands = materialize(rows.groupBy(*keys, "_band").agg(F.sum("_score").alias("_s"), F.count(F.lit(1)).alias("_n")))
+    before = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.when(F.coalesce(F.col("_before"), F.lit(0)) < (top_n or 0), F.col("_band"))
+    totals = (bands.withColumn("_before", F.sum("_n").over(before)).groupBy(*[F.col(k).alias(f"_g_{k}") for k in keys])
+              .agg(F.sum("_s").alias("_total"), F.max(reach).alias("_reach")))
+    rows = measured_join(rows, totals, [(k, f"_g_{k}") for k in keys], null_safe=True)
+    if top_n is not None:  # only these rows can be among the first top_n: the others are not sorted
+        rows = rows.filter(F.col("_band") <= F.col("_reach"))
     rows = rows.withColumn("prob", half_even(F.col("_score") / F.col("_total"), 4))
     if top_n is None:
         return rows.select("user_id", *EVENT, "driver", "team", "prob")
